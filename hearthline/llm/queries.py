@@ -25,6 +25,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.sentencepiece_codec import encode
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, verify=True).drop("text")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.mixing import mix_sources
 
@@ -35,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
+        "op5_sentencepiece": op5_sentencepiece,
         "op10_mixing": op10_mixing,
     }
 
