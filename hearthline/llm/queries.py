@@ -32,6 +32,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, verify=True).drop("text")
 
 
+def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.mixing import mix_sources
 
@@ -43,6 +49,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op9_minhash_dedup": op9_minhash_dedup,
         "op10_mixing": op10_mixing,
     }
 
