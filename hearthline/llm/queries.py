@@ -32,6 +32,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, verify=True).drop("text")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.secret_scan import digest, find_secrets
+
+    return digest(find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.minhash_dedup import near_duplicates
 
@@ -49,6 +55,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_secret_scan": op7_secret_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_mixing": op10_mixing,
     }
