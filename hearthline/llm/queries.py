@@ -25,6 +25,14 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.toxicity import THRESHOLD, fit, held_out, score
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.sentencepiece_codec import encode
 
@@ -54,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_toxicity": op3_toxicity,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_secret_scan": op7_secret_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
