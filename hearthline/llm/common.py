@@ -23,9 +23,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which survives lost executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut lineage through a reliable checkpoint, which survives lost executors.
+
+    A checkpointed plan carries the constraints inferred for it, and in loops that
+    rename columns these grow until planning takes longer than the work. They are
+    left out while the checkpoint is planned.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    key = "spark.sql.constraintPropagation.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -33,6 +33,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.sentencepiece_codec import encode
 
@@ -63,6 +69,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sharding": op1_sharding,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_toxicity": op3_toxicity,
+        "op4_url_filter": op4_url_filter,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_secret_scan": op7_secret_scan,
         "op9_minhash_dedup": op9_minhash_dedup,
