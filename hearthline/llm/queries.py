@@ -52,6 +52,12 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_secrets(table(spark, sf_dir, "documents")))
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.embed_dedup import near_duplicate_vectors
+
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.minhash_dedup import near_duplicates
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_url_filter": op4_url_filter,
         "op5_sentencepiece": op5_sentencepiece,
         "op7_secret_scan": op7_secret_scan,
+        "op8_embedding_dedup": op8_embedding_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_mixing": op10_mixing,
     }
