@@ -208,3 +208,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             F.col("id").eqNullSafe(F.coalesce("comp", "rep", "id")).alias("kept"),
         )
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """One row of each component, with all its columns: that of the smallest id.
+
+    Rows of a NULL id stay, as they name no component; of rows that repeat the id
+    that stays, one does.
+    """
+    kept = (
+        near_duplicates(docs, id_col, text_col, percent)
+        .where("kept")
+        .groupBy(F.col(id_col).alias("_kid"))
+        .agg((F.count(F.lit(1)) > 1).alias("_again"))
+    )
+    found = docs.join(kept, docs[f"`{id_col}`"] == kept["_kid"])
+    parts = [found.where("not _again"), found.where("_again").dropDuplicates(["_kid"]), docs.where(f"`{id_col}` is null")]
+    columns = [f"`{c}`" for c in docs.columns]
+    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2])

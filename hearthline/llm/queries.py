@@ -46,6 +46,12 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(docs, verify=True).drop("text")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hearthline.llm.pii import replace_pii
+
+    return replace_pii(table(spark, sf_dir, "documents"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.secret_scan import digest, find_secrets
 
@@ -70,6 +76,12 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).drop("repeats", "text_hash")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sharding": op1_sharding,
@@ -77,10 +89,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_toxicity": op3_toxicity,
         "op4_url_filter": op4_url_filter,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_pii": op6_pii,
         "op7_secret_scan": op7_secret_scan,
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_minhash_dedup": op9_minhash_dedup,
         "op10_mixing": op10_mixing,
+        "pipeline": pipeline,
     }
 
 
