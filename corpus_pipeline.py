@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import table, written
+from hearthline.llm.common import materialise, table
 from hearthline.llm.exact_dedup import drop_exact_duplicates
 from hearthline.llm.minhash_dedup import drop_near_duplicates
 from hearthline.llm.mixing import take_mix
@@ -56,5 +56,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs)
+            docs = materialise(docs)
     return docs

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,40 +16,43 @@ BLANKS = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared ``spark.checkpoint.dir``; pick a folder only where it is unset."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="hearthline-"))
+_written: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    sc = spark.sparkContext._jsc.sc()
+    if sc.getCheckpointDir().isDefined():
+        return sc.getCheckpointDir().get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return sc.getCheckpointDir().get()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage through a reliable checkpoint, which survives lost executors.
+    """Cut lineage: write the rows as Parquet in the shared folder and read them again.
 
-    A checkpointed plan carries the constraints inferred for it, and in loops that
-    rename columns these grow until planning takes longer than the work. They are
-    left out while the checkpoint is planned.
+    Any executor can read the table, so none that is lost takes data with it. Unlike
+    a checkpointed plan, it carries neither inferred constraints nor estimated sizes
+    of its origin, which grow without bound in loops of joins, but true file sizes.
+    The tables are removed when the driver's Python ends.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    key = "spark.sql.constraintPropagation.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "false")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(key, before)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """Write a wide table as Parquet in the shared checkpoint folder and read it again."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/tables/{uuid.uuid4()}"
+    path = f"{shared_folder(spark)}/tables/{uuid.uuid4()}"
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    if not _written:
+        atexit.register(clear)
+    _written.append((spark, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear() -> None:
+    """Remove the tables written so far; frames that read them can't be used afterwards."""
+    while _written:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):  # the session may have ended
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
