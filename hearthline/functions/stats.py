@@ -21,15 +21,16 @@ def pct_rank(value: Column | str, *keys: str) -> Column:
     return F.when(v.isNotNull(), rank / F.count(v).over(Window.partitionBy(*keys)))
 
 
-def pct_rank_global(df: DataFrame, value: str, out: str) -> DataFrame:
+def pct_rank_global(df: DataFrame, value: str, out: str, base: DataFrame | None = None) -> DataFrame:
     """``pct_rank`` over the whole table without sorting all rows in one task.
 
     Rows meet in counts of distinct values; these are ranked by range partitions
-    whose totals are summed up first.
+    whose totals are summed up first. ``base`` may give the values from a smaller plan.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    base = df if base is None else base
+    counts = base.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
     # Bounds are fixed by quantiles, so both uses of the buckets agree.
-    cuts = df.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_c"))
+    cuts = base.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_c"))
     counts = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.coalesce("_c", F.array().cast("array<double>")), lambda x: x < F.col("_v")))).drop("_c")
     totals = counts.groupBy("_b").agg(F.sum("_n").alias("_t"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,9 +59,9 @@ def right_closed(value: Column, edges: Sequence[float], labels: Sequence[str]) -
     return out
 
 
-def quantile_bins(df: DataFrame, value: str, out: str, q: int = 10) -> DataFrame:
-    """Quantile bin numbers with repeated edges dropped; the edges are one row."""
-    edges = df.agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)])))).alias("_edges"))
+def quantile_bins(df: DataFrame, value: str, out: str, q: int = 10, base: DataFrame | None = None) -> DataFrame:
+    """Quantile bin numbers with repeated edges dropped; the edges are one row, from ``base`` if given."""
+    edges = (df if base is None else base).agg(F.array_sort(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / q) for i in range(q + 1)])))).alias("_edges"))
     number = F.greatest(F.lit(0), F.size(F.filter("_edges", lambda e: e < F.col(value))) - 1)
     return df.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(value).isNotNull(), number).cast("int")).drop("_edges")
 

@@ -20,7 +20,7 @@ def nearby(left: DataFrame, right: DataFrame, metres: float, left_id: str = "id"
     around = F.array(*[F.lit(k) for k in (-1, 0, 1)])
     here = left.where("latitude is not null and longitude is not null").select(F.col(left_id), F.col("latitude").alias("_la"), F.col("longitude").alias("_lo"), ly.alias("_y"), lx.alias("_x"), F.pmod(F.xxhash64(left_id), F.lit(salts)).alias("_s"))
     there = right.select("poi_id", "category", F.col("latitude").alias("_pa"), F.col("longitude").alias("_po"), ry.alias("_y0"), rx.alias("_x0"))
-    there = there.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long"))
+    there = there.withColumn("_dy", F.explode(around)).withColumn("_dx", F.explode(around)).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     there = there.select("poi_id", "category", "_pa", "_po", (F.col("_y0") + F.col("_dy")).alias("_y"), (F.col("_x0") + F.col("_dx")).alias("_x"), "_s")
     d = G.haversine_km(F.col("_la"), F.col("_lo"), F.col("_pa"), F.col("_po")) * 1000
     return here.join(there, ["_y", "_x", "_s"]).withColumn("metres", d).where(F.col("metres") <= metres).select(left_id, "poi_id", "category", "metres")

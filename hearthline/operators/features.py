@@ -12,6 +12,7 @@ from hearthline import vocab
 from hearthline.functions import dates as D
 from hearthline.functions import stats as S
 from hearthline.functions import text as X
+from hearthline.plans.tables import cut
 
 
 def _added(df: DataFrame, out: dict[str, Column]) -> DataFrame:
@@ -72,17 +73,20 @@ def property_(df: DataFrame, as_of_year: int = 2024) -> DataFrame:
     return _added(df, out)
 
 
-def _grouped(df: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
-    """Group statistics joined back: partial sums, then a table of one row per group, so a hot group is no hot task."""
-    table = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[a.alias(n) for n, a in aggregates.items()])
+def _grouped(df: DataFrame, base: DataFrame, keys: list[str], aggregates: dict[str, Column]) -> DataFrame:
+    """Group statistics of ``base`` joined to ``df``: partial sums, then a table of one row per group, so a hot group is no hot task.
+
+    ``base`` is the table before any such join, so plans grow by a sum, not by a product.
+    """
+    table = base.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])).groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(*[a.alias(n) for n, a in aggregates.items()])
     on = reduce(lambda a, b: a & b, [F.col(k) == F.col(f"_{k}") for k in keys])
     return df.join(table, on, "left").drop(*[f"_{k}" for k in keys])
 
 
 def market(df: DataFrame, target: str = "price_mad") -> DataFrame:
-    has = set(df.columns)
+    has, base = set(df.columns), df
     if {"city_cleaned", target} <= has:
-        df = _grouped(df, ["city_cleaned"], {"city_price_mean": F.avg(target), "city_price_median": F.median(target), "city_price_std": F.stddev_samp(target), "city_listing_count": F.count(target)})
+        df = _grouped(df, base, ["city_cleaned"], {"city_price_mean": F.avg(target), "city_price_median": F.median(target), "city_price_std": F.stddev_samp(target), "city_listing_count": F.count(target)})
         gap = F.col(target) - F.col("city_price_mean")
         rank = F.when(F.col("city_cleaned").isNotNull(), S.pct_rank(target, "city_cleaned"))
         df = df.withColumns({"price_deviation_from_city": gap, "price_zscore_in_city": S.ratio(gap, F.col("city_price_std")), "price_percentile_in_city": rank})
@@ -90,9 +94,9 @@ def market(df: DataFrame, target: str = "price_mad") -> DataFrame:
         stats = {"neighborhood_popularity": F.count(F.lit(1))}
         if target in has:
             stats["neighborhood_price_mean"] = F.when(F.count(target) >= 5, F.avg(target))
-        df = _grouped(df, ["neighborhood_cleaned"], stats)
+        df = _grouped(df, base, ["neighborhood_cleaned"], stats)
     if {"property_type_cleaned", target} <= has:
-        df = _grouped(df, ["property_type_cleaned"], {"property_type_price_mean": F.avg(target)})
+        df = _grouped(df, base, ["property_type_cleaned"], {"property_type_price_mean": F.avg(target)})
         df = df.withColumn("price_premium_over_type", F.col(target) - F.col("property_type_price_mean"))
     return df
 
@@ -112,10 +116,10 @@ def interactions(df: DataFrame, max_values: int = 50) -> DataFrame:
 
 
 def aggregations(df: DataFrame) -> DataFrame:
-    has = set(df.columns)
+    has, base = set(df.columns), df
     for m, g in (("surface_m2", "city_cleaned"), ("rooms", "city_cleaned"), ("price_per_m2", "property_type_cleaned"), ("luxury_score", "neighborhood_cleaned")):
         if {m, g} <= has:
-            df = _grouped(df, [g], {f"{m}_mean_by_{g}": F.avg(m), f"{m}_std_by_{g}": F.stddev_samp(m)})
+            df = _grouped(df, base, [g], {f"{m}_mean_by_{g}": F.avg(m), f"{m}_std_by_{g}": F.stddev_samp(m)})
             df = df.withColumn(f"{m}_zscore_by_{g}", S.ratio(F.col(m) - F.col(f"{m}_mean_by_{g}"), F.col(f"{m}_std_by_{g}")))
     return df
 
@@ -127,10 +131,10 @@ def transformations(df: DataFrame, columns: tuple[str, ...] = ("price_mad", "sur
             x = F.coalesce(F.col(c).cast("double"), F.lit(0.0))
             out[f"{c}_log"], out[f"{c}_sqrt"] = F.log1p(F.greatest(x, F.lit(0.0))), F.sqrt(F.greatest(x, F.lit(0.0)))
             out[f"{c}_boxcox"] = F.signum(x) * F.log1p(F.abs(x))
-    df = _added(df, out)
+    base, df = df, _added(df, out)
     for c in ("price_per_m2", "surface_m2"):
         if c in df.columns:
-            df = S.quantile_bins(df, c, f"{c}_bin")
+            df = S.quantile_bins(df, c, f"{c}_bin", base=base)
     return df
 
 
@@ -173,18 +177,20 @@ def statistics(df: DataFrame, order: tuple[str, ...] = ("scraped_at", "id")) ->
     for c in ("price_mad", "surface_m2", "luxury_score"):
         if c in has and city:
             out[f"{c}_rank_in_city"] = S.pct_rank(c, city)
-    df = _added(df, out)
+    base, df = df, _added(df, out)
     for c in ("price_mad", "surface_m2", "luxury_score"):
         if c in has:
-            df = S.pct_rank_global(df, c, f"{c}_rank")
+            df = S.pct_rank_global(df, c, f"{c}_rank", base)
     return df
 
 
 def engineer(df: DataFrame, target: str = "price_mad", as_of_year: int = 2024) -> DataFrame:
-    """All feature groups in turn."""
-    df = property_(location(basic(df)), as_of_year)
-    df = aggregations(interactions(market(df, target)))
-    return statistics(texts(times(transformations(df))))
+    """All feature groups in turn. Tables are written between groups whose statistics look at their whole input."""
+    df = cut(property_(location(basic(df)), as_of_year))
+    df = cut(interactions(market(df, target)))
+    df = cut(aggregations(df))
+    df = cut(texts(times(transformations(df))))
+    return statistics(df)
 
 
 def numeric_columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[str]:
@@ -210,9 +216,10 @@ def select_best(df: DataFrame, target: str, k: int = 50, keep: tuple[str, ...] =
 
 def mutual_information(df: DataFrame, target: str, columns: list[str], bins: int = 10) -> DataFrame:
     """``feature, importance``: information shared by the quantile bins of a column and the target, over the largest."""
-    binned = S.quantile_bins(df.select(target, *columns), target, "_y", bins)
+    base = df.select(target, *columns)
+    binned = S.quantile_bins(base, target, "_y", bins)
     for c in columns:
-        binned = S.quantile_bins(binned, c, f"_{c}", bins)
+        binned = S.quantile_bins(binned, c, f"_{c}", bins, base)
     long = binned.select("_y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{c}").alias("x")) for c in columns])).alias("p")).select("_y", "p.*").where("_y is not null and x is not null")
     cells = long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).cast("double").alias("n"))  # at most bins * bins rows a feature
     w = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
