@@ -6,10 +6,11 @@ and a coordinate keeps its smallest (round, value); as the last rounds visit eac
 coordinate in turn, all are filled, and the sketch's estimate is concentrated as if
 its coordinates were independent. Bands of coordinates are the bucket keys.
 
-Equal sets are one node. Buckets are never expanded into all pairs: while a bucket
-holds several components, each round offers every document one partner of another
-component; the full sets of both decide. When few untested pairs are left, or no
-round helps, all of them are tested, so that no candidate pair goes unseen.
+Equal sets are one node. Buckets are cut into blocks whose sketches are compared as
+matrices; a pair becomes a row only if its estimate comes near the limit and its
+documents are not yet connected. In the first rounds every document's best partner
+is verified on full sets; the last round verifies all pairs that are left, so no
+candidate pair goes unseen.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ SHINGLE = 5
 #: 48 bands of 6: a pair of similarity 0.75 shares no band with probability 0.00008, one of 0.1 shares one with 0.00005.
 BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
+#: Estimates this far below the limit are still verified: 3.5 standard deviations of BINS coordinates at 0.75.
+MARGIN = 0.09
+#: Rows of a block, and rounds in which each document tests its best partner only.
+BLOCK, LINEAR_ROUNDS = 1024, 2
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -90,24 +95,26 @@ def bands(coordinates: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, key, bands``: set size, digest of the set (NULL if empty) and bucket keys."""
+    """``id, n, key, bands, coords``: set size, digest of the set (NULL if empty), bucket keys, and 16 bits of each coordinate."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sizes, keys, found = [], [], []
+                sizes, keys, found, coords = [], [], [], []
                 for text in batch.column(1):
                     s = shingle_set(text.as_py())
                     sizes.append(len(s))
                     keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    found.append(bands(sketch(s)) if len(s) else np.zeros(0, np.int64))
+                    full = sketch(s) if len(s) else None
+                    found.append(bands(full) if full is not None else np.zeros(0, np.int64))
+                    coords.append((_mix(full) >> np.uint64(48)).astype(np.uint16).tobytes() if full is not None else None)
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists], names=["id", "n", "key", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(coords, pa.binary())], names=["id", "n", "key", "bands", "coords"])
 
     text = F.col(f"`{text_col}`").cast("binary").alias("text")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text).mapInArrow(run, "id long, n long, key binary, bands array<long>")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text).mapInArrow(run, "id long, n long, key binary, bands array<long>, coords binary")
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -140,6 +147,78 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
+def promising(rows: DataFrame, coords: DataFrame, percent: int, each: int | None) -> DataFrame:
+    """Pairs ``a < b`` of different components in one bucket whose sketches agree enough.
+
+    ``rows`` has ``bkey, node, comp``; buckets are cut into blocks, and block pairs
+    are compared as matrices, so a pair costs no row unless its estimate is within
+    MARGIN of the limit. With ``each``, every document keeps its best partners only.
+    """
+    sized = rows.groupBy("bkey").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    cells = (
+        rows.join(sized.select("bkey", blocks.alias("blocks")), "bkey")
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("node", "bkey", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "comp")
+        .join(coords, "node")
+        .select("bkey", "x", "y", "block", "node", "comp", "coords")
+    )
+    cells = cells.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y")
+    least = int(np.ceil(BINS * (percent / 100 - MARGIN)))
+
+    def solve(x: int, y: int, group: list) -> list[tuple[int, int, int]]:
+        block, node, comp = (np.array([g[k] for g in group], np.int64) for k in range(3))
+        if (comp == comp[0]).all():
+            return []
+        grid = np.stack([np.frombuffer(g[3], np.uint16) for g in group])
+        left = np.flatnonzero(block == x)
+        right = left if x == y else np.flatnonzero(block == y)
+        out = []
+        for i in left:
+            other = right[(comp[right] != comp[i]) & ((right > i) if x == y else True)]
+            agree = (grid[other] == grid[i]).sum(1)
+            for k in np.flatnonzero(agree >= least):
+                j = other[k]
+                out.append((int(min(node[i], node[j])), int(max(node[i], node[j])), int(agree[k])))
+        if each and len(out) > each:  # per block, then over all blocks
+            best: dict[int, list] = {}
+            for a, b, n in sorted(out, key=lambda p: (-p[2], p[0], p[1])):
+                for v in (a, b):
+                    if len(best.setdefault(v, [])) < each:
+                        best[v].append((a, b, n))
+            out = list({p for ps in best.values() for p in ps})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group, out = None, [], []
+
+        def batch_of(pairs: list) -> pa.RecordBatch:
+            cols = list(zip(*pairs, strict=True)) if pairs else [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
+
+        for batch in batches:
+            for bkey, x, y, *rest in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+                if at != (bkey, x, y):
+                    if len(group) > 1:
+                        out += solve(at[1], at[2], group)
+                    at, group = (bkey, x, y), []
+                group.append(rest)
+            if len(out) > 20_000:
+                yield batch_of(out)
+                out = []
+        if len(group) > 1:
+            out += solve(at[1], at[2], group)
+        yield batch_of(out)
+
+    pairs = cells.mapInArrow(run, "a long, b long, n long").distinct()
+    if not each:
+        return pairs.select("a", "b")
+    # The best partners of each document over all its buckets: repeated maxima, so no document's pairs are ever gathered.
+    either = pairs.select(F.col("a").alias("node"), "n", "a", "b").union(pairs.select("b", "n", "a", "b"))
+    return either.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """Components of documents linked by a shingle similarity of at least ``percent``.
 
@@ -155,47 +234,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sig = materialise(signatures(docs, id_col, text_col))
     classes = sig.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     # One row of each class goes on.
-    nodes = sig.join(classes, "key").where("id = rep").select(F.col("id").alias("node"), F.explode("bands").alias("bkey"))
+    chosen = sig.join(classes, "key").where("id = rep").select(F.col("id").alias("node"), "bands", "coords")
+    nodes = chosen.select("node", F.explode("bands").alias("bkey"))
     full = nodes.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey")
     rows = materialise(nodes.join(full, "bkey").distinct())
-    comp = rows.select("node").distinct().withColumn("comp", F.col("node"))
-    tested = None
-    links = None
-    turn = 0
-    while True:
-        turn += 1
+    members = materialise(rows.select("node").distinct())
+    coords = materialise(chosen.join(members, "node", "left_semi").groupBy("node").agg(F.max("coords").alias("coords")))
+    comp = members.withColumn("comp", F.col("node"))
+    tested = links = None
+    for turn in range(1, LINEAR_ROUNDS + 2):
         placed = materialise(rows.join(comp, "node"))
-        # Buckets that still hold several components.
-        spread = placed.groupBy("bkey").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("o"), "node", "comp")).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-        offers = (
-            placed.join(spread.select("bkey", F.col("p.node").alias("other"), F.col("p.comp").alias("other_comp")), "bkey")
-            .where("comp <> other_comp")
-            .groupBy(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"), "node")
-            .agg(F.count(F.lit(1)).alias("n"))
-        )
-        if tested is not None:
-            offers = offers.join(tested, ["a", "b"], "left_anti")
-        # The partner with most bands in common.
-        best = offers.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-        pairs = materialise(best)
-        last = turn > 3
-        if last or pairs.isEmpty():
-            left, right = placed.alias("l"), placed.alias("r")
-            rest = (
-                left.join(right, F.col("l.bkey") == F.col("r.bkey"))
-                .where("l.node < r.node and l.comp <> r.comp")
-                .select(F.col("l.node").alias("a"), F.col("r.node").alias("b"))
-                .distinct()
-            )
-            pairs = materialise(rest if tested is None else rest.join(tested, ["a", "b"], "left_anti"))
-            last = True
+        last = turn > LINEAR_ROUNDS
+        pairs = promising(placed, coords, percent, None if last else 4)
+        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        if pairs.isEmpty():
+            if last:
+                break
+            continue
         found = materialise(verified(pairs, docs, id_col, text_col, percent))
-        links = found if links is None else materialise(links.union(found))
-        tested = pairs if tested is None else materialise(tested.union(pairs))
-        joined = connected_components(links)
-        comp = rows.select("node").distinct().join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
-        if last:
-            break
+        links = found if links is None else links.union(found)
+        tested = pairs if tested is None else tested.union(pairs)
+        if not found.isEmpty():
+            joined = connected_components(links)
+            comp = materialise(members.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
     component = comp.select(F.col("node").alias("rep"), "comp")
     return (
         sig.select("id", "n", "key")
