@@ -17,6 +17,8 @@ from hearthline.llm.common import materialise, without_blanks
 
 #: The finest directory: at most 2**MAX_DEPTH entries, which bounds what the driver and a broadcast hold.
 MAX_DEPTH = 14
+#: Bits of the broadcast bitmap (2 MB of rows at the most) that keeps texts with keys of their own from being moved.
+BITMAP_BITS = 23
 
 
 def split_directory(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
@@ -64,6 +66,26 @@ def in_buckets(rows: DataFrame, directory: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(directory), _prefix() == F.col("entry")).drop("entry", "depth")
 
 
+def _slot(h: str = "h"):
+    """Word and bit of a key in a bitmap of 2**BITMAP_BITS bits."""
+    at = F.col(h).bitwiseAND((1 << BITMAP_BITS) - 1)
+    return F.shiftright(at, 6).alias("word"), at.bitwiseAND(63).cast("int")
+
+
+def bitmap(keys: DataFrame) -> DataFrame:
+    """``word, bits``: at most 2**(BITMAP_BITS - 6) rows, whatever the number of keys."""
+    word, bit = _slot()
+    return keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
+
+
+def possible(rows: DataFrame, keys: DataFrame, within: bool = True) -> DataFrame:
+    """The rows whose key ``h`` may be among ``keys`` (or, not ``within``, surely is not), without a shuffle of the rows."""
+    word, bit = _slot()
+    marked = rows.withColumn("_w", word).join(F.broadcast(bitmap(keys).withColumnRenamed("word", "_w")), "_w", "left")
+    hit = F.coalesce(F.expr("(shiftright(bits, cast(h & 63 AS int)) & 1) = 1"), F.lit(False))
+    return marked.where(hit if within else ~hit).drop("_w", "bits")
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
     """Group rows whose texts are equal once all of ``[\\x20\\x09-\\x0D]`` is deleted.
 
@@ -86,12 +108,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     directory = build_directory(keys, capacity)
     # The index file set: each file is one owner's range of buckets and keys.
     index = materialise(in_buckets(keys, directory).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"))
-    # Only keys with several rows can hold copies or collisions; the texts of all others are never moved.
     shared = index.where("n > 1").select("h")
+    # Only keys with several rows can hold copies or collisions; the texts of nearly all others are never moved.
     # The longest row wins, then the smallest id: NULL ids sort below every other in `best`.
     best = F.max(F.struct("len", F.negative(F.col("id").cast("decimal(20,0)")).alias("neg")))
     chains = (
-        source.select("id", "len", F.xxhash64("norm").alias("h"), "norm")
+        possible(source.select("id", "len", F.xxhash64("norm").alias("h"), "norm"), shared)
         .join(shared, "h", "left_semi")
         .groupBy("h", "norm")  # equal bytes; partial sums keep a hot text to one row per task
         .agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
@@ -119,14 +141,21 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Rows that repeat both id and text all carry the surviving id; one of them stays.
     """
-    groups = exact_duplicates(docs, id_col, text_col)
-    kept = groups.where("kept").groupBy(F.col(id_col).alias("_kid"), F.col("text_sha256").alias("_ksha")).agg(
-        (F.count(F.lit(1)) > 1).alias("_again")
-    )
-    sha = F.sha2(without_blanks(F.col(f"`{text_col}`")), 256)
-    named = docs.withColumn("_sha", sha)
-    found = named.join(kept, named[f"`{id_col}`"].eqNullSafe(kept["_kid"]) & (named["_sha"] == kept["_ksha"]))
-    once = found.where("not _again")
+    groups = materialise(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_kid"), "kept", "group_size", F.unhex("text_sha256").alias("_ksha")))
+    # The leading bytes of the digest serve as key here; a row travels as one struct, so no name can clash.
+    lead = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    sha = F.unhex(F.sha2(without_blanks(F.col(f"`{text_col}`")), 256)).alias("_sha")
+    named = docs.select(row, F.col(f"`{id_col}`").alias("_id"), sha).withColumn("h", lead(F.col("_sha")))
+    several = materialise(groups.where("group_size > 1"))
+    keys = several.select(lead(F.col("_ksha")).alias("h")).distinct()
+    alone = possible(named, keys, within=False)
+    kept = groups.where("kept").groupBy("_kid", "_ksha").agg((F.count(F.lit(1)) > 1).alias("_again"))
+    kept = possible(kept.withColumn("h", lead(F.col("_ksha"))), keys).drop("h")
+    maybe = possible(named, keys)
+    found = maybe.join(kept, maybe["_id"].eqNullSafe(kept["_kid"]) & (maybe["_sha"] == kept["_ksha"]))
+    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
+    once = found.where("not _again").select(*columns)
     # Repeated rows meet in a partial aggregate first.
-    again = found.where("_again").dropDuplicates(["_kid", "_ksha"])
-    return once.unionByName(again).select(*[f"`{c}`" for c in docs.columns])
+    again = found.where("_again").dropDuplicates(["_kid", "_ksha"]).select(*columns)
+    return alone.select(*columns).unionByName(once).unionByName(again)
