@@ -70,3 +70,13 @@ def without_blanks(text: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words; 0 for NULL."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no name can clash with those of an operator."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row")
+
+
+def from_row(df: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` out of ``_row``."""
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in like.columns])

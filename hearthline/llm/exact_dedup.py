@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import materialise, without_blanks
+from hearthline.llm.common import as_row, from_row, materialise, without_blanks
 
 #: The finest directory: at most 2**MAX_DEPTH entries, which bounds what the driver and a broadcast hold.
 MAX_DEPTH = 14
@@ -144,9 +144,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     groups = materialise(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_kid"), "kept", "group_size", F.unhex("text_sha256").alias("_ksha")))
     # The leading bytes of the digest serve as key here; a row travels as one struct, so no name can clash.
     lead = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     sha = F.unhex(F.sha2(without_blanks(F.col(f"`{text_col}`")), 256)).alias("_sha")
-    named = docs.select(row, F.col(f"`{id_col}`").alias("_id"), sha).withColumn("h", lead(F.col("_sha")))
+    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), sha).withColumn("h", lead(F.col("_sha")))
     several = materialise(groups.where("group_size > 1"))
     keys = several.select(lead(F.col("_ksha")).alias("h")).distinct()
     alone = possible(named, keys, within=False)
@@ -154,8 +153,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = possible(kept.withColumn("h", lead(F.col("_ksha"))), keys).drop("h")
     maybe = possible(named, keys)
     found = maybe.join(kept, maybe["_id"].eqNullSafe(kept["_kid"]) & (maybe["_sha"] == kept["_ksha"]))
-    columns = [F.col("_row").getField(c).alias(c) for c in docs.columns]
-    once = found.where("not _again").select(*columns)
+    once = found.where("not _again").select("_row")
     # Repeated rows meet in a partial aggregate first.
-    again = found.where("_again").dropDuplicates(["_kid", "_ksha"]).select(*columns)
-    return alone.select(*columns).unionByName(once).unionByName(again)
+    again = found.where("_again").dropDuplicates(["_kid", "_ksha"]).select("_row")
+    return from_row(alone.select("_row").unionByName(once).unionByName(again), docs)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import materialise
+from hearthline.llm.common import as_row, from_row, materialise
 from hearthline.llm.components import connected_components
 
 SHINGLE = 5
@@ -283,7 +283,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
         .groupBy(F.col(id_col).alias("_kid"))
         .agg((F.count(F.lit(1)) > 1).alias("_again"))
     )
-    found = docs.join(kept, docs[f"`{id_col}`"] == kept["_kid"])
-    parts = [found.where("not _again"), found.where("_again").dropDuplicates(["_kid"]), docs.where(f"`{id_col}` is null")]
-    columns = [f"`{c}`" for c in docs.columns]
-    return parts[0].select(*columns).unionByName(parts[1].select(*columns)).unionByName(parts[2])
+    rows = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"))
+    found = rows.join(kept, F.col("_id") == F.col("_kid"))
+    parts = [found.where("not _again"), found.where("_again").dropDuplicates(["_kid"]), rows.where("_id is null")]
+    return from_row(parts[0].select("_row").unionByName(parts[1].select("_row")).unionByName(parts[2].select("_row")), docs)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import materialise, word_count
+from hearthline.llm.common import as_row, from_row, materialise, word_count
 
 BITS = 10
 LEVELS = 3
@@ -135,7 +135,6 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     taken = mix_sources(docs, id_col, text_col, **options).where("repeats > 0")
     # Copies of one id and text are taken alike, so one row stands for them.
     taken = taken.groupBy(F.col(id_col).alias("_tid"), F.col("text_hash").alias("_th")).agg(F.max("repeats").alias("_r"))
-    named = docs.withColumn("_h", F.xxhash64(F.col(f"`{text_col}`")))
-    found = named.join(taken, named[f"`{id_col}`"].eqNullSafe(taken["_tid"]) & (named["_h"] == taken["_th"]))
-    again = found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_r").cast("int"))))
-    return again.select(*[f"`{c}`" for c in docs.columns])
+    rows = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("_h"))
+    found = rows.join(taken, F.col("_id").eqNullSafe(F.col("_tid")) & (F.col("_h") == F.col("_th")))
+    return from_row(found.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_r").cast("int")))), docs)
