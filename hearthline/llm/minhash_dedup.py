@@ -147,12 +147,13 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, perc
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
-def promising(rows: DataFrame, coords: DataFrame, percent: int, each: int | None) -> DataFrame:
+def promising(rows: DataFrame, coords: DataFrame, percent: int, each: bool) -> DataFrame:
     """Pairs ``a < b`` of different components in one bucket whose sketches agree enough.
 
-    ``rows`` has ``bkey, node, comp``; buckets are cut into blocks, and block pairs
-    are compared as matrices, so a pair costs no row unless its estimate is within
-    MARGIN of the limit. With ``each``, every document keeps its best partners only.
+    ``rows`` has ``bkey, band, node, comp``; buckets are cut into blocks, and block
+    pairs are compared as matrices, so a pair costs no row unless its estimate is
+    within MARGIN of the limit, and then one row, from the first band that both share.
+    With ``each``, every document keeps its best partner only.
     """
     sized = rows.groupBy("bkey").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
@@ -160,35 +161,37 @@ def promising(rows: DataFrame, coords: DataFrame, percent: int, each: int | None
         rows.join(sized.select("bkey", blocks.alias("blocks")), "bkey")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", "bkey", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "comp")
+        .select("node", "bkey", "band", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "comp")
         .join(coords, "node")
-        .select("bkey", "x", "y", "block", "node", "comp", "coords")
+        .select("bkey", "x", "y", "band", "block", "node", "comp", "coords")
     )
     cells = cells.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y")
     least = int(np.ceil(BINS * (percent / 100 - MARGIN)))
 
     def solve(x: int, y: int, group: list) -> list[tuple[int, int, int]]:
-        block, node, comp = (np.array([g[k] for g in group], np.int64) for k in range(3))
+        block, node, comp = (np.array([g[k] for g in group], np.int64) for k in (1, 2, 3))
         if (comp == comp[0]).all():
             return []
-        grid = np.stack([np.frombuffer(g[3], np.uint16) for g in group])
+        band = int(group[0][0])
+        grid = np.stack([np.frombuffer(g[4], np.uint16) for g in group])
         left = np.flatnonzero(block == x)
         right = left if x == y else np.flatnonzero(block == y)
-        out = []
+        out, best = [], {}
         for i in left:
             other = right[(comp[right] != comp[i]) & ((right > i) if x == y else True)]
-            agree = (grid[other] == grid[i]).sum(1)
-            for k in np.flatnonzero(agree >= least):
-                j = other[k]
-                out.append((int(min(node[i], node[j])), int(max(node[i], node[j])), int(agree[k])))
-        if each and len(out) > each:  # per block, then over all blocks
-            best: dict[int, list] = {}
-            for a, b, n in sorted(out, key=lambda p: (-p[2], p[0], p[1])):
-                for v in (a, b):
-                    if len(best.setdefault(v, [])) < each:
-                        best[v].append((a, b, n))
-            out = list({p for ps in best.values() for p in ps})
-        return out
+            same = grid[other] == grid[i]
+            near = np.flatnonzero(same.sum(1) >= least)
+            same, other = same[near], other[near]
+            first = same.reshape(len(near), BANDS, ROWS).all(2).argmax(1) == band
+            for j, n in zip(other[first], same[first].sum(1), strict=True):
+                pair = (int(min(node[i], node[j])), int(max(node[i], node[j])), int(n))
+                if not each:
+                    out.append(pair)
+                    continue
+                for v in (i, j):
+                    if v not in best or (pair[2], pair) > (best[v][2], best[v]):
+                        best[v] = pair
+        return out if not each else sorted(set(best.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group, out = None, [], []
@@ -198,7 +201,7 @@ def promising(rows: DataFrame, coords: DataFrame, percent: int, each: int | None
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
 
         for batch in batches:
-            for bkey, x, y, *rest in zip(*[batch.column(k).to_pylist() for k in range(7)], strict=True):
+            for bkey, x, y, *rest in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
                 if at != (bkey, x, y):
                     if len(group) > 1:
                         out += solve(at[1], at[2], group)
@@ -214,7 +217,7 @@ def promising(rows: DataFrame, coords: DataFrame, percent: int, each: int | None
     pairs = cells.mapInArrow(run, "a long, b long, n long").distinct()
     if not each:
         return pairs.select("a", "b")
-    # The best partners of each document over all its buckets: repeated maxima, so no document's pairs are ever gathered.
+    # The best partner of each document over all its buckets.
     either = pairs.select(F.col("a").alias("node"), "n", "a", "b").union(pairs.select("b", "n", "a", "b"))
     return either.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
 
@@ -235,7 +238,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sig.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     # One row of each class goes on.
     chosen = sig.join(classes, "key").where("id = rep").select(F.col("id").alias("node"), "bands", "coords")
-    nodes = chosen.select("node", F.explode("bands").alias("bkey"))
+    nodes = chosen.select("node", F.posexplode("bands").alias("band", "bkey"))
     full = nodes.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey")
     rows = materialise(nodes.join(full, "bkey").distinct())
     members = materialise(rows.select("node").distinct())
@@ -245,7 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for turn in range(1, LINEAR_ROUNDS + 2):
         placed = materialise(rows.join(comp, "node"))
         last = turn > LINEAR_ROUNDS
-        pairs = promising(placed, coords, percent, None if last else 4)
+        pairs = promising(placed, coords, percent, not last)
         pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
             if last:
