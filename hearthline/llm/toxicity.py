@@ -211,6 +211,8 @@ class Model:
     knots: tuple[np.ndarray, np.ndarray]
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        if not self.trees.trees:
+            return np.full(len(x), self.knots[1][0])
         raw = self.trees.raw(x)
         # The small second part keeps the trees' order inside a block.
         return np.clip(0.998 * np.interp(raw, *self.knots) + 0.002 / (1 + np.exp(-raw)), 0, 1)
