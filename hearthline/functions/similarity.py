@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,27 +26,6 @@ def same(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.5).when(a == b, 1.0).otherwise(0.0)
 
 
-def location_similarity(a, b) -> Column:
-    """Mean of the city, neighborhood and coordinate parts; 0 for different cities. ``a(name)`` gives a column."""
-    hood = F.when(a("neighborhood").isNull() | b("neighborhood").isNull(), 0.5).when(F.lower(a("neighborhood")) == F.lower(b("neighborhood")), 1.0)
-    closest = F.greatest(F.length(a("neighborhood")), F.length(b("neighborhood")), F.lit(1))
-    hood = hood.otherwise(1 - F.levenshtein(F.lower(a("neighborhood")), F.lower(b("neighborhood"))) / closest)
-    m = haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude")) * 1000
-    near = F.when(m <= 100, 1.0).when(m <= 500, 0.8).when(m <= 1000, 0.6).when(m.isNotNull(), 0.0)
-    mean = F.when(near.isNull(), (1 + hood) / 2).otherwise((1 + hood + near) / 3)
-    return F.when(a("city") == b("city"), mean).otherwise(0.0)
-
-
-def feature_similarity(a, b) -> Column:
-    return (
-        0.3 * ratio_similarity(a("price_mad"), b("price_mad"))
-        + 0.25 * ratio_similarity(a("surface_m2"), b("surface_m2"))
-        + 0.25 * location_similarity(a, b)
-        + 0.1 * same(a("rooms"), b("rooms"))
-        + 0.1 * same(a("property_type"), b("property_type"))
-    )
-
-
 def _terms(title: str) -> Counter[str]:
     words = [w for w in "".join(c if c.isalnum() or c == "_" else " " for c in title.lower()).split() if len(w) > 1]
     return Counter(words) + Counter(" ".join(p) for p in zip(words, words[1:], strict=False))
@@ -65,3 +45,42 @@ def title_score(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([title_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+@lru_cache(1 << 16)
+def _name_score(a: str, b: str) -> float:
+    return title_score(a, b)
+
+
+@F.pandas_udf(DoubleType())
+def name_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """As ``title_similarity``, for names of which few are distinct."""
+    return pd.Series([_name_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
+
+
+def neighborhood_similarity(a: Column, b: Column) -> Column:
+    """1 if equal, 0.5 if one is NULL or empty, else the similarity of the names as titles."""
+    missing = (F.coalesce(a, F.lit("")) == "") | (F.coalesce(b, F.lit("")) == "")
+    # Equal and missing names reach Python as NULL.
+    differ = ~missing & (a != b)
+    return F.when(missing, 0.5).when(a == b, 1.0).otherwise(name_similarity(F.when(differ, a), F.when(differ, b)))
+
+
+def location_similarity(a, b, hood: Column | None = None) -> Column:
+    """Mean of the city, neighborhood and coordinate parts; 0 for different cities. ``a(name)`` gives a column; ``hood`` is the neighborhood part if it is known."""
+    if hood is None:
+        hood = neighborhood_similarity(a("neighborhood"), b("neighborhood"))
+    m = haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude")) * 1000
+    near = F.when(m <= 100, 1.0).when(m <= 500, 0.8).when(m <= 1000, 0.6).when(m.isNotNull(), 0.0)
+    mean = F.when(near.isNull(), (1 + hood) / 2).otherwise((1 + hood + near) / 3)
+    return F.when(a("city") == b("city"), mean).otherwise(0.0)
+
+
+def feature_similarity(a, b, hood: Column | None = None) -> Column:
+    return (
+        0.3 * ratio_similarity(a("price_mad"), b("price_mad"))
+        + 0.25 * ratio_similarity(a("surface_m2"), b("surface_m2"))
+        + 0.25 * location_similarity(a, b, hood)
+        + 0.1 * same(a("rooms"), b("rooms"))
+        + 0.1 * same(a("property_type"), b("property_type"))
+    )

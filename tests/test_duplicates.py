@@ -2,6 +2,10 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from hearthline.functions import similarity
 from hearthline.operators import dedup
 
 SCHEMA = "id long, title string, city string, neighborhood string, latitude double, longitude double, price_mad double, surface_m2 double, source_id string, source_platform string"
@@ -49,3 +53,24 @@ def test_title_blocks_lose_no_match_of_a_city(spark):
     df = spark.createDataFrame([row(i) for i in range(150)], SCHEMA)
     got, want = _found(df), _found(df, exact_titles=True)
     assert got == want and sum(kind == "title" for kind, _ in got.values()) > 100
+
+
+def test_names_of_neighborhoods_are_compared_as_titles(spark):
+    names = [("Gauthier", "Gauthier Centre Ville"), ("Maarif Extension", "Extension Maarif"), ("Agdal", "Haut Agdal Riad"), ("AGDAL", "agdal"), ("", "Agdal"), (None, "Agdal"), ("Agdal", "Oulfa")]
+    rows = []
+    for k, pair in enumerate(names):
+        rows += [(2 * k + i, "appartement moderne centre ville", f"city {k}", name, None, None, 1_000_000.0 + 200_000 * i, None, str(2 * k + i), "a") for i, name in enumerate(pair)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = _found(df)
+    assert {p for p, (kind, _) in found.items() if kind == "title"} == {(2 * k, 2 * k + 1) for k in range(6)}
+    pairs = df.alias("a").join(df.alias("b"), F.expr("a.city = b.city AND a.id < b.id"))
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    got = [r["s"] for r in pairs.select(x("id").alias("id"), similarity.location_similarity(x, y).alias("s")).orderBy("id").collect()]
+    want = [(1 + (0.5 if not p or not q else similarity.title_score(p, q))) / 2 for p, q in names]
+    assert got == pytest.approx(want) and [round(g, 2) for g in got[:3]] == [0.78, 0.78, 0.75]
+
+
+def test_features_count_the_names_of_neighborhoods_as_titles(spark):
+    rows = [(i, f"{i}", "rabat", name, None, None, 1_000_000.0, surface, str(i), "a") for i, (name, surface) in enumerate([("Maarif Extension", 100.0), ("Extension Maarif", 72.0)])]
+    # 0.3 + 0.25 * 0.72 + 0.25 * 0.78 + 0.2 = 0.87; an edit distance gives 0.56 in place of 0.78, and 0.82.
+    assert {p: kind for p, (kind, _) in _found(spark.createDataFrame(rows, SCHEMA)).items()} == {(0, 1): "features"}
