@@ -101,17 +101,27 @@ def market(df: DataFrame, target: str = "price_mad") -> DataFrame:
     return df
 
 
-def interactions(df: DataFrame, max_values: int = 50) -> DataFrame:
-    """Products; one column for each of the most frequent cities and types, whose names a small job finds."""
+def interactions(df: DataFrame, max_values: int = 1000) -> DataFrame:
+    """Products; one column for each city and type, whose names a small job finds.
+
+    Beyond ``max_values`` of them the most frequent have columns, and the product of any
+    other is the entry of its row in the map ``price_m2_city`` or ``rooms_type``: a value
+    that the map lacks has the product 0, and the map is NULL where the product is.
+    """
     has, out = set(df.columns), {}
     for name, a, b in (("size_location_interaction", "surface_m2", "location_premium_score"), ("luxury_location_interaction", "luxury_score", "location_premium_score")):
         if {a, b} <= has:
             out[name] = F.col(a) * F.col(b)
     for prefix, value, key in (("price_m2_city", "price_per_m2", "city_cleaned"), ("rooms_type", "rooms", "property_type_cleaned")):
         if {value, key} <= has:
-            top = df.where(F.col(key).isNotNull()).groupBy(key).count().orderBy(F.desc("count"), key).limit(max_values)
-            for v in sorted(r[0] for r in top.collect()):
+            top = df.where(F.col(key).isNotNull()).groupBy(key).count().orderBy(F.desc("count"), key).limit(max_values + 1)
+            values = [r[0] for r in top.collect()]
+            for v in sorted(values[:max_values]):
                 out[f"{prefix}_{v}"] = F.col(value) * F.coalesce(F.col(key) == v, F.lit(False)).cast("int")
+            if len(values) > max_values:
+                other = F.coalesce(~F.col(key).isin(values[:max_values]), F.lit(False))
+                entry = F.create_map(F.col(key), F.col(value))
+                out[prefix] = F.when(F.col(value).isNotNull(), F.when(other, entry).otherwise(F.create_map().cast(f"map<string,{df.schema[value].dataType.simpleString()}>")))
     return _added(df, out)
 
 
