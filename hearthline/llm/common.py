@@ -2,57 +2,23 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hearthline.plans.tables import cut as materialise  # noqa: F401  used by the operators
+
 #: The characters of ``[\x20\x09-\x0D]``, the only ones that count as white space here.
 BLANKS = " \t\n\x0b\f\r"
 #: Words in the sense of the corpus operators.
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
-    sc = spark.sparkContext._jsc.sc()
-    if sc.getCheckpointDir().isDefined():
-        return sc.getCheckpointDir().get()
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="hearthline-")
-    spark.sparkContext.setCheckpointDir(folder)
-    return sc.getCheckpointDir().get()
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage: write the rows as Parquet in the shared folder and read them again.
-
-    Any executor can read the table, so none that is lost takes data with it. Unlike
-    a checkpointed plan, it carries neither inferred constraints nor estimated sizes
-    of its origin, which grow without bound in loops of joins, but true file sizes.
-    The tables are removed when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{uuid.uuid4()}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(clear)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def clear() -> None:
-    """Remove the tables written so far; frames that read them can't be used afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):  # the session may have ended
-            target = spark._jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+#: A key with more than one in so many rows is hot; so there are fewer hot keys than this.
+HOT_KEYS = 10_000
+#: Bits of a broadcast bitmap: 2**MAX_BITS of them are half a million rows of 16 bytes.
+MIN_BITS, MAX_BITS = 12, 25
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -80,3 +46,84 @@ def as_row(df: DataFrame) -> Column:
 def from_row(df: DataFrame, like: DataFrame) -> DataFrame:
     """The columns of ``like`` out of ``_row``."""
     return df.select(*[F.col("_row").getField(c).alias(c) for c in like.columns])
+
+
+def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+    """Left join of ``rows`` with the one row that ``keyed`` has for a key, in which no hot key fills a task.
+
+    ``weight`` says how many rows a key has. Fewer than HOT_KEYS keys can have more
+    than one in HOT_KEYS of all rows; these are broadcast, and their rows, like those
+    without a key, are dealt by the column ``spread`` instead of meeting in one task.
+    """
+    total = keyed.agg(F.sum(weight)).first()[0] or 0
+    values = F.struct(*[c for c in keyed.columns if c != key])
+    is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
+    hot = keyed.where(is_hot).select(F.col(key).alias("_hk"), values.alias("_hot"))
+    # The remainder is always 0, but not a constant that the optimiser could fold out of the join's keys.
+    cold = keyed.where(~is_hot).select(F.col(key).alias("_ck"), F.pmod(F.hash(key), F.lit(1)).alias("_cs"), values.alias("_cold"))
+    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(
+        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), 1 + F.pmod(F.hash(spread), F.lit(1 << 20))).otherwise(0)
+    )
+    both = salted.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
+    found = F.coalesce("_hot", "_cold")
+    return both.select(*rows.columns, *[found.getField(c).alias(c) for c in keyed.columns if c != key])
+
+
+def bitmap_bits(keys: int) -> int:
+    """Bits of a bitmap that is at most an eighth full, up to the largest allowed."""
+    return min(MAX_BITS, max(MIN_BITS, (8 * keys).bit_length()))
+
+
+def _slot(key: str, bits: int) -> tuple[Column, Column]:
+    """Word and bit of a 64-bit key in a bitmap of 2**bits bits."""
+    at = F.col(key).bitwiseAND((1 << bits) - 1)
+    return F.shiftright(at, 6), at.bitwiseAND(63).cast("int")
+
+
+def bitmap(keys: DataFrame, key: str, bits: int) -> DataFrame:
+    """``word, bits``: at most 2**(bits - 6) rows, whatever the number of keys."""
+    word, _ = _slot(key, bits)
+    return keys.groupBy(word.alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({key} & 63 AS int))")).alias("bits"))
+
+
+def possible(rows: DataFrame, keys: DataFrame, key: str, bits: int, within: bool = True) -> DataFrame:
+    """The rows whose key may be among ``keys`` (or, not ``within``, surely is not), without a shuffle of the rows.
+
+    A bitmap that is too small for many keys lets more rows pass as possible, never fewer.
+    """
+    word, _ = _slot(key, bits)
+    marked = rows.withColumn("_w", word).join(F.broadcast(bitmap(keys, key, bits).withColumnRenamed("word", "_w")), "_w", "left")
+    hit = F.coalesce(F.expr(f"(shiftright(bits, cast({key} & 63 AS int)) & 1) = 1"), F.lit(False))
+    return marked.where(hit if within else ~hit).drop("_w", "bits")
+
+
+def binaries(column: pa.Array, dtype: type) -> list[np.ndarray]:
+    """The values of a binary column as arrays that share its memory."""
+    _, offsets, data = column.buffers()
+    wide = pa.types.is_large_binary(column.type)
+    at = np.frombuffer(offsets, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [raw[a:b].view(dtype) for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def grouped(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[tuple[tuple[int, ...], list[tuple[pa.RecordBatch, int, int]]]]:
+    """Runs of rows that agree in the first ``width`` long columns, as parts ``batch, from, to``.
+
+    The rows come sorted by those columns; a run may go on in the next batch.
+    """
+    at: tuple[int, ...] | None = None
+    parts: list[tuple[pa.RecordBatch, int, int]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(width)])
+        starts = np.concatenate([[0], np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1])
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            here = tuple(keys[:, a].tolist())
+            if here != at:
+                if parts:
+                    yield at, parts
+                at, parts = here, []
+            parts.append((batch, int(a), int(b)))
+    if parts:
+        yield at, parts

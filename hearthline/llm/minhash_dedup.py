@@ -6,26 +6,27 @@ and a coordinate keeps its smallest (round, value); as the last rounds visit eac
 coordinate in turn, all are filled, and the sketch's estimate is concentrated as if
 its coordinates were independent. Bands of coordinates are the bucket keys.
 
-Equal sets are one node. Buckets are cut into blocks whose sketches are compared as
-matrices; a pair becomes a row only if its estimate comes near the limit and its
-documents are not yet connected. In the first rounds every document's best partner
-is verified on full sets; the last round verifies all pairs that are left, so no
-candidate pair goes unseen.
+Equal sets are one node. Sketches and full sets of the nodes that share a bucket are
+carried into cells, buckets or blocks of large ones, in which pairs of different
+components are compared: estimates first, then the full sets, each pair in the first
+band that both share. A cell joins what it links and returns one row for each
+component that it merges, never its pairs. A few bands are compared first, so that
+the later ones carry only buckets that still hold several components. Large buckets
+are at last compared block by block wherever components still differ.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import as_row, from_row, materialise
+from hearthline.llm.common import as_row, binaries, bitmap_bits, from_row, grouped, lookup, materialise, possible
 from hearthline.llm.components import connected_components
 
 SHINGLE = 5
@@ -34,8 +35,10 @@ BANDS, ROWS = 48, 6
 BINS = BANDS * ROWS
 #: Estimates this far below the limit are still verified: 3.5 standard deviations of BINS coordinates at 0.75.
 MARGIN = 0.09
-#: Rows of a block, and rounds in which each document tests its best partner only.
-BLOCK, LINEAR_ROUNDS = 1024, 2
+#: Coordinates are kept by this many bits of their hash; unequal ones agree by chance with probability 1/256, which only adds candidates.
+COORDINATE = np.uint8
+#: Rows and bytes of full sets in a block, about, and the bands that are compared first.
+BLOCK, BLOCK_BYTES, FIRST_BANDS = 1024, 8 << 20, 6
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,36 +88,35 @@ def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     return out
 
 
-def bands(coordinates: np.ndarray) -> np.ndarray:
-    """One bucket key per band."""
-    grid = coordinates.reshape(BANDS, ROWS)
-    out = np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        out = _mix(out * _MUL + grid[:, k])
-    return out.view(np.int64)
-
-
 def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, n, key, bands, coords``: set size, digest of the set (NULL if empty), bucket keys, and 16 bits of each coordinate."""
+    """``row, id, tag, n, key, coords``: row number, hash of id and text, set size, digest of the set and sketch (NULL if empty)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
-                sizes, keys, found, coords = [], [], [], []
-                for text in batch.column(1):
+                sizes, keys, coords = [], [], []
+                for text in batch.column(2):
                     s = shingle_set(text.as_py())
                     sizes.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                    full = sketch(s) if len(s) else None
-                    found.append(bands(full) if full is not None else np.zeros(0, np.int64))
-                    coords.append((_mix(full) >> np.uint64(48)).astype(np.uint16).tobytes() if full is not None else None)
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), lists, pa.array(coords, pa.binary())], names=["id", "n", "key", "bands", "coords"])
+                    keys.append(digest(s))
+                    coords.append((_mix(sketch(s)) >> np.uint64(56)).astype(COORDINATE).tobytes() if len(s) else None)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(coords, pa.binary())],
+                    names=["id", "tag", "n", "key", "coords"],
+                )
+
+    found = _texts(docs, id_col, text_col).mapInArrow(run, "id long, tag long, n long, key binary, coords binary")
+    return found.withColumn("row", F.monotonically_increasing_id())
+
 
-    text = F.col(f"`{text_col}`").cast("binary").alias("text")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text).mapInArrow(run, "id long, n long, key binary, bands array<long>, coords binary")
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text, name = F.col(f"`{text_col}`"), F.col(f"`{id_col}`").cast("long")
+    return docs.select(name.alias("id"), F.xxhash64(name, text).alias("tag"), text.cast("binary").alias("text"))
+
+
+def digest(elements: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(elements.tobytes(), digest_size=16).digest() if len(elements) else None
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -122,104 +124,202 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets reach ``percent``. Only texts named by a pair are moved."""
-    named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text")).join(named, "id", "left_semi")
-    both = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``node, n, coords, elements`` for ``members``, whose texts alone are read again into sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: OrderedDict[bytes, np.ndarray] = OrderedDict()
-
-        def of(text: bytes) -> np.ndarray:
-            key = xxhash.xxh3_128_digest(text)
-            if (s := known.get(key)) is None:
-                s = known[key] = shingle_set(text)
-                if len(known) > 64:
-                    known.popitem(last=False)
-            return s
-
-        for batch in batches:
-            ta, tb = batch.column(2), batch.column(3)
-            ok = [similar(of(x.as_py() or b""), of(y.as_py() or b""), percent) for x, y in zip(ta, tb, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                sets = [shingle_set(t.as_py()) for t in whole.column(2).slice(at, 256)]
+                yield pa.RecordBatch.from_arrays([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["key", "elements"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
+    texts = possible(_texts(docs, id_col, text_col), members.select("tag"), "tag", bitmap_bits(members.count()))
+    # Repeated rows, and texts that the bitmap let pass, meet in a partial aggregate.
+    sets = texts.mapInArrow(run, "key binary, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
+    return members.join(sets, "key").select("node", "n", "coords", "elements")
 
 
-def promising(rows: DataFrame, coords: DataFrame, percent: int, each: bool) -> DataFrame:
-    """Pairs ``a < b`` of different components in one bucket whose sketches agree enough.
+def merges(cells: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: components ``a`` that cells join to their smallest component ``b``.
 
-    ``rows`` has ``bkey, band, node, comp``; buckets are cut into blocks, and block
-    pairs are compared as matrices, so a pair costs no row unless its estimate is
-    within MARGIN of the limit, and then one row, from the first band that both share.
-    With ``each``, every document keeps its best partner only.
+    ``cells`` has ``bkey, xp, x, yp, y, band, pure, block, node, comp, n, coords,
+    elements``, where rows of block ``(xp, x)`` meet those of block ``(yp, y)``.
     """
-    sized = rows.groupBy("bkey").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    cells = (
-        rows.join(sized.select("bkey", blocks.alias("blocks")), "bkey")
-        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("node", "bkey", "band", F.least("block", "with").alias("x"), F.greatest("block", "with").alias("y"), "block", "comp")
-        .join(coords, "node")
-        .select("bkey", "x", "y", "band", "block", "node", "comp", "coords")
-    )
-    cells = cells.repartition("bkey", "x", "y").sortWithinPartitions("bkey", "x", "y")
     least = int(np.ceil(BINS * (percent / 100 - MARGIN)))
+    sort = ["bkey", "xp", "x", "yp", "y"]
+    cells = cells.select(*sort, "band", "pure", "block", "comp", "n", "coords", "elements")
 
-    def solve(x: int, y: int, group: list) -> list[tuple[int, int, int]]:
-        block, node, comp = (np.array([g[k] for g in group], np.int64) for k in (1, 2, 3))
-        if (comp == comp[0]).all():
+    def solve(band: int, left: np.ndarray, right: np.ndarray, comp: np.ndarray, n: np.ndarray, grid: np.ndarray, sets: list) -> list[tuple[int, int]]:
+        found, label = np.unique(comp, return_inverse=True)
+        if len(found) < 2:
             return []
-        band = int(group[0][0])
-        grid = np.stack([np.frombuffer(g[4], np.uint16) for g in group])
-        left = np.flatnonzero(block == x)
-        right = left if x == y else np.flatnonzero(block == y)
-        out, best = [], {}
+        merged = False
         for i in left:
-            other = right[(comp[right] != comp[i]) & ((right > i) if x == y else True)]
-            same = grid[other] == grid[i]
-            near = np.flatnonzero(same.sum(1) >= least)
-            same, other = same[near], other[near]
-            first = same.reshape(len(near), BANDS, ROWS).all(2).argmax(1) == band
-            for j, n in zip(other[first], same[first].sum(1), strict=True):
-                pair = (int(min(node[i], node[j])), int(max(node[i], node[j])), int(n))
-                if not each:
-                    out.append(pair)
-                    continue
-                for v in (i, j):
-                    if v not in best or (pair[2], pair) > (best[v][2], best[v]):
-                        best[v] = pair
-        return out if not each else sorted(set(best.values()))
+            other = right[right > i] if left is right else right
+            other = other[label[other] != label[i]]
+            other = other[(100 * n[other] >= percent * n[i]) & (100 * n[i] >= percent * n[other])]
+            if not len(other):
+                continue
+            agree = grid[other] == grid[i]
+            near = np.flatnonzero(agree.sum(1) >= least)
+            if not len(near):
+                continue
+            first = agree[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1) == band
+            other = other[near[first]]
+            if not len(other):
+                continue
+            # Elements in common, for all these partners at once.
+            mine, theirs = sets[i], np.concatenate([sets[j] for j in other])
+            at = np.searchsorted(mine, theirs)
+            hit = mine[np.minimum(at, len(mine) - 1)] == theirs
+            common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[other])[:-1]]), dtype=np.int64)
+            for k in np.unique(label[other[100 * common >= percent * (n[i] + n[other] - common)]]):
+                label[label == k] = label[i]
+                merged = True
+        if not merged:
+            return []
+        low: dict[int, int] = {}
+        for c, k in zip(comp.tolist(), label.tolist(), strict=True):
+            low[k] = min(low.get(k, c), c)
+        return [(c, low[k]) for c, k in {(c, k) for c, k in zip(comp.tolist(), label.tolist(), strict=True)} if c != low[k]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, [], []
-
-        def batch_of(pairs: list) -> pa.RecordBatch:
-            cols = list(zip(*pairs, strict=True)) if pairs else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["a", "b", "n"])
-
-        for batch in batches:
-            for bkey, x, y, *rest in zip(*[batch.column(k).to_pylist() for k in range(8)], strict=True):
-                if at != (bkey, x, y):
-                    if len(group) > 1:
-                        out += solve(at[1], at[2], group)
-                    at, group = (bkey, x, y), []
-                group.append(rest)
+        last, columns = None, []
+
+        def decoded(batch: pa.RecordBatch) -> list:
+            nonlocal last, columns
+            if batch is not last:
+                grid = np.frombuffer(b"".join(batch.column(10).to_pylist()), COORDINATE).reshape(-1, BINS)
+                columns = [*[batch.column(k).to_numpy() for k in range(5, 10)], grid, binaries(batch.column(11), np.uint64)]
+                last = batch
+            return columns
+
+        out: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.array(out, np.int64).reshape(-1, 2)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+        for here, parts in grouped(batches, 5):
+            if sum(b - a for _, a, b in parts) < 2:
+                continue
+            chunks = [[c[a:b] for c in decoded(batch)] for batch, a, b in parts]
+            band, pure, block, comp, n, grid = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*[x[:6] for x in chunks], strict=True))
+            sets = [s for x in chunks for s in x[6]]
+            _, xp, x, yp, y = here
+            left = np.flatnonzero((pure == xp) & (block == x))
+            right = left if (xp, x) == (yp, y) else np.flatnonzero((pure == yp) & (block == y))
+            out += solve(int(band[0]), left, right, comp, n, grid, sets)
             if len(out) > 20_000:
-                yield batch_of(out)
-                out = []
-        if len(group) > 1:
-            out += solve(at[1], at[2], group)
-        yield batch_of(out)
-
-    pairs = cells.mapInArrow(run, "a long, b long, n long").distinct()
-    if not each:
-        return pairs.select("a", "b")
-    # The best partner of each document over all its buckets.
-    either = pairs.select(F.col("a").alias("node"), "n", "a", "b").union(pairs.select("b", "n", "a", "b"))
-    return either.groupBy("node").agg(F.max(F.struct("n", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+                yield flush()
+        yield flush()
+
+    return cells.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(run, "a long, b long")
+
+
+def _blocks(rows: Column, elements: Column) -> Column:
+    """Into how many blocks so many rows and set elements are cut."""
+    return F.ceil(F.greatest(rows / BLOCK, elements * 8 / BLOCK_BYTES)).cast("long")
+
+
+def _in_blocks(placed: DataFrame) -> DataFrame:
+    """Cells of one block each; a node's block is another one in every bucket, so large groups mix."""
+    own = F.pmod(F.xxhash64("node", "bkey"), _blocks(F.col("m"), F.col("words")))
+    none = F.lit(-1).cast("long")
+    return placed.withColumn("block", own).withColumns({"pure": none, "xp": none, "yp": none, "x": F.col("block"), "y": F.col("block")})
+
+
+def _block_pairs(placed: DataFrame) -> DataFrame:
+    """Cells of two blocks each. Components that fill blocks have blocks of their own, which never meet each other."""
+    size = [F.sum("c").alias("c"), F.sum("words").alias("words")]
+    parts = placed.groupBy("bkey", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("words"))
+    fills = F.greatest(F.col("c") / BLOCK, F.col("words") * 8 / BLOCK_BYTES) >= 1
+    parts = parts.withColumn("pure", F.when(fills, F.col("comp")).otherwise(-1)).groupBy("bkey", "pure").agg(*size)
+    # One entry for each component that fills a block, so far fewer than a bucket has rows.
+    kinds = parts.groupBy("bkey").agg(F.collect_list(F.struct("pure", _blocks(F.col("c"), F.col("words")).alias("blocks"))).alias("kinds"), F.sum("c").alias("rows"))
+    known = lookup(placed, kinds, "bkey", "rows", "node")
+    is_pure = F.exists("kinds", lambda k: k["pure"] == F.col("comp"))
+    known = known.withColumn("pure", F.when(is_pure, F.col("comp")).otherwise(-1))
+    blocks = F.filter("kinds", lambda k: k["pure"] == F.col("pure"))[0]["blocks"]
+    known = known.withColumn("block", F.pmod(F.xxhash64("node", "bkey"), blocks))
+    others = F.filter("kinds", lambda k: (k["pure"] == -1) | (k["pure"] != F.col("pure")))
+    each = F.flatten(F.transform(others, lambda k: F.transform(F.sequence(F.lit(0).cast("long"), k["blocks"] - 1), lambda b: F.struct(k["pure"].alias("p"), b.alias("b")))))
+    met = known.withColumn("with", F.explode(each)).withColumn("own", F.struct(F.col("pure").alias("p"), F.col("block").alias("b")))
+    low, high = F.least("own", "with"), F.greatest("own", "with")
+    return met.withColumns({"xp": low["p"], "x": low["b"], "yp": high["p"], "y": high["b"]})
+
+
+def _linked_by_id(sig: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """``a, b``: links between the nodes of one id, where rows repeat an id with other texts."""
+    named = sig.where("id is not null and key is not null").select("id", "key", "row", F.xxhash64("key").alias("kh"))
+    twice = materialise(named.groupBy("id").agg(F.min("kh").alias("lo"), F.max("kh").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo < hi").select("id", "w"))
+    if twice.isEmpty():
+        return None
+    nodes = materialise(lookup(named, twice, "id", "w", "row").where("w is not null").select("id", "key").distinct().join(classes.select("key", "node"), "key"))
+    low = materialise(nodes.groupBy("id").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("w")))
+    return lookup(nodes.select("id", "node"), low, "id", "w", "node").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
+
+
+def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``node, comp`` after ``links`` between components."""
+    joined = connected_components(links).select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
+    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
+    upper = materialise(joined.join(sizes, "comp"))
+    return materialise(lookup(comp, upper, "comp", "w", "node").select("node", F.coalesce("upper", "comp").alias("comp")))
+
+
+def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
+    """``row, id, tag, n, component`` for every row; ``tag`` is the hash of id and text."""
+    sig = materialise(signatures(docs, id_col, text_col))
+    classes = materialise(sig.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight")))
+    # One row of each class goes on; only those whose set may have copies need a look at their class.
+    shared = classes.where("weight > 1").select(F.xxhash64("key").alias("kh"))
+    bits = bitmap_bits(shared.count())
+    keyed = sig.where("key is not null").withColumn("kh", F.xxhash64("key"))
+    chosen = possible(classes.select(F.col("node").alias("row"), F.xxhash64("key").alias("kh")), shared, "kh", bits).select("row")
+    nodes = possible(keyed, shared, "kh", bits, within=False).unionByName(possible(keyed, shared, "kh", bits).join(chosen, "row", "left_semi"))
+    nodes = nodes.select(F.col("row").alias("node"), "tag", "key", "n", "coords")
+    band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substr("coords", b * ROWS + 1, F.lit(ROWS)), b))
+    spread = nodes.select("node", "n", F.posexplode(band).alias("band", "bkey"))
+    full = materialise(spread.groupBy("bkey").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("words")).where("m > 1"))
+    rows = possible(spread, full, "bkey", bitmap_bits(full.count()))
+    rows = materialise(lookup(rows, full, "bkey", "m", "node").where("m is not null").withColumn("band", F.col("band").cast("long")))
+    named = rows.select("node").distinct()
+    members = materialise(possible(nodes, named, "node", bitmap_bits(named.count())).join(named, "node", "left_semi"))
+    content = materialise(full_sets(docs, members, id_col, text_col))
+
+    comp = members.select("node", F.col("node").alias("comp"))
+    by_id = _linked_by_id(sig, classes)
+    if by_id is not None:
+        by_id = materialise(by_id)
+        ends = by_id.select(F.col("a").alias("node")).union(by_id.select("b")).union(members.select("node")).distinct()
+        comp = _relabelled(ends.select("node", F.col("node").alias("comp")), by_id)
+    several = _blocks(F.col("m"), F.col("words")) > 1
+    rounds = [(F.col("band") < FIRST_BANDS, _in_blocks), (F.col("band") >= FIRST_BANDS, _in_blocks), (several, _block_pairs)]
+    for turn, (part, cells) in enumerate(rounds):
+        if not turn and by_id is None:
+            placed = rows.where(part).withColumn("comp", F.col("node"))
+        else:
+            placed = materialise(rows.where(part).join(comp, "node"))
+            spanning = placed.groupBy("bkey").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo < hi").select("bkey", "w")
+            spanning = materialise(spanning)
+            if spanning.isEmpty():
+                continue
+            placed = lookup(placed, spanning, "bkey", "w", "node").where("w is not null")
+        found = cells(placed).drop("n").join(content, "node")
+        links = materialise(merges(found, percent).distinct())
+        if not links.isEmpty():
+            comp = _relabelled(comp, links)
+
+    # The smallest id of each component, by node, then by class, then by row.
+    of_node = comp.join(classes.select("node", "rep"), "node")
+    least = materialise(of_node.groupBy("comp").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("w")).where("w > 1"))
+    renamed = lookup(comp, least, "comp", "w", "node").where("w is not null").select("node", "least")
+    classes = materialise(classes.join(renamed, "node", "left").select("key", F.coalesce("least", "rep").alias("component"), "weight"))
+    rows = sig.select("row", "id", "tag", "n", "key")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
+    return lookup(rows, classes, "key", "weight", "row").select("row", "id", "tag", "n", component.alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -229,64 +329,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``component_id`` is the smallest id reachable and ``kept`` marks that row.
 
     Edge cases: NULL, empty and blank texts have no shingles and are their own
-    component; fewer than five words are one shingle; rows with a NULL id join the
-    class of their set only, and keep a NULL component if all of it have none; rows
-    that repeat an id are one node, whatever their texts; an empty table gives an
-    empty result; other columns are not read.
+    component; fewer than five words are one shingle; rows with a NULL id link like
+    any others, and have a NULL component if no id is reachable; rows that repeat an
+    id are linked, whatever their texts; an empty table gives an empty result; other
+    columns are not read.
     """
-    sig = materialise(signatures(docs, id_col, text_col))
-    classes = sig.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    # One row of each class goes on.
-    chosen = sig.join(classes, "key").where("id = rep").select(F.col("id").alias("node"), "bands", "coords")
-    nodes = chosen.select("node", F.posexplode("bands").alias("band", "bkey"))
-    full = nodes.groupBy("bkey").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bkey")
-    rows = materialise(nodes.join(full, "bkey").distinct())
-    members = materialise(rows.select("node").distinct())
-    coords = materialise(chosen.join(members, "node", "left_semi").groupBy("node").agg(F.max("coords").alias("coords")))
-    comp = members.withColumn("comp", F.col("node"))
-    tested = links = None
-    for turn in range(1, LINEAR_ROUNDS + 2):
-        placed = materialise(rows.join(comp, "node"))
-        last = turn > LINEAR_ROUNDS
-        pairs = promising(placed, coords, percent, not last)
-        pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            if last:
-                break
-            continue
-        found = materialise(verified(pairs, docs, id_col, text_col, percent))
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if not found.isEmpty():
-            joined = connected_components(links)
-            comp = materialise(members.join(joined, "node", "left").select("node", F.coalesce("comp", "node").alias("comp")))
-    component = comp.select(F.col("node").alias("rep"), "comp")
-    return (
-        sig.select("id", "n", "key")
-        .join(classes, "key", "left")
-        .join(component, "rep", "left")
-        .select(
-            F.col("id").alias(id_col),
-            F.col("n").alias("n_shingles"),
-            F.coalesce("comp", "rep", "id").alias("component_id"),
-            F.col("id").eqNullSafe(F.coalesce("comp", "rep", "id")).alias("kept"),
-        )
+    return labelled(docs, id_col, text_col, percent).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("id").eqNullSafe(F.col("component")).alias("kept")
     )
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row of each component, with all its columns: that of the smallest id.
 
-    Rows of a NULL id stay, as they name no component; of rows that repeat the id
-    that stays, one does.
+    Edge cases: as for ``near_duplicates``; of rows that repeat the id that stays, the
+    one with the least hash of its text does, and any one of those that repeat the text too;
+    rows of a NULL id stay where no id is reachable; column names may clash with any
+    used here; an empty table stays empty.
     """
-    kept = (
-        near_duplicates(docs, id_col, text_col, percent)
-        .where("kept")
-        .groupBy(F.col(id_col).alias("_kid"))
-        .agg((F.count(F.lit(1)) > 1).alias("_again"))
-    )
-    rows = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"))
-    found = rows.join(kept, F.col("_id") == F.col("_kid"))
-    parts = [found.where("not _again"), found.where("_again").dropDuplicates(["_kid"]), rows.where("_id is null")]
-    return from_row(parts[0].select("_row").unionByName(parts[1].select("_row")).unionByName(parts[2].select("_row")), docs)
+    rows = materialise(labelled(docs, id_col, text_col, percent).select("id", "tag", F.col("id").eqNullSafe(F.col("component")).alias("kept")))
+    again = materialise(rows.where("kept and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("c"), F.min("tag").alias("tag")).where("c > 1").select("id", "tag"))
+    gone = rows.where("not kept").select("id", "tag").distinct()
+    gone = materialise(gone.unionByName(rows.where("kept").join(again.select("id"), "id").select("id", "tag").distinct()))
+    bits = bitmap_bits(gone.count())
+    name, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
+    named = docs.select(as_row(docs), name.alias("_id"), F.xxhash64(name, text).alias("_tag"))
+    tags = gone.select(F.col("tag").alias("_tag"))
+    # Only rows that may go are moved.
+    alone = possible(named, tags, "_tag", bits, within=False)
+    maybe = possible(named, tags, "_tag", bits)
+    stay = maybe.join(gone, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_tag") == F.col("tag")), "left_anti")
+    one = maybe.join(again, (F.col("_id") == F.col("id")) & (F.col("_tag") == F.col("tag"))).dropDuplicates(["_id"])
+    return from_row(alone.select("_row").unionByName(stay.select("_row")).unionByName(one.select("_row")), docs)
