@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,25 +49,26 @@ def from_row(df: DataFrame, like: DataFrame) -> DataFrame:
     return df.select(*[F.col("_row").getField(c).alias(c) for c in like.columns])
 
 
-def lookup(rows: DataFrame, keyed: DataFrame, key: str, weight: str, spread: str) -> DataFrame:
+def lookup(rows: DataFrame, keyed: DataFrame, key: str | tuple[str, ...], weight: str, spread: str) -> DataFrame:
     """Left join of ``rows`` with the one row that ``keyed`` has for a key, in which no hot key fills a task.
 
     ``weight`` says how many rows a key has. Fewer than HOT_KEYS keys can have more
     than one in HOT_KEYS of all rows; these are broadcast, and their rows, like those
     without a key, are dealt by the column ``spread`` instead of meeting in one task.
     """
+    keys = (key,) if isinstance(key, str) else key
     total = keyed.agg(F.sum(weight)).first()[0] or 0
-    values = F.struct(*[c for c in keyed.columns if c != key])
+    values = F.struct(*[c for c in keyed.columns if c not in keys])
     is_hot = F.col(weight) * HOT_KEYS > F.lit(total)
-    hot = keyed.where(is_hot).select(F.col(key).alias("_hk"), values.alias("_hot"))
+    hot = keyed.where(is_hot).select(*[F.col(k).alias(f"_h{k}") for k in keys], values.alias("_hot"))
     # The remainder is always 0, but not a constant that the optimiser could fold out of the join's keys.
-    cold = keyed.where(~is_hot).select(F.col(key).alias("_ck"), F.pmod(F.hash(key), F.lit(1)).alias("_cs"), values.alias("_cold"))
-    salted = rows.join(F.broadcast(hot), F.col(key) == F.col("_hk"), "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull() | F.col(key).isNull(), 1 + F.pmod(F.hash(spread), F.lit(1 << 20))).otherwise(0)
-    )
-    both = salted.join(cold, (F.col(key) == F.col("_ck")) & (F.col("_salt") == F.col("_cs")), "left")
+    cold = keyed.where(~is_hot).select(*[F.col(k).alias(f"_c{k}") for k in keys], F.pmod(F.hash(*keys), F.lit(1)).alias("_cs"), values.alias("_cold"))
+    same = lambda side: functools.reduce(Column.__and__, [F.col(k) == F.col(f"_{side}{k}") for k in keys])
+    alone = functools.reduce(Column.__or__, [F.col(k).isNull() for k in keys], F.col("_hot").isNotNull())
+    salted = rows.join(F.broadcast(hot), same("h"), "left").withColumn("_salt", F.when(alone, 1 + F.pmod(F.hash(spread), F.lit(1 << 20))).otherwise(0))
+    both = salted.join(cold, same("c") & (F.col("_salt") == F.col("_cs")), "left")
     found = F.coalesce("_hot", "_cold")
-    return both.select(*rows.columns, *[found.getField(c).alias(c) for c in keyed.columns if c != key])
+    return both.select(*rows.columns, *[found.getField(c).alias(c) for c in keyed.columns if c not in keys])
 
 
 def bitmap_bits(keys: int) -> int:

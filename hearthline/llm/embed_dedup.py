@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import materialise
-from hearthline.llm.components import connected_components
+from hearthline.llm.common import bitmap_bits, grouped, lookup, materialise, possible
+from hearthline.llm.components import connected_components, links_of_repeated_ids, with_smallest_id
 
 #: Keys visited in a table, own key first, and rows of a block.
 VISITS, BLOCK = 4, 2048
@@ -115,10 +115,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
 
     Edge cases: vectors that are NULL, empty or zero, or hold NULL or non-finite
     components link with nothing; vectors of different lengths do not link; equal
-    vectors are one node whose copies link to each other; rows with a NULL id link,
-    but name no component; rows that repeat an id are rows of their own, joined in
-    the node of the smallest id of their copies; an empty table gives an empty result;
-    other columns are not read.
+    vectors are one node whose copies link to each other; rows with a NULL id link
+    and count like any others, and have a NULL component if no id is reachable; rows
+    that repeat an id count their own links and share a component; an empty table
+    gives an empty result; other columns are not read.
     """
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,16 +127,16 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             for v in batch.column(1):
                 raw = v.as_py()
                 x = np.array(raw, np.float64) if raw and None not in raw else np.zeros(0)
-                # Scaled so that neither the sum of squares overflows nor that of tiny components vanishes.
                 ok = len(x) > 0 and np.isfinite(x).all() and (x != 0).any()
                 keys.append(hashlib.blake2b((x + 0.0).tobytes(), digest_size=16).digest() if ok else None)
                 kept.append(x.tobytes() if ok else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], names=["id", "key", "vec"])
 
     named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    rows = materialise(named.mapInArrow(digest, "id long, key binary, vec binary"))
-    classes = rows.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
-    classes = materialise(classes.where("rep is not null"))
+    rows = materialise(named.mapInArrow(digest, "id long, key binary, vec binary").withColumn("row", F.monotonically_increasing_id()))
+    # A class of equal vectors is one node, named by a row and not by an id, which may be NULL or repeated.
+    classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
+    classes = materialise(classes)
     size, length = classes.agg(F.count(F.lit(1)), F.max(F.octet_length("vec"))).first()
     dim = max(2, 1 << max(1, ((length or 16) // 8 - 1).bit_length()))
     # So many functions that unrelated vectors seldom meet: keys grow with the number of vectors.
@@ -153,9 +153,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                     of = [k for k, x in enumerate(raw) if len(x) == d]
                     unit = normal(np.stack([raw[k] for k in of]))
                     keys[of] = visits(unit, tables, width, seed) * 4096 + d % 4096
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary())], names=["rep", "weight", "vec", "keys"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary())], names=["node", "weight", "vec", "keys"])
 
-    placed = materialise(classes.select("rep", "weight", "vec").mapInArrow(hashed, "rep long, weight long, vec binary, keys binary"))
+    placed = materialise(classes.select("node", "weight", "vec").mapInArrow(hashed, "node long, weight long, vec binary, keys binary"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each distinct key visited; ``own`` where it is the vector's own."""
@@ -167,90 +167,86 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                 for v in range(1, VISITS):
                     first[:, :, v] = (keys[:, :, v : v + 1] != keys[:, :, :v]).all(2)
                 row, _, visit = np.nonzero(first)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array(visit == 0), batch.column(0).take(pa.array(row))], names=["bucket", "own", "rep"])
-
-    # Ids alone are sorted into buckets; vectors follow only where an own key meets another vector.
-    entries = materialise(placed.select("rep", "keys").mapInArrow(spread, "bucket long, own boolean, rep long"))
-    full = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("o")).where("n > 1 and o > 0")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+                yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array((visit == 0).astype(np.int64)), batch.column(0).take(pa.array(row))], names=["bucket", "own", "node"])
+
+    # Nodes alone are sorted into buckets; vectors follow only where an own key meets another vector.
+    entries = materialise(placed.select("node", "keys").mapInArrow(spread, "bucket long, own long, node long"))
+    full = materialise(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("o")).where("n > 1 and o > 0").select("bucket", "n"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
+    met = lookup(possible(entries, full, "bucket", bitmap_bits(full.count())), full, "bucket", "n", "node").where("n is not null")
+    order = ["bucket", "a", "b"]
     cells = (
-        entries.join(full.select("bucket", blocks.alias("blocks")), "bucket")
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "bucket", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "own")
-        .join(placed, "rep")
-        .select("bucket", "a", "b", "block", "own", "rep", "weight", "vec", "keys")
+        met.withColumn("blocks", blocks)
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select("node", "bucket", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "block", "own")
+        .join(placed, "node")
+        .select(*order, "block", "own", "node", "weight", "vec", "keys")
+        .repartition(*order)
+        .sortWithinPartitions(*order)
     )
-    cells = cells.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b")
 
-    def solve(bucket: int, a: int, b: int, group: list) -> list[tuple[int, int, int]]:
-        block = np.array([g[0] for g in group])
-        own = np.array([g[1] for g in group], bool)
-        ids = np.array([g[2] for g in group], np.int64)
-        weight = np.array([g[3] for g in group], np.int64)
-        unit = normal(np.stack([np.frombuffer(g[4], np.float64) for g in group]))
-        keys = np.stack([np.frombuffer(g[5], np.int64).reshape(tables, VISITS) for g in group])
-        left = np.flatnonzero(block == a)
-        right = left if a == b else np.flatnonzero(block == b)
-        if not len(left) or not len(right):
-            return []
-        found = list(_links(ids, unit, keys, own, bucket, left, right, least))
-        lo, hi = np.concatenate([f[0] for f in found] or [[]]).astype(int), np.concatenate([f[1] for f in found] or [[]]).astype(int)
-        if not len(lo):
-            return []
+    def solve(bucket: int, a: int, b: int, group: pa.Table) -> np.ndarray:
+        block, own, ids, weight = (group.column(k).to_numpy() for k in range(3, 7))
+        own = own.astype(bool)
+        raw, keys = group.column(7).to_pylist(), np.frombuffer(b"".join(group.column(8).to_pylist()), np.int64).reshape(-1, tables, VISITS)
+        long = max(map(len, raw)) // 8
+        # Vectors of different lengths seldom share a bucket; they never link.
+        sizes = np.array([len(v) // 8 for v in raw])
+        links = []
+        for d in np.unique(sizes):
+            unit = np.zeros((len(raw), long))
+            of = np.flatnonzero(sizes == d)
+            unit[of, :d] = normal(np.stack([np.frombuffer(raw[k], np.float64) for k in of]))
+            left = of[block[of] == a]
+            right = left if a == b else of[block[of] == b]
+            links += list(_links(ids, unit, keys, own, bucket, left, right, least))
+        lo, hi = (np.concatenate([f[k] for f in links] or [np.zeros(0, int)]).astype(int) for k in (0, 1))
         count = np.zeros(len(ids), np.int64)
         np.add.at(count, lo, weight[hi])
         np.add.at(count, hi, weight[lo])
         label = ids.copy()
-        while True:  # the smallest id reachable inside this cell
+        while len(lo):  # the smallest node reachable inside this cell
             old = label.copy()
             np.minimum.at(label, lo, old[hi])
             np.minimum.at(label, hi, old[lo])
             if (label == old).all():
                 break
-        return [(int(ids[k]), int(count[k]), int(label[k])) for k in np.flatnonzero(count)]
+        linked = np.flatnonzero(count)
+        return np.stack([ids[linked], count[linked], label[linked]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, out = None, [], []
-
-        def batch_of(rows: list) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True)) if rows else [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["rep", "links", "label"])
-
-        for batch in batches:
-            cols = [batch.column(k).to_pylist() for k in range(9)]
-            for bucket, a, b, *rest in zip(*cols, strict=True):
-                if at != (bucket, a, b):
-                    if len(group) > 1:
-                        out += solve(*at, group)
-                    at, group = (bucket, a, b), []
-                group.append(rest)
-            if len(out) > 10_000:
-                yield batch_of(out)
-                out = []
-        if len(group) > 1:
-            out += solve(*at, group)
-        yield batch_of(out)
-
-    links = materialise(cells.mapInArrow(run, "rep long, links long, label long").groupBy("rep", "label").agg(F.sum("links").alias("links")))
-    components = connected_components(links.select(F.col("rep").alias("a"), F.col("label").alias("b")))
-    counted = links.groupBy("rep").agg(F.sum("links").alias("links")).join(components.withColumnRenamed("node", "rep"), "rep")
-    own = F.when(F.col("weight").isNotNull(), F.col("weight") - 1).otherwise(0)
-    component = F.coalesce("comp", "rep", "id")
-    return (
-        rows.select("id", "key")
-        .join(classes.select("key", "rep", "weight"), "key", "left")
-        .join(counted, "rep", "left")
-        .select(
-            F.col("id").alias(id_col),
-            (F.coalesce("links", F.lit(0)) + own).cast("long").alias("n_links"),
-            component.alias("component_id"),
-            F.col("id").eqNullSafe(component).alias("kept"),
-        )
+        out: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            found = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], names=["node", "links", "label"])
+
+        for here, parts in grouped(batches, 3):
+            if sum(b - a for _, a, b in parts) > 1:
+                out.append(solve(*here, pa.Table.from_batches([batch.slice(a, b - a) for batch, a, b in parts])))
+                if len(out) > 2000 or len(out[-1]) > 1000:
+                    yield flush()
+        yield flush()
+
+    links = materialise(cells.mapInArrow(run, "node long, links long, label long").groupBy("node", "label").agg(F.sum("links").alias("links")))
+    by_id = links_of_repeated_ids(rows, classes)
+    edges = links.select(F.col("node").alias("a"), F.col("label").alias("b"))
+    comp = connected_components(edges if by_id is None else edges.union(by_id))
+    counted = links.groupBy("node").agg(F.sum("links").alias("links"))
+    known = materialise(with_smallest_id(classes.select("key", "node", "rep", "weight"), comp).join(counted, "node", "left").drop("rep", "node"))
+    named = lookup(rows.select("row", "id", "key"), known, "key", "weight", "row")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
+    return named.select(
+        F.col("id").alias(id_col),
+        (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("weight") - 1, F.lit(0))).cast("long").alias("n_links"),
+        component.alias("component_id"),
+        F.col("id").eqNullSafe(component).alias("kept"),
     )
 
 
 def normal(x: np.ndarray) -> np.ndarray:
-    """Unit vectors in double precision, scaled first by the largest component."""
+    """Unit vectors in double precision, scaled first by the largest component, so that no sum of squares overflows or vanishes."""
     x = x / np.abs(x).max(1, keepdims=True)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
