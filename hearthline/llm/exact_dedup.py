@@ -1,28 +1,33 @@
 """Exact duplicates through an extendible-hash index, in DataFrame operations only.
 
-A text's key is the 64-bit hash of its normal form. The leading bits of the key
-address a directory. The directory starts with one entry and doubles while a
-bucket holds more keys than its capacity; buckets that fit keep a smaller local
-depth and are shared by several entries. Owner tasks take bucket ranges of the
-index file set. Inside a bucket, texts with equal keys form a chain, whose links
-are told apart by their bytes.
+A text's key is the leading 60 bits of the SHA-256 of its normal form. Leading bits
+of the key address a directory, which starts with one entry and doubles while a
+bucket holds more distinct keys than its capacity; buckets that fit keep a smaller
+local depth and are shared by several entries. As a bucket is a range of keys, the
+index is a set of files by key range, written by the tasks that own the buckets.
+
+Texts whose keys several rows share are routed by the directory to the owners of
+their buckets. There, texts with equal keys form a chain, whose links are told apart
+by their bytes, and each link knows its copies. Every row then looks up its link in
+its bucket's chains. A hot text is reduced to one row per task before it is routed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import as_row, from_row, materialise, without_blanks
+from hearthline.llm.common import HOT_KEYS, as_row, bitmap_bits, from_row, lookup, materialise, possible, without_blanks
 
-#: The finest directory: at most 2**MAX_DEPTH entries, which bounds what the driver and a broadcast hold.
-MAX_DEPTH = 14
-#: Bits of the broadcast bitmap (2 MB of rows at the most) that keeps texts with keys of their own from being moved.
-BITMAP_BITS = 23
+#: The finest directory: at most 2**MAX_DEPTH entries, which bounds what the driver and a broadcast hold. Buckets of that depth overflow.
+MAX_DEPTH = 16
+KEY_BITS = 60
+#: Distinct keys of a bucket.
+CAPACITY = 4096
 
 
 def split_directory(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """Double a directory until no bucket is overfull.
+    """Double a directory until no bucket is overfull, or to ``depth`` at the most.
 
     ``counts`` has the keys under each prefix of ``depth`` bits. Returns one
     ``(entry, bucket, local_depth)`` for each of the ``2**global_depth`` entries,
@@ -45,52 +50,60 @@ def split_directory(counts: dict[int, int], depth: int, capacity: int) -> list[t
     return entries
 
 
-def _prefix(h: str = "h"):
-    return F.shiftrightunsigned(h, 64 - MAX_DEPTH).cast("int")
+def key_of(sha: Column) -> Column:
+    """The leading KEY_BITS bits of a digest."""
+    return F.conv(F.substring(F.hex(F.substring(sha, 1, 8)), 1, KEY_BITS // 4), 16, 10).cast("long")
 
 
-def build_directory(keys: DataFrame, capacity: int = 100_000) -> DataFrame:
-    """The directory over distinct keys ``h``: ``entry, bucket, depth``.
+def _entry(depth: int) -> Column:
+    return F.shiftright("h", KEY_BITS - depth).cast("int")
 
-    A key with many copies counts once, so a hot text cannot overfill a bucket. The
-    capacity rises with the number of keys once 2**MAX_DEPTH entries are not enough.
+
+def build_directory(keys: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, int]:
+    """The directory over distinct keys ``h``, ``entry, bucket, depth``, and its global depth.
+
+    A key with many copies counts once, so a hot text cannot overfill a bucket.
     """
     # One row per directory entry at the most.
-    counts = {r[0]: r[1] for r in keys.groupBy(_prefix().alias("p")).count().collect()}
-    capacity = max(capacity, (2 * sum(counts.values())) >> MAX_DEPTH)
-    return keys.sparkSession.createDataFrame(split_directory(counts, MAX_DEPTH, capacity), "entry int, bucket int, depth int")
+    counts = {r[0]: r[1] for r in keys.groupBy(_entry(MAX_DEPTH).alias("p")).count().collect()}
+    entries = split_directory(counts, MAX_DEPTH, capacity)
+    depth = max(d for _, _, d in entries)
+    unused = MAX_DEPTH - depth
+    rows = [(e >> unused, b, d) for e, b, d in entries if not e & ((1 << unused) - 1)]
+    return keys.sparkSession.createDataFrame(rows, "entry int, bucket int, depth int"), depth
 
 
-def in_buckets(rows: DataFrame, directory: DataFrame) -> DataFrame:
+def in_buckets(rows: DataFrame, directory: tuple[DataFrame, int]) -> DataFrame:
     """Look each key up in the directory, which has 2**MAX_DEPTH entries at the most."""
-    return rows.join(F.broadcast(directory), _prefix() == F.col("entry")).drop("entry", "depth")
-
-
-def _slot(h: str = "h"):
-    """Word and bit of a key in a bitmap of 2**BITMAP_BITS bits."""
-    at = F.col(h).bitwiseAND((1 << BITMAP_BITS) - 1)
-    return F.shiftright(at, 6).alias("word"), at.bitwiseAND(63).cast("int")
-
+    entries, depth = directory
+    return rows.join(F.broadcast(entries), _entry(depth) == F.col("entry")).drop("entry")
 
-def bitmap(keys: DataFrame) -> DataFrame:
-    """``word, bits``: at most 2**(BITMAP_BITS - 6) rows, whatever the number of keys."""
-    word, bit = _slot()
-    return keys.groupBy(word).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 AS int))")).alias("bits"))
 
+def chains_of(texts: DataFrame, shared: DataFrame, directory: tuple[DataFrame, int]) -> DataFrame:
+    """``bucket, h, link, sha, keep, size``: the distinct texts of every key, numbered along its chain, with their copies.
 
-def possible(rows: DataFrame, keys: DataFrame, within: bool = True) -> DataFrame:
-    """The rows whose key ``h`` may be among ``keys`` (or, not ``within``, surely is not), without a shuffle of the rows."""
-    word, bit = _slot()
-    marked = rows.withColumn("_w", word).join(F.broadcast(bitmap(keys).withColumnRenamed("word", "_w")), "_w", "left")
-    hit = F.coalesce(F.expr("(shiftright(bits, cast(h & 63 AS int)) & 1) = 1"), F.lit(False))
-    return marked.where(hit if within else ~hit).drop("_w", "bits")
-
-
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 100_000) -> DataFrame:
+    ``texts`` has ``id, len, h, norm`` and ``shared`` the rows ``n`` of a key. The
+    longest row is kept, then the smallest id; NULL ids sort below every other.
+    """
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(shared.where(F.col("n") * HOT_KEYS > total).select("h"))  # fewer than HOT_KEYS keys
+    own = F.struct("len", F.negative(F.col("id").cast("decimal(20,0)")).alias("neg"))
+    cold = texts.join(hot, "h", "left_anti").select("h", "norm", own.alias("best"), F.lit(1).cast("long").alias("size"))
+    many = texts.join(hot, "h", "left_semi").groupBy("h", "norm").agg(F.max(own).alias("best"), F.count(F.lit(1)).alias("size"))
+    owners = in_buckets(cold.unionByName(many), directory).repartition("bucket")
+    # Within its owner: equal bytes are one link; the grouping needs no further exchange.
+    links = owners.groupBy("bucket", "h", "norm").agg(F.max("best").alias("best"), F.sum("size").alias("size"))
+    chain = Window.partitionBy("bucket", "h").orderBy("sha")  # the texts that collide in one key
+    linked = links.select("bucket", "h", F.unhex(F.sha2("norm", 256)).alias("sha"), F.negative(F.col("best.neg")).cast("long").alias("keep"), "size")
+    return linked.withColumn("link", F.row_number().over(chain))
+
+
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Group rows whose texts are equal once all of ``[\\x20\\x09-\\x0D]`` is deleted.
 
-    Returns ``id_col, keep_id, group_size, kept, text_sha256, bucket``, one row
-    per input row. The row that stays has the most code points in the original
+    Returns ``id_col, keep_id, group_size, kept, text_sha256, bucket, depth``, one row
+    per input row; ``bucket`` numbers the index's buckets in key order and ``depth`` is
+    its local depth. The row that stays has the most code points in the original
     text, then the smallest id.
 
     Edge cases: NULL text counts as the empty text, and all such rows form one
@@ -101,59 +114,50 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
     norm = without_blanks(F.col("text"))
     source = source.select("id", F.coalesce(F.char_length("text"), F.lit(0)).alias("len"), norm.alias("norm"))
-    rows = materialise(
-        source.select("id", "len", F.xxhash64("norm").alias("h"), F.unhex(F.sha2("norm", 256)).alias("sha"))
-    )
-    keys = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    sha = F.unhex(F.sha2("norm", 256))
+    rows = materialise(source.select("id", sha.alias("sha")).withColumn("h", key_of(F.col("sha"))).withColumn("row", F.monotonically_increasing_id()))
+    keys = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     directory = build_directory(keys, capacity)
-    # The index file set: each file is one owner's range of buckets and keys.
-    index = materialise(in_buckets(keys, directory).repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"))
-    shared = index.where("n > 1").select("h")
+    # The index file set: each file is one owner's buckets, sorted by key.
+    index = materialise(in_buckets(keys, directory).repartition("bucket").sortWithinPartitions("bucket", "h"))
+    shared = index.where("n > 1").select("h", "n")
+    bits = bitmap_bits(shared.count())
     # Only keys with several rows can hold copies or collisions; the texts of nearly all others are never moved.
-    # The longest row wins, then the smallest id: NULL ids sort below every other in `best`.
-    best = F.max(F.struct("len", F.negative(F.col("id").cast("decimal(20,0)")).alias("neg")))
-    chains = (
-        possible(source.select("id", "len", F.xxhash64("norm").alias("h"), "norm"), shared)
-        .join(shared, "h", "left_semi")
-        .groupBy("h", "norm")  # equal bytes; partial sums keep a hot text to one row per task
-        .agg(best.alias("best"), F.count(F.lit(1)).alias("size"))
-        .select(
-            "h",
-            F.unhex(F.sha2("norm", 256)).alias("sha"),
-            F.negative(F.col("best.neg")).cast("long").alias("keep"),
-            "size",
-        )
-    )
-    joined = in_buckets(rows, directory).join(chains, ["h", "sha"], "left")
-    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
-    return joined.select(
+    texts = possible(source.withColumn("h", key_of(sha)), shared, "h", bits)
+    chains = materialise(chains_of(texts, shared, directory))
+    alone = in_buckets(possible(rows, shared, "h", bits, within=False), directory)
+    alone = alone.select("id", "sha", "bucket", "depth", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
+    several = in_buckets(possible(rows, shared, "h", bits), directory)
+    several = lookup(several, chains.select("bucket", "sha", "keep", "size"), ("bucket", "sha"), "size", "row").select(*alone.columns)
+    return alone.unionByName(several).select(
         F.col("id").alias(id_col),
-        keep.alias("keep_id"),
-        F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("id").eqNullSafe(keep).alias("kept"),
+        F.col("keep").alias("keep_id"),
+        F.col("size").alias("group_size"),
+        F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
-        F.col("bucket"),
+        "bucket",
+        "depth",
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that ``exact_duplicates`` keeps, with all their columns.
 
-    Rows that repeat both id and text all carry the surviving id; one of them stays.
+    Edge cases: as there; rows that repeat both id and text all carry the surviving
+    id, and one of them stays; column names may clash with any used here.
     """
-    groups = materialise(exact_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_kid"), "kept", "group_size", F.unhex("text_sha256").alias("_ksha")))
-    # The leading bytes of the digest serve as key here; a row travels as one struct, so no name can clash.
-    lead = lambda c: F.conv(F.hex(F.substring(c, 1, 7)), 16, 10).cast("long")
+    groups = materialise(exact_duplicates(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("id"), "kept", F.unhex("text_sha256").alias("sha")))
+    keys = groups.select(key_of(F.col("sha")).alias("h")).distinct()
+    bits = bitmap_bits(keys.count())
     sha = F.unhex(F.sha2(without_blanks(F.col(f"`{text_col}`")), 256)).alias("_sha")
-    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), sha).withColumn("h", lead(F.col("_sha")))
-    several = materialise(groups.where("group_size > 1"))
-    keys = several.select(lead(F.col("_ksha")).alias("h")).distinct()
-    alone = possible(named, keys, within=False)
-    kept = groups.where("kept").groupBy("_kid", "_ksha").agg((F.count(F.lit(1)) > 1).alias("_again"))
-    kept = possible(kept.withColumn("h", lead(F.col("_ksha"))), keys).drop("h")
-    maybe = possible(named, keys)
-    found = maybe.join(kept, maybe["_id"].eqNullSafe(kept["_kid"]) & (maybe["_sha"] == kept["_ksha"]))
-    once = found.where("not _again").select("_row")
-    # Repeated rows meet in a partial aggregate first.
-    again = found.where("_again").dropDuplicates(["_kid", "_ksha"]).select("_row")
+    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), sha).withColumn("h", key_of(F.col("_sha")))
+    # A row of a group of its own bypasses the join; of the others, those with the id and text that stay are found.
+    alone = possible(named, keys, "h", bits, within=False)
+    kept = groups.where("kept").groupBy("id", "sha").agg((F.count(F.lit(1)) > 1).alias("again"))
+    sizes = groups.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
+    # One kept id per text, so a row needs its text's entry only; texts without one are groups of their own.
+    entry = materialise(sizes.join(kept, "sha").select(F.col("sha").alias("_sha"), F.col("id").alias("keep"), "again", "n"))
+    found = lookup(possible(named, keys, "h", bits), entry, "_sha", "n", "_id")
+    once = found.where("n is null or (not again and _id <=> keep)").select("_row")
+    again = found.where("again and _id <=> keep").dropDuplicates(["_sha"]).select("_row")
     return from_row(alone.select("_row").unionByName(once).unionByName(again), docs)

@@ -22,7 +22,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.exact_dedup import exact_duplicates
 
-    return exact_duplicates(table(spark, sf_dir, "documents")).drop("bucket")
+    return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +100,25 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 NORM = r"regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')"
 
+#: The directory's splits are repeated by counting the distinct keys under every prefix: a bucket is the shortest prefix that fits.
 OP2_SQL = f"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, {NORM} AS norm FROM documents
+), e AS (
+  SELECT *, sha256(norm) AS sha, ('0x' || substr(sha256(norm), 1, 15))::BIGINT AS h FROM d
 ), k AS (
-  SELECT norm, arg_min(doc_id, struct_pack(a := -n, b := doc_id)) AS keep_id, count(*) AS group_size FROM d GROUP BY norm
+  SELECT norm, arg_min(doc_id, struct_pack(a := -n, b := doc_id)) AS keep_id, count(*) AS group_size FROM e GROUP BY norm
+), f AS (
+  SELECT depth, h >> (60 - depth) AS prefix, count(DISTINCT h) <= 4096 OR depth = 16 AS fits
+  FROM e, (SELECT unnest(range(17)) AS depth) GROUP BY depth, h >> (60 - depth)
+), g AS (
+  SELECT e.h, min(f.depth) AS depth FROM (SELECT DISTINCT h FROM e) e JOIN f ON f.prefix = e.h >> (60 - f.depth) AND f.fits GROUP BY e.h
+), b AS (
+  SELECT h, depth, dense_rank() OVER (ORDER BY (h >> (60 - depth)) << (60 - depth)) - 1 AS bucket FROM g
 )
-SELECT d.doc_id, k.keep_id, k.group_size, d.doc_id = k.keep_id AS kept, sha256(d.norm) AS text_sha256
-FROM d JOIN k USING (norm)
+SELECT e.doc_id, k.keep_id, k.group_size, e.doc_id = k.keep_id AS kept, e.sha AS text_sha256,
+  CAST(b.bucket AS INTEGER) AS bucket, CAST(b.depth AS INTEGER) AS depth
+FROM e JOIN k USING (norm) JOIN b USING (h)
 """
 
 
