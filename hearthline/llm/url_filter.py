@@ -1,12 +1,17 @@
 """URL verdicts from rules, and from naive Bayes over segmented host and path tokens.
 
-Concatenated host labels are split by the most probable sequence of words under a
-unigram model (Viterbi). The unigram scores follow Zipf's law over the ranks of the
-whole-word entries of a public vocabulary file, which has a fixed size. The classes
-are learned from the pages themselves: a page whose tokens hold a seed word is an
-example of the blocked class, any other one of the allowed class, and multinomial
-naive Bayes carries the evidence over to the tokens that go with them. Tokens are
-hashed to a fixed number of slots, so the model has the same size for any crawl.
+Concatenated names are split by the most probable sequence of words under a unigram
+model (Viterbi). The unigram scores follow Zipf's law over the ranks of the
+whole-word entries of a public vocabulary file, which has a fixed size.
+
+Pages carry no labels, so naive Bayes is fitted in two steps that keep labels apart
+from evidence. First, pages whose tokens hold a seed word are the blocked examples,
+and the model is fitted to their other tokens only, the seeds masked. Then this model
+weighs every page by those other tokens, and the final counts, seeds included, are
+taken with its probabilities. A seed counts for as much as the company it keeps: one
+that stands among harmless tokens loses its weight, and tokens that go with blocked
+pages gain it. Tokens are hashed to a fixed number of slots, so the model has the
+same size for any crawl.
 """
 
 from __future__ import annotations
@@ -16,8 +21,9 @@ import json
 import math
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +31,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
-SLOTS = 1 << 15
+#: Far more than the words of the vocabulary, so that few tokens share a slot.
+SLOTS = 1 << 18
 LONGEST = 24
 MEMORY = 100_000
 # Seed words of the blocked class.
 SEEDS = frozenset("spam viagra cialis pills pharmacy casino poker gambling betting porn xxx adult escort sexy payday loans jackpot replica warez torrent crack keygen malware phishing scam".split())
-#: Added to every slot, as most slots stay empty.
-ALPHA = 0.01
+#: Added to every slot that a token has, and the unit in which a page's probability is counted.
+ALPHA, UNIT = 0.1, 1000
 #: Log odds above which a page is blocked.
 CUT = 0.0
 
@@ -124,19 +131,30 @@ class Segmenter:
         self.memory[name] = out[::-1]
         return out[::-1]
 
-    def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host (``h:``) and of the path (``p:``), and the registered ending; digits count by length."""
+    def words_of(self, part: str) -> list[str]:
+        """Segmented words of ASCII letters, other letters run by run, and digits by their number."""
         out = []
-        labels = host.split(".")
-        for label in labels[:-1]:
-            for run in re.findall(r"[a-z]+|[0-9]+|[^a-z0-9\-_]+", label):
-                out += [f"h:{w}" for w in self.split(run)] if run[0].isascii() and run.isalpha() else [f"h:#{min(len(run), 9)}"]
-        out.append(f"t:{labels[-1]}")
-        out.append(f"n:{min(host.count('-'), 4)}")
-        for run in re.findall(r"[a-z]+|[0-9]+", path.lower()):
-            out += [f"p:{w}" for w in self.split(run)] if run.isalpha() else [f"p:#{min(len(run), 9)}"]
+        for run in _RUNS.findall(part.lower()):
+            if run.isascii() and run.isalpha():
+                out += self.split(run)
+            else:
+                out.append(f"#{min(len(run), 9)}" if run.isdigit() else run)
         return out
 
+    def tokens(self, host: str, path: str) -> list[str]:
+        """Words of the host (``h:``) and of the path (``p:``), the ending (``t:``) and the number of hyphens (``n:``)."""
+        labels = host.split(".")
+        out = [f"h:{w}" for label in labels[:-1] or labels for w in self.words_of(label)]
+        out += [f"t:{labels[-1]}", f"n:{min(host.count('-'), 4)}"]
+        return out + [f"p:{w}" for w in self.words_of(unquote(path, errors="replace"))]
+
+
+_RUNS = re.compile(r"[^\W\d_]+|[0-9]+")
+
+
+def is_seed(token: str) -> bool:
+    return token[2:] in SEEDS
+
 
 def slot(token: str) -> int:
     return zlib.crc32(token.encode()) % SLOTS
@@ -149,11 +167,31 @@ def _split_pages(pages: DataFrame, id_col: str, url_col: str, rules: tuple[Rule,
     return parts.withColumn("rule", name).withColumn("ruled", verdict)
 
 
-def fit(parts: DataFrame, words: dict[str, float]) -> tuple[np.ndarray, float]:
-    """Log likelihood ratios of the token slots, and the prior log odds, over all pages.
+@dataclass(frozen=True)
+class Model:
+    """Log likelihood ratios of the slots, and the prior log odds."""
 
-    Distinct hosts with their paths' counts meet in partial sums; what comes back has
-    at most two numbers per slot.
+    ratio: np.ndarray
+    prior: float
+
+    def odds(self, tokens: list[str]) -> float:
+        return self.prior + float(self.ratio[[slot(t) for t in tokens]].sum())
+
+    def chance(self, tokens: list[str]) -> float:
+        return 1 / (1 + math.exp(-max(-700.0, min(700.0, self.odds(tokens)))))
+
+
+def model_of(counts: np.ndarray, pages: np.ndarray) -> Model:
+    """From counts (allowed, blocked) by slot and by page; slots that no token has stay neutral."""
+    used = counts.sum(0) > 0
+    like = np.log((counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * max(1, used.sum())))
+    return Model(np.where(used, like[1] - like[0], 0.0).astype(np.float64), float(np.log((pages[1] + 0.5) / (pages[0] + 0.5))))
+
+
+def _counts(parts: DataFrame, words: dict[str, float], blocked: Callable[[list[str]], float], masked: bool) -> Model:
+    """A model of all pages, each counted for both classes by its chance of being ``blocked``; every occurrence of a token counts.
+
+    What comes back has at most two numbers per slot, summed in integers so that reruns agree.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,24 +200,28 @@ def fit(parts: DataFrame, words: dict[str, float]) -> tuple[np.ndarray, float]:
         for batch in batches:
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = seg.tokens(host, path)
-                y = int(any(t[2:] in SEEDS for t in tokens))
-                pages[y] += 1
-                # The seeds themselves label the page, so each counts once, like any other token.
-                for t in set(tokens):
-                    counts[y, slot(t)] += 1
+                one = round(UNIT * blocked(tokens))
+                at = [slot(t) for t in tokens if not (masked and is_seed(t))]
+                for c, n in ((0, UNIT - one), (1, one)):
+                    pages[c] += n
+                    if n:
+                        np.add.at(counts[c], at, n)
         c, k = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(counts[c, k])], names=["c", "k", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([-1, -1], pa.int32()), pa.array(pages)], names=["c", "k", "n"])
 
     sums = parts.where("host <> ''").select("host", "path").mapInArrow(run, "c int, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).toArrow()
+    c, k, n = (sums.column(i).to_numpy() for i in range(3))
     counts, pages = np.zeros((2, SLOTS)), np.zeros(2)
-    for c, k, n in zip(*[sums.column(i).to_pylist() for i in range(3)], strict=True):
-        if k < 0:
-            pages[c] = n
-        else:
-            counts[c, k] = n
-    like = np.log((counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * SLOTS))
-    return (like[1] - like[0]).astype(np.float64), float(np.log((pages[1] + 0.5) / (pages[0] + 0.5)))
+    counts[c[k >= 0], k[k >= 0]] = n[k >= 0] / UNIT
+    pages[c[k < 0]] = n[k < 0] / UNIT
+    return model_of(counts, pages)
+
+
+def fit(parts: DataFrame, words: dict[str, float]) -> Model:
+    """The model over all pages: labels by seeds and evidence without them first, then all tokens by that evidence."""
+    masked = _counts(parts, words, lambda tokens: float(any(map(is_seed, tokens))), masked=True)
+    return _counts(parts, words, lambda tokens: masked.chance([t for t in tokens if not is_seed(t)]), masked=False)
 
 
 def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple[Rule, ...] = RULES, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -190,18 +232,19 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
 
     Edge cases: a NULL or empty url, or one without ``://``, has empty host and path,
     fits no rule with a host and is allowed with score 0; repeated rows are judged
-    alike; long urls are read whole; an empty table gives an empty result; other
-    columns are not read.
+    alike; long urls are read whole; pages without any seed word leave all allowed
+    that no rule blocks; an empty table gives an empty result; other columns are not
+    read.
     """
     words = load_words(vocabulary)
     parts = _split_pages(pages, id_col, url_col, rules)
-    ratio, prior = fit(parts, words)
+    model = fit(parts, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = Segmenter(words)
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            odds = [prior + float(ratio[[slot(t) for t in dict.fromkeys(seg.tokens(h, p))]].sum()) if h else 0.0 for h, p in zip(hosts, paths, strict=True)]
+            odds = [model.odds(seg.tokens(h, p)) if h else 0.0 for h, p in zip(hosts, paths, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*batch.schema.names, "score"])
 
     kind = pages.schema[id_col].dataType.simpleString()
