@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import materialise
+from hearthline.llm.common import as_row, from_row, materialise
 
 #: Bounds of the fit: about so many labelled rows are sampled, and so many lexicon candidates and entries are held.
 SAMPLE_ROWS, CANDIDATES, LEXICON = 24_000, 20_000, 3_000
@@ -344,7 +344,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     return kept.mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with their columns."""
-    scored = score(docs, fit(docs, labels), score_col="_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that score below the threshold, with their columns.
+
+    Edge cases: as for ``score``; NULL and empty texts are judged by their score too;
+    repeated rows share their fate; without labels, or with one label only, every score
+    is the share of toxic labels, so all rows stay or all go; a table of labels with
+    other columns may clash with any name; column names may clash with any used here.
+    """
+    model = fit(docs, labels, id_col, text_col)
+    carried = score(docs.select(as_row(docs), F.col(f"`{text_col}`").alias("text")), model)
+    return from_row(carried.where(F.col("score") < threshold), docs)
