@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -86,7 +88,8 @@ def _grouped(df: DataFrame, base: DataFrame, keys: list[str], aggregates: dict[s
 def market(df: DataFrame, target: str = "price_mad") -> DataFrame:
     has, base = set(df.columns), df
     if {"city_cleaned", target} <= has:
-        df = _grouped(df, base, ["city_cleaned"], {"city_price_mean": F.avg(target), "city_price_median": F.median(target), "city_price_std": F.stddev_samp(target), "city_listing_count": F.count(target)})
+        df = _grouped(df, base, ["city_cleaned"], {"city_price_mean": F.avg(target), "city_price_std": F.stddev_samp(target), "city_listing_count": F.count(target)})
+        df = df.join(S.medians(base, "city_cleaned", target, "city_price_median").withColumnRenamed("city_cleaned", "_k"), F.col("city_cleaned") == F.col("_k"), "left").drop("_k")
         gap = F.col(target) - F.col("city_price_mean")
         rank = F.when(F.col("city_cleaned").isNotNull(), S.pct_rank(target, "city_cleaned"))
         df = df.withColumns({"price_deviation_from_city": gap, "price_zscore_in_city": S.ratio(gap, F.col("city_price_std")), "price_percentile_in_city": rank})
@@ -97,6 +100,7 @@ def market(df: DataFrame, target: str = "price_mad") -> DataFrame:
         df = _grouped(df, base, ["neighborhood_cleaned"], stats)
     if {"property_type_cleaned", target} <= has:
         df = _grouped(df, base, ["property_type_cleaned"], {"property_type_price_mean": F.avg(target)})
+        df = df.join(S.medians(base, "property_type_cleaned", target, "property_type_price_median").withColumnRenamed("property_type_cleaned", "_k"), F.col("property_type_cleaned") == F.col("_k"), "left").drop("_k")
         df = df.withColumn("price_premium_over_type", F.col(target) - F.col("property_type_price_mean"))
     return df
 
@@ -225,30 +229,89 @@ def select_best(df: DataFrame, target: str, k: int = 50, keep: tuple[str, ...] =
 
 
 def mutual_information(df: DataFrame, target: str, columns: list[str], bins: int = 10) -> DataFrame:
-    """``feature, importance``: information shared by the quantile bins of a column and the target, over the largest."""
-    base = df.select(target, *columns)
-    binned = S.quantile_bins(base, target, "_y", bins)
-    for c in columns:
-        binned = S.quantile_bins(binned, c, f"_{c}", bins, base)
-    long = binned.select("_y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"_{c}").alias("x")) for c in columns])).alias("p")).select("_y", "p.*").where("_y is not null and x is not null")
+    """``feature, importance`` in falling order: information shared by the quantile bins of a column and the target, over the largest."""
+    found = S.quantiles(df.select(target, *columns), {c: [i / bins for i in range(bins + 1)] for c in (target, *columns)})
+    binned = df.select(S.bin_number(F.col(target), found[target]).alias("_y"), *[S.bin_number(F.col(c), found[c]).alias(c) for c in columns])
+    long = binned.select("_y", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in columns])).alias("p")).select("_y", "p.*").where("_y is not null and x is not null")
     cells = long.groupBy("feature", "x", "_y").agg(F.count(F.lit(1)).cast("double").alias("n"))  # at most bins * bins rows a feature
     w = lambda *k: F.sum("n").over(Window.partitionBy("feature", *k))
     parts = cells.withColumn("part", F.col("n") / w() * F.log(F.col("n") * w() / (w("x") * w("_y"))))
-    mi = parts.groupBy("feature").agg(F.sum("part").alias("mi"))
-    return mi.crossJoin(F.broadcast(mi.agg(F.max("mi").alias("top")))).select("feature", S.ratio(F.col("mi"), F.col("top")).alias("importance"))
+    return _over_largest(parts.groupBy("feature").agg(F.sum("part").alias("mi")))
+
+
+def _over_largest(mi: DataFrame) -> DataFrame:
+    scaled = mi.crossJoin(F.broadcast(mi.agg(F.max("mi").alias("top")))).select("feature", S.ratio(F.col("mi"), F.col("top")).alias("importance"))
+    return scaled.orderBy(F.desc("importance"), "feature")
+
+
+def neighbour_information(df: DataFrame, target: str, columns: list[str], neighbours: int = 3, sample_rows: int = 5000, seed: int = 42) -> DataFrame:
+    """As ``mutual_information``, by distances to nearest neighbours instead of bins (Kraskov's estimate).
+
+    The estimate compares rows pairwise, so it is made on ``sample_rows`` rows at the most,
+    chosen by hash; NULL counts as the column's median. Each column is one task.
+    """
+    middle = S.quantiles(df.select(target, *columns), {c: [0.5] for c in (target, *columns)})
+    value = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0])).alias(c)
+    filled = df.select(value(target), *[value(c) for c in columns])
+    drawn = filled.orderBy(F.xxhash64(F.lit(seed), *filled.columns), *filled.columns).limit(sample_rows)
+    pairs = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x")) for c in columns])
+    long = drawn.select(F.col(target).alias("y"), F.explode(pairs).alias("p")).select("y", "p.*")
+
+    def estimate(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"feature": rows["feature"].iloc[:1], "mi": [kraskov(rows["x"].to_numpy(float), rows["y"].to_numpy(float), neighbours)]})
+
+    return _over_largest(long.groupBy("feature").applyInPandas(estimate, "feature string, mi double"))
+
+
+def kraskov(x: np.ndarray, y: np.ndarray, neighbours: int = 3, seed: int = 42) -> float:
+    """Mutual information of two continuous variables; values are scaled and ties broken by tiny noise."""
+    n = len(x)
+    if n <= neighbours + 1:
+        return 0.0
+    rng = np.random.default_rng(seed)
+
+    def scaled(v: np.ndarray) -> np.ndarray:
+        v = v / (v.std() or 1.0)
+        return v + 1e-10 * max(1.0, float(np.abs(v).mean())) * rng.standard_normal(n)
+
+    x, y = scaled(x), scaled(y)
+    sx, sy = np.sort(x), np.sort(y)
+    digamma = np.concatenate([[0.0], -np.euler_gamma + np.concatenate([[0.0], np.cumsum(1 / np.arange(1, n + 1))])])
+    total = 0.0
+    for at in range(0, n, 256):
+        i = slice(at, at + 256)
+        far = np.maximum(np.abs(x[i, None] - x[None, :]), np.abs(y[i, None] - y[None, :]))
+        radius = np.nextafter(np.partition(far, neighbours, axis=1)[:, neighbours], 0)
+        count = [np.searchsorted(s, v[i] + radius, "right") - np.searchsorted(s, v[i] - radius, "left") for s, v in ((sx, x), (sy, y))]
+        total += float(sum(digamma[np.clip(c, 1, n)].sum() for c in count))
+    return max(0.0, float(digamma[n] + digamma[neighbours] - total / n))
+
+
+def summary(before: DataFrame, after: DataFrame) -> DataFrame:
+    """``kind, type, n_columns``: the columns that were there and those that were added, by type."""
+    known = set(before.columns)
+    kinds: dict[tuple[str, str], int] = {}
+    for f in after.schema.fields:
+        key = ("original" if f.name in known else "engineered", f.dataType.simpleString())
+        kinds[key] = kinds.get(key, 0) + 1
+    return after.sparkSession.createDataFrame([(*k, n) for k, n in sorted(kinds.items())], "kind string, type string, n_columns int")
+
+
+def feature_names(df: DataFrame, without: tuple[str, ...] = ("id", "price_mad", "split", "split_combined")) -> list[str]:
+    """The columns a model would use, in alphabetical order."""
+    return sorted(c for c in df.columns if c not in without)
 
 
 def scale(df: DataFrame, columns: list[str], method: str = "standard") -> DataFrame:
     """Standard (population deviation), minmax or robust scaling in place; NULL counts as 0."""
     x = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in columns}
-    pair = {
-        "standard": lambda v: (F.avg(v), F.stddev_pop(v)),
-        "minmax": lambda v: (F.min(v), F.max(v) - F.min(v)),
-        "robust": lambda v: (F.percentile(v, 0.5), F.percentile(v, 0.75) - F.percentile(v, 0.25)),
-    }
-    if method not in pair:
+    if method == "robust":
+        found = S.quantiles(df.select(*[x[c].alias(c) for c in columns]), {c: [0.25, 0.5, 0.75] for c in columns})
+        parts = {c: (q[1], q[2] - q[0]) for c, q in found.items() if q[0] is not None}
+    elif method in ("standard", "minmax"):
+        pair = (lambda v: (F.avg(v), F.stddev_pop(v))) if method == "standard" else (lambda v: (F.min(v), F.max(v) - F.min(v)))
+        row = df.agg(F.count(F.lit(1)).alias("n"), *[e.alias(f"{k}{i}") for i, c in enumerate(columns) for k, e in zip("ab", pair(x[c]), strict=True)]).first()
+        parts = {c: (row[f"a{i}"], row[f"b{i}"]) for i, c in enumerate(columns) if row["n"]}
+    else:
         raise ValueError(f"unknown scaling: {method}")
-    stats = df.agg(*[e.alias(f"_{k}_{c}") for c in columns for k, e in zip("ab", pair[method](x[c]), strict=True)])
-    wide = lambda c: F.when(F.col(f"_b_{c}") == 0, 1.0).otherwise(F.col(f"_b_{c}"))
-    scaled = df.crossJoin(F.broadcast(stats)).withColumns({c: (x[c] - F.col(f"_a_{c}")) / wide(c) for c in columns})
-    return scaled.drop(*[f"_{k}_{c}" for c in columns for k in "ab"])
+    return df.withColumns({c: (x[c] - F.lit(a)) / F.lit(b or 1.0) for c, (a, b) in parts.items()})

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from hearthline import vocab
+from hearthline.functions import stats as S
+from hearthline.plans.tables import cut
 
 NUMERIC = ["price_mad", "surface_m2", "rooms", "price_per_m2"]
 
@@ -49,16 +51,20 @@ def _long(df: DataFrame, found: list[Column]) -> DataFrame:
 def iqr_outliers(df: DataFrame, columns: list[str] | None = None, factor: float = 1.5, least: int = 10) -> DataFrame:
     """Values beyond ``factor`` interquartile ranges; columns with fewer than ``least`` values have none.
 
-    The limits of all columns are one row, taken in one pass.
+    The limits of all columns are taken together.
     """
     cols = [c for c in columns or NUMERIC if c in df.columns]
-    stats = df.agg(*[x for c in cols for x in (F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}_q"), F.count(c).alias(f"{c}_n"))])
+    edges, counts = S.quantiles(df, {c: [0.25, 0.75] for c in cols}), df.agg(F.count(F.lit(1)), *[F.count(c).alias(c) for c in cols]).first()
     found = []
     for c in cols:
-        q1, q3 = F.col(f"{c}_q")[0], F.col(f"{c}_q")[1]
-        lo, hi = q1 - factor * (q3 - q1), q3 + factor * (q3 - q1)
-        found.append(F.when((F.col(f"{c}_n") >= least) & ((F.col(c) < lo) | (F.col(c) > hi)), _finding(c, "iqr", F.col(c), lo, hi)))
-    return _long(df.select("id", *cols).crossJoin(F.broadcast(stats)), found)
+        q1, q3 = edges[c]
+        if q1 is not None and counts[c] >= least:
+            lo, hi = F.lit(q1 - factor * (q3 - q1)), F.lit(q3 + factor * (q3 - q1))
+            found.append(F.when((F.col(c) < lo) | (F.col(c) > hi), _finding(c, "iqr", F.col(c), lo, hi)))
+    if not found:  # no limits, so no findings
+        none = F.lit(None).cast("double")
+        return _long(df.where("false"), [_finding("", "iqr", none, none, none)])
+    return _long(df.select("id", *cols), found)
 
 
 def zscore_outliers(df: DataFrame, columns: list[str] | None = None, limit: float = 3.0, least: int = 10) -> DataFrame:
@@ -75,8 +81,9 @@ def zscore_outliers(df: DataFrame, columns: list[str] | None = None, limit: floa
 def isolation_forest(df: DataFrame, columns: list[str], trees: int = 100, contamination: float = 0.1, seed: int = 42, subsample: int = 256, least: int = 50) -> DataFrame:
     """``id, score, is_outlier`` of rows complete in ``columns``: the share ``contamination`` isolated soonest.
 
-    Each tree is grown on its own rows, ``subsample`` of a bounded sample, as the
-    method defines it; every complete row is scored on the executors.
+    Each tree is grown on its own rows, ``subsample`` of a sample of ``trees * subsample / 4``
+    rows (6400 by default) by hash of the id, as the method defines it; every complete row is
+    scored on the executors.
     """
     full = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
     rows = df.where(full).select("id", *[F.col(c).cast("double").alias(c) for c in columns])
@@ -104,8 +111,9 @@ def isolation_forest(df: DataFrame, columns: list[str], trees: int = 100, contam
         return pd.Series(2.0 ** (-depth / len(grown) / usual))
 
     scored = rows.select("id", score(*columns).alias("score"))
-    edge = scored.agg(F.percentile("score", 1 - contamination).alias("edge"))
-    return scored.crossJoin(F.broadcast(edge)).select("id", "score", (F.col("score") > F.col("edge")).alias("is_outlier"))
+    scored = cut(scored)
+    edge = S.quantiles(scored, {"score": [1 - contamination]})["score"][0]
+    return scored.select("id", "score", (F.col("score") > F.lit(edge)).alias("is_outlier"))
 
 
 def _average_path(n: float) -> float:
@@ -147,9 +155,9 @@ def handle(df: DataFrame, strategy: str = "remove", columns: list[str] | None =
         return df.join(domain_outliers(df).unionByName(iqr_outliers(df)).select("id").distinct(), "id", "left_anti")
     if strategy == "cap":
         cols = [c for c in columns or NUMERIC if c in df.columns]
-        edges = df.agg(*[F.percentile(c, F.array(F.lit(0.05), F.lit(0.95))).alias(f"_{c}") for c in cols])
-        capped = {c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), F.col(f"_{c}")[0]), F.col(f"_{c}")[1])) for c in cols}
-        return df.crossJoin(F.broadcast(edges)).withColumns(capped).drop(*[f"_{c}" for c in cols])
+        edges = S.quantiles(df, {c: [0.05, 0.95] for c in cols})
+        low, high = (lambda c: F.lit(edges[c][0]).cast("double")), (lambda c: F.lit(edges[c][1]).cast("double"))
+        return df.withColumns({c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c).cast("double"), low(c)), high(c))) for c in cols})
     if strategy == "transform":
         return df.withColumns({f"{c}_log": F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in cols})
     return df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline.functions import stats as S
@@ -18,8 +18,8 @@ def prepare(df: DataFrame, target: str = "price_mad", as_of_year: int = 2024) ->
     if city != "city_cleaned":
         df = df.withColumn("city_cleaned", F.lower(F.trim("city")))
     known = df.where(F.col(target).isNotNull() & F.col("city_cleaned").isNotNull())
-    edges = known.agg(F.percentile(target, F.array(F.lit(0.01), F.lit(0.99))).alias("_e"))
-    rows = known.crossJoin(F.broadcast(edges)).where(F.col(target).between(F.col("_e")[0], F.col("_e")[1])).drop("_e")
+    low, high = S.quantiles(known, {target: [0.01, 0.99]})[target]
+    rows = known.where(F.col(target).between(F.lit(low).cast("double"), F.lit(high).cast("double")))
     has, out = set(rows.columns), {}
     if "construction_year" in has:
         age = F.lit(as_of_year) - F.col("construction_year")
@@ -34,17 +34,17 @@ def prepare(df: DataFrame, target: str = "price_mad", as_of_year: int = 2024) ->
     return rows.withColumns(out) if out else rows
 
 
-def split_column(keys: list[str], id_col: str = "id", test: float = 0.2, val: float = 0.25, seed: int = 42) -> Column:
-    """``test``, ``val`` or ``train`` by a hash order within ``keys``: ceil(test * n) rows, then ceil(val * rest).
+def split_within(df: DataFrame, keys: list[str], out: str, id_col: str = "id", test: float = 0.2, val: float = 0.25, seed: int = 42) -> DataFrame:
+    """``out`` is ``test``, ``val`` or ``train`` by a hash order within ``keys``: ceil(test * n) rows, then ceil(val * rest).
 
     A group of one row goes to training.
     """
-    w = Window.partitionBy(*keys)
-    place = F.row_number().over(w.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col))
-    n = F.count(F.lit(1)).over(w)
+    n = F.col("_size")
     n_test = F.when(n > 1, F.ceil(n * F.lit(test))).otherwise(0)
     n_val = F.when(n > 1, F.ceil((n - n_test) * F.lit(val))).otherwise(0)
-    return F.when(place <= n_test, "test").when(place <= n_test + n_val, "val").otherwise("train")
+    place = F.col("_place")
+    kind = F.when(place <= n_test, "test").when(place <= n_test + n_val, "val").otherwise("train")
+    return S.places_by_hash(df, keys, id_col, seed).withColumn(out, kind).drop("_place", "_size")
 
 
 def split_by_city(df: DataFrame, id_col: str = "id", least: int = 100, cities: list[str] | None = None, seed: int = 42, stratify: str | None = None) -> DataFrame:
@@ -54,7 +54,7 @@ def split_by_city(df: DataFrame, id_col: str = "id", least: int = 100, cities: l
     counts = df.groupBy(F.col("city_cleaned").alias("_city")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
     rows = df.join(counts.select("_city"), F.col("city_cleaned") == F.col("_city"), "left_semi")
     keys = ["city_cleaned", *([stratify] if stratify else [])]
-    return rows.withColumn("split", split_column(keys, id_col, seed=seed)).withColumn("split_combined", split_column(["city_cleaned"], id_col, seed=seed + 1))
+    return split_within(split_within(rows, keys, "split", id_col, seed=seed), ["city_cleaned"], "split_combined", id_col, seed=seed + 1)
 
 
 def split_statistics(df: DataFrame, target: str = "price_mad") -> DataFrame:
@@ -65,15 +65,14 @@ def split_statistics(df: DataFrame, target: str = "price_mad") -> DataFrame:
 
 def balance(df: DataFrame, id_col: str = "id", least: int = 500, most: int = 5000, seed: int = 42) -> DataFrame:
     """Down-sample training sets to ``most`` and the others to a quarter of that; cities with fewer than ``least`` training rows go."""
-    w = Window.partitionBy("city_cleaned", "split")
-    place = F.row_number().over(w.orderBy(F.xxhash64(id_col, F.lit(seed)), id_col))
-    train = F.count_if(F.col("split") == "train").over(Window.partitionBy("city_cleaned"))
-    limit = F.when(train <= most, F.lit(1 << 40)).when(F.col("split") == "train", most).otherwise(most // 4)
-    return df.withColumns({"_p": place, "_t": train, "_l": limit}).where((F.col("_p") <= F.col("_l")) & (F.col("_t") >= least)).drop("_p", "_t", "_l")
+    sizes = df.where("split = 'train'").groupBy(F.col("city_cleaned").alias("_city")).agg(F.count(F.lit(1)).alias("_train")).where(F.col("_train") >= least)
+    limit = F.when(F.col("_train") <= most, F.lit(1 << 40)).when(F.col("split") == "train", most).otherwise(most // 4)
+    placed = S.places_by_hash(df, ["city_cleaned", "split"], id_col, seed).join(sizes, F.col("city_cleaned") == F.col("_city"))
+    return placed.where(F.col("_place") <= limit).drop("_place", "_size", "_city", "_train")
 
 
 def impute(df: DataFrame, numeric: list[str], text: list[str]) -> DataFrame:
     """Medians and modes (the smallest of several; ``unknown`` without any) for NULLs."""
-    stats = df.agg(*[F.percentile(c, 0.5).alias(f"_{c}") for c in numeric], *[F.mode(c, True).alias(f"_{c}") for c in text])
-    filled = df.crossJoin(F.broadcast(stats)).withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) for c in numeric} | {c: F.coalesce(F.col(c), F.col(f"_{c}"), F.lit("unknown")) for c in text})
-    return filled.drop(*[f"_{c}" for c in [*numeric, *text]])
+    middle, mode = S.quantiles(df, {c: [0.5] for c in numeric}), S.modes(df, text)
+    fill = {c: F.coalesce(F.col(c).cast("double"), F.lit(middle[c][0]).cast("double")) for c in numeric}
+    return df.withColumns(fill | {c: F.coalesce(F.col(c), F.lit(mode[c]), F.lit("unknown")) for c in text})
