@@ -31,20 +31,37 @@ def _terms(title: str) -> Counter[str]:
     return Counter(words) + Counter(" ".join(p) for p in zip(words, words[1:], strict=False))
 
 
-def title_score(a: str, b: str) -> float:
-    """The larger of the matching-blocks ratio and the cosine of TF-IDF vectors over the two titles alone."""
+def title_score(a: str, b: str, least: float = 0.0) -> float:
+    """The larger of the matching-blocks ratio and the cosine of TF-IDF vectors over the two titles alone.
+
+    Below ``least`` any score below it may be returned, which saves most of the matching.
+    """
     if not a or not b:
         return 0.0
     x, y = _terms(a), _terms(b)
     idf = {t: (math.log(3 / (1 + (t in x) + (t in y))) + 1) ** 2 for t in x | y}
     dot = sum(x[t] * y[t] * idf[t] for t in x if t in y)
     norm = math.sqrt(sum(n * n * idf[t] for t, n in x.items()) * sum(n * n * idf[t] for t, n in y.items()))
-    return max(SequenceMatcher(None, a, b).ratio(), dot / norm if norm else 0.0)
+    cosine = dot / norm if norm else 0.0
+    blocks = SequenceMatcher(None, a, b)
+    for bound in (blocks.real_quick_ratio, blocks.quick_ratio):
+        if bound() <= cosine or bound() < least:
+            return cosine
+    return max(blocks.ratio(), cosine)
 
 
-@F.pandas_udf(DoubleType())
-def title_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([title_score(x or "", y or "") for x, y in zip(a, b, strict=True)])
+def scored_titles(least: float = 0.0):
+    """``title_score`` as an Arrow function of two columns; NULL counts as empty."""
+
+    @F.pandas_udf(DoubleType())
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([title_score(x or "", y or "", least) for x, y in zip(a, b, strict=True)], dtype=float)
+
+    return score
+
+
+def title_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    return scored_titles(least)(a, b)
 
 
 @lru_cache(1 << 16)
