@@ -1,12 +1,10 @@
-"""Fields of listing pages by pattern; all Column expressions."""
+"""What pages and urls show by pattern alone, as Column expressions; ``sources.dom`` reads the element tree."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from hearthline import vocab
-from hearthline.functions.price import digits_price
 from hearthline.functions.text import collapse
 
 
@@ -19,11 +17,6 @@ def plain(html: Column) -> Column:
     return collapse(F.regexp_replace(html, r"(?s)<[^>]*>", " "))
 
 
-def by_class(html: Column, name: str) -> Column:
-    """Inner text of the first element whose class holds ``name``."""
-    return F.nullif(plain(_first(html, rf"""(?is)<[a-z0-9]+[^>]*class\s*=\s*["'][^"']*{name}[^"']*["'][^>]*>(.*?)</""")), F.lit(""))
-
-
 def title(html: Column) -> Column:
     return F.nullif(plain(_first(html, r"(?is)<h1[^>]*>(.*?)</h1>")), F.lit(""))
 
@@ -37,6 +30,7 @@ def source_id(url: Column) -> Column:
     return F.coalesce(_first(url, r"/a/([0-9]+)"), _first(url, r"/pa/([0-9]+)"), _first(url, r"/([0-9]+)(?:$|/)"), F.element_at(F.split(F.rtrim(url, F.lit("/")), "/"), -1))
 
 
+# Coordinates in urls and scripts.
 _COORDINATES = r"(?i)(?:lat|latitude)[=:]?(-?[0-9]+\.?[0-9]*)[,&]?.*?(?:lng|lon|longitude)[=:]?(-?[0-9]+\.?[0-9]*)"
 
 
@@ -44,57 +38,12 @@ def coordinates_from_url(url: Column) -> Column:
     return F.struct(_first(url, _COORDINATES, 1).try_cast("double").alias("latitude"), _first(url, _COORDINATES, 2).try_cast("double").alias("longitude"))
 
 
-def coordinates_from_script(html: Column) -> Column:
-    forms = [r"""(?is)lat["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)[,\s].*?lng["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)""", r"""(?is)latitude["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)[,\s].*?longitude["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)"""]
-    both = [[_first(html, f, g).try_cast("double") for f in forms] for g in (1, 2)]
-    return F.struct(F.coalesce(*both[0]).alias("latitude"), F.coalesce(*both[1]).alias("longitude"))
-
-
-def price(html: Column) -> Column:
-    text = plain(html)
-    nbsp = " "
-    return F.coalesce(
-        F.nullif(digits_price(by_class(html, "price")), F.lit(0)),
-        F.nullif(digits_price(_first(text, rf"(?i)([0-9][0-9\s{nbsp},.]*)\s*(?:dh|mad)")), F.lit(0)),
-        F.nullif(digits_price(_first(text, rf"(?i)prix\s*:?\s*([0-9][0-9\s{nbsp},.]*)")), F.lit(0)),
-    )
-
-
-def details(html: Column) -> Column:
-    """``struct(surface_m2, rooms, bathrooms)``."""
-    text = plain(html)
-    number = lambda p: F.regexp_replace(_first(text, p), ",", ".")
-    return F.struct(
-        number(r"(?i)([0-9]+(?:[,.][0-9]+)?)\s*m[²2]").try_cast("double").alias("surface_m2"),
-        F.coalesce(number(r"(?i)([0-9]+)\s*(?:chambre|bedroom|room)"), number(r"(?i)([0-9]+)\s*pi[èe]ces?")).try_cast("int").alias("rooms"),
-        number(r"(?i)([0-9]+)\s*(?:salle.*?bain|bathroom|sdb)").try_cast("int").alias("bathrooms"),
-    )
+SCRIPT_FORMS = [r"""(?is)lat["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)[,\s].*?lng["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)""", r"""(?is)latitude["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)[,\s].*?longitude["\s]*[:=]\s*(-?[0-9]+\.?[0-9]*)"""]
 
 
-def location(html: Column, default: str = "Casablanca") -> Column:
-    """``struct(neighborhood, city)``: comma parts of the location block, else a city named in the title, else the default."""
-    parts = F.transform(F.split(by_class(html, "location"), ","), F.trim)
-    named = None
-    for city in vocab.CITIES:
-        hit = F.contains(F.lower(title(html)), F.lit(city))
-        named = F.when(hit, city.capitalize()) if named is None else named.when(hit, city.capitalize())
-    return F.struct(F.when(F.size(parts) > 1, F.element_at(parts, 1)).alias("neighborhood"), F.coalesce(F.element_at(parts, -1), named, F.lit(default)).alias("city"))
-
-
-def images(html: Column, base: str = "") -> Column:
-    found = F.regexp_extract_all(html, F.lit(r"""(?i)<img[^>]*?(?:src|data-src|data-original)\s*=\s*["']([^"']+)["']"""), F.lit(1))
-    whole = F.transform(found, lambda u: F.when(F.startswith(u, F.lit("//")), F.concat(F.lit("https:"), u)).when(F.startswith(u, F.lit("/")), F.concat(F.lit(base), u)).otherwise(u))
-    return F.array_distinct(F.filter(whole, lambda u: F.startswith(u, F.lit("http"))))
-
-
-def agent(html: Column) -> Column:
-    names = [by_class(html, n) for n in ("agent-name", "agency-name", "contact-name", "seller-name")]
-    return F.struct(F.coalesce(*names).alias("name"), F.trim(_first(plain(html), r"((?:\+212|0)[0-9\s\-]{8,})")).alias("phone"))
-
-
-def amenities(html: Column) -> Column:
-    text = F.lower(plain(html))
-    return F.filter(F.array(*[F.lit(w) for w in vocab.AMENITY_WORDS]), lambda w: F.contains(text, w))
+def coordinates_from_script(html: Column) -> Column:
+    both = [[_first(html, f, g).try_cast("double") for f in SCRIPT_FORMS] for g in (1, 2)]
+    return F.struct(F.coalesce(*both[0]).alias("latitude"), F.coalesce(*both[1]).alias("longitude"))
 
 
 def profile(html: Column) -> list[Column]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthline import vocab
 from hearthline.functions import geo as G
+from hearthline.plans.tables import cut
 
 
 def nearby(left: DataFrame, right: DataFrame, metres: float, left_id: str = "id", salts: int = 1) -> DataFrame:
@@ -36,9 +37,19 @@ def poi_counts(listings: DataFrame, pois: DataFrame, metres: float = 1000.0, id_
     return out.withColumn("walkability_score", walk)
 
 
-def nearest(listings: DataFrame, pois: DataFrame, metres: float, id_col: str = "id") -> DataFrame:
-    """The nearest point within ``metres`` and its distance; NULL without one."""
-    found = nearby(listings, pois, metres, id_col).groupBy(id_col).agg(F.min(F.struct("metres", "poi_id")).alias("_n"))
+def nearest(listings: DataFrame, pois: DataFrame, metres: float, id_col: str = "id", most: float | None = None) -> DataFrame:
+    """The nearest point and its distance, looked for within ``metres`` first; NULL without one.
+
+    With ``most`` the radius is doubled for the listings that have found none, up to that
+    distance, so dense places never meet the points of a wide circle.
+    """
+    open_, found, reach = listings, None, metres
+    while True:
+        near = cut(nearby(open_, pois, reach, id_col).groupBy(id_col).agg(F.min(F.struct("metres", "poi_id")).alias("_n")))
+        found = near if found is None else found.unionByName(near)
+        if most is None or reach >= most:
+            break
+        open_, reach = listings.join(found, id_col, "left_anti"), min(2 * reach, most)
     return listings.join(found, id_col, "left").select(*listings.columns, F.col("_n.poi_id").alias("nearest_poi"), F.col("_n.metres").alias("nearest_metres"))
 
 
@@ -62,3 +73,16 @@ def with_census(df: DataFrame) -> DataFrame:
 
 def with_infrastructure(df: DataFrame) -> DataFrame:
     return df.withColumns({k: F.lit(v) for k, v in vocab.INFRASTRUCTURE.items()})
+
+
+def with_relations(listings: DataFrame, enrichments: DataFrame, images: DataFrame) -> DataFrame:
+    """Listings with their enrichment (a struct, NULL without one) and their images (an array, empty without any).
+
+    One row per listing: a listing has one enrichment, and images are gathered by
+    listing before the join; those of one listing are bounded by its page.
+    """
+    facts = enrichments.select(F.col("listing_id").alias("_e"), F.struct(*[f"`{c}`" for c in enrichments.columns if c != "listing_id"]).alias("enrichment"))
+    shown = [c for c in images.columns if c != "listing_id"]
+    photos = images.groupBy(F.col("listing_id").alias("_i")).agg(F.array_sort(F.collect_list(F.struct("original_url", *[f"`{c}`" for c in shown if c != "original_url"]))).alias("images"))
+    out = listings.join(facts, F.col("id") == F.col("_e"), "left").join(photos, F.col("id") == F.col("_i"), "left").drop("_e", "_i")
+    return out.withColumn("images", F.coalesce("images", F.array().cast(photos.schema["images"].dataType)))

@@ -50,6 +50,22 @@ def upsert_listings(old: DataFrame, new: DataFrame) -> DataFrame:
     return merge(old, new, ["source_platform", "source_id"], overwrite=OVERWRITTEN, fill=["latitude", "longitude"])
 
 
+IMAGE_VALUES = ["storage_path", "width", "height", "file_size_bytes", "format", "room_type", "is_exterior", "quality_score", "download_error", "downloaded_at"]
+
+
+def upsert_images(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Images by listing and url; ``downloaded`` tells those without an error."""
+    merged = merge(old, new, ["listing_id", "original_url"], overwrite=IMAGE_VALUES)
+    return merged.withColumn("downloaded", F.coalesce(F.col("download_error"), F.lit("")) == "")
+
+
+def mark_downloaded(listings: DataFrame, images: DataFrame) -> DataFrame:
+    """``images_downloaded`` becomes true for listings whose images were processed."""
+    done = images.select(F.col("listing_id").alias("_done")).distinct()
+    marked = F.when(F.col("_done").isNotNull(), True).otherwise(F.col("images_downloaded"))
+    return listings.join(done, F.col("id") == F.col("_done"), "left").withColumn("images_downloaded", marked).drop("_done")
+
+
 def coalesce_merge(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New values win where they are not NULL."""
     joined = old.alias("a").join(new.alias("b"), [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "full_outer")

@@ -35,15 +35,15 @@ INGEST_LOG = (
 )
 
 
-def conform(df: DataFrame, schema: str = LISTING, keep_extra: bool = True) -> DataFrame:
-    """Cast the columns of ``schema`` that are present, add the others as NULL, and turn NaN into NULL."""
+def conform(df: DataFrame, schema: str = LISTING, keep_extra: bool = True, defaults: dict | None = None) -> DataFrame:
+    """Cast the columns of ``schema`` that are present, add the others (NULL, or their default), and turn NaN into NULL."""
     fields = _struct(schema) if isinstance(schema, str) else schema
     if not isinstance(fields, T.StructType):
         raise TypeError("schema must be a struct")
     out = []
     for f in fields.fields:
         if f.name not in df.columns:
-            out.append(F.lit(None).cast(f.dataType).alias(f.name))
+            out.append(F.lit(None if defaults is None else defaults.get(f.name)).cast(f.dataType).alias(f.name))
             continue
         c = F.col(f"`{f.name}`")
         if isinstance(df.schema[f.name].dataType, (T.DoubleType, T.FloatType)):
@@ -57,3 +57,15 @@ def create_tables(spark, database: str = "default") -> None:
     """The storage tables, if they are not there yet."""
     for name, schema in (("listings", LISTING), ("listing_enrichments", ENRICHMENT), ("listing_images", IMAGE), ("ingest_log", INGEST_LOG)):
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({schema}) USING parquet")
+
+
+def to_json_columns(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Arrays, maps and structs (or the given columns) as JSON text, as a database keeps them; NULL stays NULL."""
+    nested = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))] if columns is None else columns
+    return df.withColumns({c: F.to_json(F.col(f"`{c}`")) for c in nested})
+
+
+def from_json_columns(df: DataFrame, schema: str = LISTING) -> DataFrame:
+    """The nested columns of ``schema`` out of JSON text; text that doesn't parse becomes NULL."""
+    nested = {f.name: f.dataType for f in _struct(schema).fields if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) and f.name in df.columns}
+    return df.withColumns({c: F.from_json(F.col(f"`{c}`"), t) for c, t in nested.items() if isinstance(df.schema[c].dataType, T.StringType)})

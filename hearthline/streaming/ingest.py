@@ -46,13 +46,3 @@ def windowed_counts(stream: DataFrame, ts: str = "ts", key: str = "event_type",
     """Counts and sums by window and key; late rows beyond ``delay`` are left out."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     return stream.withWatermark(ts, delay).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
-
-
-def failure_runs(log: DataFrame, least: int = 5) -> DataFrame:
-    """Runs of consecutive failures by platform and city that reach ``least``: a batch form of the alert counter."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("platform", "city").orderBy("at")
-    good = F.sum(F.when(F.col("status") != "failed", 1).otherwise(0)).over(w)
-    runs = log.withColumn("_run", good).where("status = 'failed'").groupBy("platform", "city", "_run")
-    return runs.agg(F.count(F.lit(1)).alias("failures"), F.min("at").alias("since")).where(F.col("failures") >= least).drop("_run")
