@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from hearthline import vocab
+from hearthline.functions import stats as S
 
 
 def plan(df: DataFrame, custom: dict[str, str] | None = None) -> dict[str, str]:
@@ -38,7 +41,7 @@ def boolean_code(c: Column) -> Column:
 def label_table(df: DataFrame, column: str) -> DataFrame:
     """``value, code``: distinct values in order from 0; NULL is 'MISSING'."""
     values = df.select(F.coalesce(F.col(column).cast("string"), F.lit("MISSING")).alias("value")).distinct()
-    return values.select("value", (F.row_number().over(Window.orderBy("value")) - 1).alias("code"))
+    return S.numbered(values, ["value"], "code").select("value", "code")
 
 
 def frequency_table(df: DataFrame, column: str, least: int = 5) -> DataFrame:
@@ -85,8 +88,6 @@ class Encoder:
         self.mapping().write.mode("overwrite").parquet(path)
 
     def mapping(self) -> DataFrame:
-        from pyspark.sql import SparkSession
-
         spark = SparkSession.active()
         rows = [(c, m, v, k) for c, m in self.methods.items() for k, v in enumerate(self.values.get(c, [None]))]
         out = spark.createDataFrame(rows, "column string, method string, value string, code bigint")
@@ -119,7 +120,7 @@ def fit(df: DataFrame, custom: dict[str, str] | None = None, max_categories: int
             encoder.tables[c] = frequency_table(df, c)
         elif method == "ordinal" and c not in vocab.ORDINAL:
             counts = df.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).count()
-            encoder.tables[c] = counts.select("value", (F.row_number().over(Window.orderBy(F.desc("count"), "value")) - 1).alias("code"))
+            encoder.tables[c] = S.numbered(counts.withColumn("count", -F.col("count")), ["count", "value"], "code").select("value", "code")
         elif method not in ("boolean", "ordinal", "skip"):
             raise ValueError(f"unknown encoding: {method}")
     encoder.methods = {c: m for c, m in methods.items() if m != "skip"}
@@ -140,24 +141,83 @@ def combinations(df: DataFrame) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def tfidf(df: DataFrame, id_col: str, text_col: str, features: int = 50, least: int = 5, most: float = 0.95) -> DataFrame:
-    """``id, term, weight``: L2-normalised TF-IDF of one- and two-word terms.
+def report(encoder: Encoder) -> DataFrame:
+    """``column, method, n_features, n_categories, feature_names`` of a fitted encoder, one row a column."""
+    spark = SparkSession.active()
+    schema = "column string, method string, n_features int, n_categories long, feature_names array<string>"
+    rows = []
+    for c, m in encoder.methods.items():
+        names = [f"{c}_{v}" for v in encoder.values[c]] if m == "onehot" else [f"{c}_encoded"]
+        categories = len(encoder.values[c]) if m == "onehot" else encoder.tables[c].count() if c in encoder.tables else len(vocab.ORDINAL[c]) if m == "ordinal" else None
+        rows.append((c, m, len(names), categories, names))
+    return spark.createDataFrame(rows, schema)
+
+
+def report_totals(found: DataFrame) -> DataFrame:
+    """``method, n_columns, n_features``: how often each method was used."""
+    return found.groupBy("method").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_features").alias("n_features"))
+
 
-    Terms are those in at least ``least`` and at most ``most`` of the texts, the
-    ``features`` most frequent of them; idf is ``ln((1 + n) / (1 + df)) + 1``.
+def _terms(text: Column, stop_words: Sequence[str]) -> Column:
+    """Words of two characters or more without stop words, and pairs of neighbours."""
+    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~w.isin(*stop_words))
+    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.when(p["b"].isNotNull(), F.concat_ws(" ", p["a"], p["b"])))
+    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+
+
+def tfidf_terms(df: DataFrame, text_col: str, features: int = 50, least: int = 5, most: float = 0.95, stop_words: Sequence[str] | None = None) -> list[tuple[str, float]]:
+    """Terms with their idf, in order: those in at least ``least`` and at most ``most`` of the texts, the ``features`` most frequent of them.
+
+    One pass counts a term's occurrences and texts by partial sums; idf is ``ln((1 + n) / (1 + df)) + 1``.
     """
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~w.isin(STOP_WORDS))
-    two = F.when(F.size("w") > 1, F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat_ws(" ", F.element_at("w", i), F.element_at("w", i + 1)))).otherwise(F.array())
-    rows = df.select(F.col(id_col).alias("id"), words.alias("w"))
-    counts = rows.select("id", F.explode(F.concat("w", two)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("all"))
-    terms = terms.crossJoin(F.broadcast(total)).where((F.col("df") >= least) & (F.col("df") <= most * F.col("n")))
-    terms = terms.orderBy(F.desc("all"), "term").limit(features).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighed = counts.join(F.broadcast(terms), "term").withColumn("x", F.col("tf") * F.col("idf"))  # `features` rows
-    norm = F.sqrt(F.sum(F.col("x") * F.col("x")).over(Window.partitionBy("id")))
-    return weighed.select("id", "term", (F.col("x") / norm).alias("weight"))
-
-
-# Words left out of terms.
-STOP_WORDS = "a an and are as at be but by for from has have he her his if in into is it its no not of on or she so such that the their them then there these they this to was were which will with you your".split()
+    words = STOP_WORDS if stop_words is None else stop_words
+    rows = df.select(_terms(F.col(text_col), words).alias("t"))
+    marked = F.concat(F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("text"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("text"))))
+    n = df.count()
+    counts = rows.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.text").alias("df"), F.count_if(F.col("m.text") == 0).alias("n"))
+    top = counts.where((F.col("df") >= least) & (F.col("df") <= most * n)).orderBy(F.desc("n"), "term").limit(features).collect()
+    return sorted((r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in top)
+
+
+def _weights(df: DataFrame, text_col: str, terms: list[tuple[str, float]], stop_words: Sequence[str] | None) -> DataFrame:
+    """``df`` with ``_w``: the normalised weight of every term, worked out within the row."""
+    names = [t for t, _ in terms]
+    hits = F.filter(_terms(F.col(text_col), STOP_WORDS if stop_words is None else stop_words), lambda x: x.isin(*names))
+    weight = lambda t, idf: F.size(F.filter("_t", lambda x: x == t)) * F.lit(idf)
+    raw = df.withColumn("_t", hits).withColumn("_w", F.array(*[weight(t, idf) for t, idf in terms]).cast("array<double>"))
+    norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))
+    return raw.withColumn("_n", norm).withColumn("_w", F.transform("_w", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0))).drop("_t", "_n")
+
+
+def tfidf(df: DataFrame, id_col: str, text_col: str, features: int = 50, least: int = 5, most: float = 0.95, stop_words: Sequence[str] | None = None) -> DataFrame:
+    """``id, term, weight``: L2-normalised TF-IDF of one- and two-word terms, one row for each term that a text has."""
+    terms = tfidf_terms(df, text_col, features, least, most, stop_words)
+    if not terms:
+        return df.select(F.col(id_col).alias("id"), F.lit("").alias("term"), F.lit(0.0).alias("weight")).where("false")
+    names = F.array(*[F.lit(t) for t, _ in terms])
+    rows = _weights(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", terms, stop_words)
+    return rows.select("id", F.explode(F.arrays_zip(names.alias("term"), F.col("_w").alias("weight"))).alias("x")).select("id", "x.term", "x.weight").where("weight > 0")
+
+
+def text_columns(df: DataFrame, columns: Sequence[str] = ("title_cleaned", "description_cleaned"), least_length: float = 10, **options) -> DataFrame:
+    """A column ``<column>_tfidf_<i>`` for each term; columns whose texts have fewer than ``least_length`` characters on average are left out."""
+    present = [c for c in columns if c in df.columns]
+    if not present:
+        return df
+    length = df.agg(*[F.avg(F.length(F.coalesce(F.col(c), F.lit("")))).alias(c) for c in present]).first()
+    for c in present:
+        terms = tfidf_terms(df, c, **options) if (length[c] or 0) >= least_length else []
+        if terms:
+            df = _weights(df, c, terms, options.get("stop_words"))
+            df = df.withColumns({f"{c}_tfidf_{i}": F.col("_w")[i] for i in range(len(terms))}).drop("_w")
+    return df
+
+
+# English words left out of terms by default; ``stop_words`` takes any other list.
+STOP_WORDS = (
+    "a about above after again against all also although always am among an and any anyone anything are around as at be became because become been before being below between both but by"
+    " can cannot could did do does done down during each either else even ever every everyone everything everywhere few for from further get give go had has have he her here hers herself him himself his how however"
+    " i if in into is it its itself last least less made many may me might mine more most much must my myself neither never next no nobody none nor not nothing now nowhere"
+    " of off often on once one only onto or other others otherwise our ours ourselves out over own per same see seem seemed several she should since so some someone something sometimes still such"
+    " than that the their them themselves then there therefore these they this those though through thus to together too toward under until up upon us very was we well were what when where whether which while who whole whom whose why will with within without would yet you your yours yourself"
+).split()

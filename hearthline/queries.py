@@ -21,8 +21,10 @@ from hearthline.functions import price as P
 from hearthline.functions import similarity as M
 from hearthline.functions import stats as S
 from hearthline.functions import text as X
-from hearthline.operators import coordinates, dedup, encoding, enrich, features, images, outliers, prices, quality, splitting, textclean, upsert
+from hearthline.operators import coordinates, dedup, encoding, enrich, features, images, monitoring, outliers, prices, quality, splitting, textclean, upsert
 from hearthline.plans import workflow
+from hearthline.sources import dom
+from hearthline.sources.readers import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -70,7 +72,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return _table(spark, sf_dir, "part").selectExpr(*[e.replace("VARCHAR(9)", "STRING") for e in LISTING_EXPRESSIONS])
     if name == "priced":
         return _table(spark, sf_dir, "listings").withColumn("price_per_m2", S.ratio(F.col("price_mad"), F.col("surface_m2")))
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return read_table(spark, f"{sf_dir}/{name}.parquet")
 
 
 def r(c: Column | str, digits: int = 4) -> Column:
@@ -113,9 +115,9 @@ def union_distinct(t):
     return t("customer").select(F.col("c_nationkey").alias("nation")).union(t("supplier").select("s_nationkey")).distinct()
 
 
-@query("SELECT p_size FROM part WHERE p_retailprice > 1000 EXCEPT SELECT p_size FROM part WHERE p_retailprice > 1900")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 200000")
 def except_rows(t):
-    return t("part").where("p_retailprice > 1000").select("p_size").exceptAll(t("part").where("p_retailprice > 1900").select("p_size")).distinct().join(t("part").where("p_retailprice > 1900").select("p_size").distinct(), "p_size", "left_anti")
+    return t("customer").select("c_custkey").subtract(t("orders").where("o_totalprice > 200000").select("o_custkey"))
 
 
 @query("SELECT c_mktsegment AS value, count(*) AS n FROM customer GROUP BY 1 ORDER BY n DESC, value LIMIT 10")
@@ -184,10 +186,12 @@ def zscore_in_group(t):
     return t("listings").select("id", r(S.zscore_in("surface_m2", "city"), 6).alias("z"))
 
 
-@query("SELECT p_partkey, CASE WHEN count(p_retailprice) OVER w >= 5 THEN round(avg(p_retailprice) OVER w, 4) END AS mean FROM part WINDOW w AS (PARTITION BY p_type, p_size)")
+@query(L + """, m AS (SELECT *, concat(neighborhood, city, rooms) AS place FROM l) SELECT id, CASE WHEN place IS NOT NULL THEN count(*) OVER w END AS popularity, CASE WHEN place IS NOT NULL AND count(price_mad) OVER w >= 5 THEN round(avg(price_mad) OVER w, 4) END AS mean,
+round(avg(price_mad) OVER v, 4) AS type_mean, round(median(price_mad) OVER v, 4) AS type_median, round(price_mad - avg(price_mad) OVER v, 4) AS premium FROM m WINDOW w AS (PARTITION BY place), v AS (PARTITION BY property_type)""".replace("concat(neighborhood, city, rooms)", "neighborhood || city || rooms"))
 def group_mean_min5(t):
-    w = S.over("p_type", "p_size")
-    return t("part").select("p_partkey", F.when(F.count("p_retailprice").over(w) >= 5, r(F.avg("p_retailprice").over(w))).alias("mean"))
+    x = t("listings").withColumns({"neighborhood_cleaned": F.concat("neighborhood", "city", F.col("rooms").cast("string")), "property_type_cleaned": F.col("property_type")})
+    x = features.market(x)
+    return x.select("id", F.col("neighborhood_popularity").alias("popularity"), r("neighborhood_price_mean").alias("mean"), r("property_type_price_mean").alias("type_mean"), r("property_type_price_median").alias("type_median"), r("price_premium_over_type").alias("premium"))
 
 
 RANK_SQL = "(rank() OVER (PARTITION BY {g} ORDER BY {v} NULLS LAST) + (count(*) OVER (PARTITION BY {g}, {v}) - 1) / 2.0::DOUBLE) / count({v}) OVER (PARTITION BY {g})"
@@ -369,12 +373,25 @@ def corr_matrix(t):
     return quality.correlations(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).select("a", "b", r("r", 8).alias("r"))
 
 
-@query()
+EDGES_SQL = "list_sort(list_distinct(quantile_cont({0}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))"
+
+
+@query(f"""WITH e AS (SELECT {EDGES_SQL.format('l_extendedprice')} AS y, {EDGES_SQL.format('l_quantity')} AS q, {EDGES_SQL.format('l_discount')} AS d, {EDGES_SQL.format('l_tax')} AS x FROM lineitem),
+b AS (SELECT greatest(0, len(list_filter(y, lambda v: v < l_extendedprice)) - 1) AS y, unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature,
+ unnest([greatest(0, len(list_filter(q, lambda v: v < l_quantity)) - 1), greatest(0, len(list_filter(d, lambda v: v < l_discount)) - 1), greatest(0, len(list_filter(x, lambda v: v < l_tax)) - 1)]) AS x FROM lineitem, e),
+c AS (SELECT feature, x, y, count(*)::DOUBLE AS n FROM b GROUP BY ALL), w AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS a, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny FROM c),
+m AS (SELECT feature, sum(n / a * ln(n * a / (nx * ny))) AS mi FROM w GROUP BY 1) SELECT feature, round(mi / max(mi) OVER (), 4) AS importance FROM m""")
 def mutual_information(t):
     x = features.mutual_information(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
     return x.select("feature", r("importance").alias("importance"))
 
 
+@query()
+def neighbour_information(t):
+    x = features.neighbour_information(t("lineitem"), "l_extendedprice", ["l_quantity", "l_discount", "l_tax"])
+    return x.select("feature", r("importance").alias("importance"))
+
+
 @query(L + ", s AS (SELECT median(price_mad) AS p, median(surface_m2) AS a FROM l), k AS (SELECT neighborhood FROM l WHERE neighborhood IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT id, round(coalesce(price_mad, p), 4) AS price_mad, coalesce(surface_m2, a) AS surface_m2, coalesce(l.neighborhood, k.neighborhood) AS neighborhood FROM l, s, k")
 def median_mode_impute(t):
     x = splitting.impute(t("listings"), ["price_mad", "surface_m2"], ["neighborhood"])
@@ -393,9 +410,11 @@ def split_sizes(t):
     return x.groupBy(F.col("city_cleaned").alias("city"), "split").agg(n_rows())
 
 
-@query()
+@query(L + """, s AS (SELECT city AS city_cleaned, CASE id % 5 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split, price_mad FROM l),
+g AS (SELECT city_cleaned, split, count(*) AS n, avg(price_mad) AS m, stddev_samp(price_mad) AS d FROM s GROUP BY ALL) SELECT city_cleaned, split, n, round(m, 2) AS mean, round(d, 2) AS std, round(n / sum(n) OVER (PARTITION BY city_cleaned), 4) AS share FROM g""")
 def split_statistics(t):
-    x = splitting.split_statistics(splitting.split_by_city(splitting.prepare(t("listings"))))
+    kind = F.when(F.col("id") % 5 == 0, "test").when(F.col("id") % 5 == 1, "val").otherwise("train")
+    x = splitting.split_statistics(t("listings").select(F.col("city").alias("city_cleaned"), kind.alias("split"), "price_mad"))
     return x.select("city_cleaned", "split", "n", r("mean", 2).alias("mean"), r("std", 2).alias("std"), r("share", 4).alias("share"))
 
 
@@ -424,7 +443,14 @@ def quality_checks(t):
     return quality.checks(t("listings")).select("check_name", r("score", 6).alias("score"))
 
 
-@query()
+OVERALL_SQL = QUALITY_SQL.replace("SELECT check_name, round(score, 6) AS score FROM (", ", k AS (SELECT check_name, score::DOUBLE AS score FROM (") + """), j AS (SELECT check_name, score, CASE split_part(check_name, '_', 1) WHEN 'completeness' THEN 0.3::DOUBLE ELSE 0.1::DOUBLE END AS w,
+CASE WHEN check_name IN ('completeness_critical', 'completeness_important', 'completeness_optional') THEN CASE WHEN score >= 1 THEN 'pass' WHEN score * CASE check_name WHEN 'completeness_critical' THEN 0.95 WHEN 'completeness_important' THEN 0.8 ELSE 0.5 END >= CASE check_name WHEN 'completeness_critical' THEN 0.85 WHEN 'completeness_important' THEN 0.7 ELSE 0.4 END THEN 'warning' ELSE 'fail' END
+WHEN round(score, 9) >= CASE check_name WHEN 'price_validity' THEN 0.95 WHEN 'coordinate_validity' THEN 0.9 WHEN 'surface_validity' THEN 0.95 WHEN 'price_surface_consistency' THEN 0.9 WHEN 'room_surface_consistency' THEN 0.85 WHEN 'city_name_accuracy' THEN 0.8 WHEN 'property_type_accuracy' THEN 0.75 WHEN 'data_type_integrity' THEN 0.8 WHEN 'range_integrity' THEN 1.0 WHEN 'exact_uniqueness' THEN 0.95 ELSE 0.85 END THEN 'pass'
+WHEN check_name LIKE '%validity' THEN 'fail' ELSE 'warning' END AS status FROM k)
+SELECT round(least(1, sum(score * w)), 6) AS overall_score_raw, round(sum(score * w) / sum(w), 6) AS overall_score, count_if(status = 'fail')::BIGINT AS n_failed, count_if(status = 'warning')::BIGINT AS n_warnings FROM j"""
+
+
+@query(OVERALL_SQL)
 def quality_overall(t):
     x = quality.overall(quality.checks(t("listings")))
     return x.select(r("overall_score_raw", 6).alias("overall_score_raw"), r("overall_score", 6).alias("overall_score"), "n_failed", "n_warnings")
@@ -491,7 +517,8 @@ STATE_TEXTS = ["Très bon", "Excellent état", "neuf", "mauvais", "à rénover",
 
 
 def _values(values: list[str]) -> str:
-    return "(VALUES " + ", ".join(f"({k}, '{v}')" for k, v in enumerate(values)) + ") v(k, x)"
+    """Texts by key over the whole part table."""
+    return f"(SELECT p_partkey AS k, list_extract([{', '.join(repr(v) for v in values)}], CAST(p_partkey % {len(values)} + 1 AS INT)) AS x FROM part) v"
 
 
 def _variant_sql(variants: list[tuple[str, str]], both: bool) -> str:
@@ -501,7 +528,8 @@ def _variant_sql(variants: list[tuple[str, str]], both: bool) -> str:
 
 
 def _literal(t, values: list[str]) -> DataFrame:
-    return t("region").sparkSession.createDataFrame(list(enumerate(values)), "k int, x string")
+    at = (F.col("p_partkey") % len(values) + 1).cast("int")
+    return t("part").select(F.col("p_partkey").alias("k"), F.element_at(F.array(*[F.lit(v) for v in values]), at).alias("x"))
 
 
 @query(rf"WITH y AS (SELECT k, nullif(trim(regexp_replace(regexp_replace(translate(lower(trim(x)), '{X._ACCENTED}', '{X._PLAIN}'), '[^{W}\s-]', '', 'g'), '\s+', ' ', 'g')), '') AS y FROM {_values(CITY_TEXTS)}) SELECT k, {_variant_sql(vocab.CITY_VARIANTS, True)} AS city FROM y")
@@ -581,19 +609,41 @@ def html_profile(t):
     return t("pages").select("page_id", *H.profile(F.col("html")))
 
 
-@query()
+#: Listing pages composed from the part table: nested blocks, a breadcrumb in place of a location on every third, and text to be passed over.
+PAGE_SQL = """'<html><head><style>.price {x: 1}</style><script>var map = {"lat": 33.' || (p_partkey % 90 + 10) || ', "lng": -7.5};</script></head><body><nav class="main breadcrumb"><a href="/">Home</a><a>Ville ' || p_partkey % 4 || '</a></nav><div class="top title"><h1> ' || p_name || '
+ ' || p_partkey || '</h1></div><div class="box"><div class="old-price">n/a</div><span class="price tag"><b>' || p_partkey || ' 000</b> DH <i>net</i></span></div><div class="adDetails"><div><span>' || p_size || ',5 m²</span></div><p>' || (p_partkey % 6 + 1) || ' pièces, 2 salles de bain</p></div>'
+ || CASE WHEN p_partkey % 3 = 0 THEN '' ELSE '<p class="listing-location"><a>Hay ' || p_partkey % 5 || '</a>, Ville ' || p_partkey % 7 || '</p>' END || '<div class="listing-description"><div>First part.</div><div>Second <b>part</b>.</div></div><div class="photos"><a><img src="//img.example.com/' || p_partkey || '.jpg"></a><img data-src="/b.png"><img src="//img.example.com/' || p_partkey || '.jpg"></div>
+<div class="agent-box"><span class="agent-name">Agency ' || p_partkey % 11 || '</span> tel 0522 12 34 56</div><div class="features-list"><ul><li>Parking</li><li> Pool </li></ul></div></body></html>'"""
+
+
+@query("""SELECT 'https://x.example.com/fr/a/' || p_partkey || '/offer' AS source_url, CAST(p_partkey AS VARCHAR) AS source_id, regexp_replace(trim(p_name || ' ' || p_partkey), '\\s+', ' ', 'g') AS title, nullif((p_partkey * 1000)::DOUBLE, 0) AS price_mad, p_size + 0.5::DOUBLE AS surface_m2, (p_partkey % 6 + 1)::INT AS rooms, 2::INT AS bathrooms,
+CASE WHEN p_partkey % 3 <> 0 THEN 'Hay ' || p_partkey % 5 END AS neighborhood, 'Ville ' || CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 4 ELSE p_partkey % 7 END AS city, CAST('33.' || (p_partkey % 90 + 10) AS DOUBLE) AS latitude, -7.5::DOUBLE AS longitude, 'First part.Second part.' AS description,
+'https://img.example.com/' || p_partkey || '.jpg|https://x.example.com/b.png' AS images, 'Agency ' || p_partkey % 11 AS agent_name, '0522 12 34 56' AS agent_phone, 'parking|pool' AS amenities FROM part""")
 def html_listings(t):
+    pages = t("part").selectExpr("concat('https://x.example.com/fr/a/', p_partkey, '/offer') AS url", f"{PAGE_SQL} AS html")
+    x = dom.listings(pages, "https://x.example.com")
+    joined = {"images": F.array_join("image_urls", "|"), "amenities": F.array_join("amenities", "|")}
+    return x.withColumns(joined).select("source_url", "source_id", "title", "price_mad", "surface_m2", "rooms", "bathrooms", "neighborhood", "city", "latitude", "longitude", "description", "images", "agent_name", "agent_phone", "amenities")
+
+
+@query()
+def html_page_listings(t):
     from hearthline.sources.readers import parse_pages
 
     return parse_pages(t("pages")).select("source_url", "source_id", "title", "city", "neighborhood", "price_mad", "surface_m2", "rooms")
 
 
+@query("SELECT url, len(regexp_extract_all(html, '<script')) AS scripts, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages")
+def html_profiles(t):
+    return dom.profiles(t("pages")).select("url", "scripts", F.coalesce(F.col("tags")["p"], F.lit(0)).cast("long").alias("paragraphs"))
+
+
 # -- prices ---------------------------------------------------------------------------------------------------------
 
 PRICE_TEXTS = [("1 500 000 DH", 1500000.0, "MAD", 0.9), ("850,000 MAD", 850000.0, "MAD", 0.9), ("120000€", 1320000.0, "EUR", 0.9), ("$ 50,000.50", 500005.0, "USD", 0.9), ("£90 000", 1125000.0, "GBP", 0.9), ("about 700000", 700000.0, "MAD", 0.5), ("1.500.000 dh", 0.0, "MAD", 0.9), ("2,300,000 dirham", 2300000.0, "MAD", 0.9)]
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({k}, {v}::DOUBLE, '{c}', {f}::DOUBLE)" for k, (_, v, c, f) in enumerate(PRICE_TEXTS)) + ", (8, NULL, 'UNKNOWN', 0.0)) v(k, value, currency, confidence)")
+@query("SELECT p_partkey AS k, value, currency, confidence FROM part JOIN (VALUES " + ", ".join(f"({k}, {v}::DOUBLE, '{c}', {f}::DOUBLE)" for k, (_, v, c, f) in enumerate(PRICE_TEXTS)) + ", (8, NULL, 'UNKNOWN', 0.0)) v(i, value, currency, confidence) ON p_partkey % 9 = i")
 def price_parse(t):
     return _literal(t, [x[0] for x in PRICE_TEXTS] + ["no price"]).select("k", P.to_mad(F.col("x")).alias("m")).select("k", "m.value", "m.currency", "m.confidence")
 
@@ -717,12 +767,12 @@ def days_on_market(t):
 
 def _copies(t) -> DataFrame:
     """Listings and slightly changed copies of a tenth of them."""
-    rows = t("listings").where("latitude is not null and price_mad is not null").withColumns({"source_platform": F.lit("a"), "source_id": F.col("id").cast("string"), "scraped_at": F.lit(None).cast("timestamp"), "description": F.lit(None).cast("string")})
+    rows = t("listings").withColumns({"source_platform": F.lit("a"), "source_id": F.col("id").cast("string"), "scraped_at": F.lit(None).cast("timestamp"), "description": F.lit(None).cast("string")})
     again = rows.where("id % 10 = 0").withColumns({"id": F.col("id") + 10_000_000, "source_platform": F.lit("b"), "price_mad": F.col("price_mad") * 1.02})
     return rows.unionByName(again)
 
 
-@query(L + ", s AS (SELECT id FROM l WHERE latitude IS NOT NULL AND price_mad IS NOT NULL AND id % 10 = 0) SELECT id AS a, id + 10000000 AS b, 'source_id' AS match_type FROM s")
+@query(L + ", s AS (SELECT id FROM l WHERE id % 10 = 0) SELECT id AS a, id + 10000000 AS b, 'source_id' AS match_type FROM s")
 def dedup_source_matches(t):
     return dedup.matches(_copies(t)).where("match_type = 'source_id'").select("a", "b", "match_type")
 
@@ -735,15 +785,17 @@ def dedup_groups(t):
     return dedup.keep_best(rows, grouped, "keep_most_complete")
 
 
-@query(L + """SELECT a.id AS a, b.id AS b, round(0.3 * least(a.price_mad, b.price_mad) / greatest(a.price_mad, b.price_mad) + 0.25 * CASE WHEN a.surface_m2 IS NULL OR b.surface_m2 IS NULL THEN 0 ELSE least(a.surface_m2, b.surface_m2) / greatest(a.surface_m2, b.surface_m2) END
-+ 0.1 * (a.rooms = b.rooms)::INT + 0.1 * (a.property_type = b.property_type)::INT, 6) AS score FROM l a JOIN l b ON a.city = b.city AND a.floor = b.floor AND a.bathrooms = b.bathrooms AND a.id < b.id WHERE a.price_mad IS NOT NULL AND b.price_mad IS NOT NULL""")
+@query(L + """, p AS (SELECT a.id AS a, b.id AS b, a.price_mad AS pa, b.price_mad AS pb, a.surface_m2 AS sa, b.surface_m2 AS sb, a.rooms = b.rooms AS r, a.property_type = b.property_type AS t,
+ 2 * 6371000 * atan2(sqrt(pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)), sqrt(1 - (pow(sin(radians(b.latitude - a.latitude) / 2), 2) + cos(radians(a.latitude)) * cos(radians(b.latitude)) * pow(sin(radians(b.longitude - a.longitude) / 2), 2)))) AS m
+ FROM l a JOIN l b ON a.city = b.city AND a.floor = b.floor AND a.bathrooms = b.bathrooms AND a.id < b.id)
+SELECT a, b, round(0.3 * CASE WHEN pa > 0 AND pb > 0 THEN least(pa, pb) / greatest(pa, pb) ELSE 0 END + 0.25 * CASE WHEN sa > 0 AND sb > 0 THEN least(sa, sb) / greatest(sa, sb) ELSE 0 END
++ 0.25 * CASE WHEN m IS NULL THEN 1.5 / 2 ELSE (1.5 + CASE WHEN m <= 100 THEN 1 WHEN m <= 500 THEN 0.8 WHEN m <= 1000 THEN 0.6 ELSE 0 END) / 3 END + 0.1 * r::INT + 0.1 * t::INT, 6) AS score FROM p""")
 def pair_similarity(t):
-    a, b = t("listings").alias("a"), t("listings").alias("b")
+    rows = t("listings").withColumn("neighborhood", F.lit(None).cast("string"))
+    a, b = rows.alias("a"), rows.alias("b")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    rows = a.join(b, (x("city") == y("city")) & (x("floor") == y("floor")) & (x("bathrooms") == y("bathrooms")) & (x("id") < y("id"))).where(x("price_mad").isNotNull() & y("price_mad").isNotNull())
-    area = M.ratio_similarity(x("surface_m2"), y("surface_m2"))
-    score = 0.3 * M.ratio_similarity(x("price_mad"), y("price_mad")) + 0.25 * area + 0.1 * M.same(x("rooms"), y("rooms")) + 0.1 * M.same(x("property_type"), y("property_type"))
-    return rows.select(x("id").alias("a"), y("id").alias("b"), r(score, 6).alias("score"))
+    pairs = a.join(b, (x("city") == y("city")) & (x("floor") == y("floor")) & (x("bathrooms") == y("bathrooms")) & (x("id") < y("id")))
+    return pairs.select(x("id").alias("a"), y("id").alias("b"), r(M.feature_similarity(x, y), 6).alias("score"))
 
 
 @query("""WITH o AS (SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey, upper(c_name) AS c_name, nullif(c_acctbal, 0) * 2 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0)
@@ -781,16 +833,17 @@ def ingest_run_state(t):
     return upsert.run_state(log).select(F.col("session_id").cast("long").alias("user_id"), "status", "duration_seconds")
 
 
-@query("""SELECT * FROM (SELECT p_partkey, 0.3 * least(1, p_size * 50 / 1000.0) + 0.2 * (1 - 2 * abs((p_partkey % 100) / 100.0 - 0.5)) + 0.3 * least(1, p_size * 20 * 400 / 307200.0) + 0.2 * CASE WHEN p_size * 20 >= 300 THEN 1 ELSE 0.5 END AS s FROM part) x""".replace("SELECT * FROM", "SELECT p_partkey, round(least(1, s)::DOUBLE, 6) AS score FROM", 1))
+@query("""SELECT p_partkey, round(least(1::DOUBLE, 0.3::DOUBLE * least(1::DOUBLE, p_size * 50::DOUBLE / 1000::DOUBLE) + 0.2::DOUBLE * (1::DOUBLE - 2::DOUBLE * abs((p_partkey % 100)::DOUBLE / 100::DOUBLE - 0.5::DOUBLE))
++ 0.3::DOUBLE * least(1::DOUBLE, (p_size * 20 * 400)::DOUBLE / 307200::DOUBLE) + 0.2::DOUBLE * CASE WHEN p_size * 20 >= 300 THEN 1::DOUBLE ELSE 0.5::DOUBLE END), 9) AS score FROM part""")
 def image_quality(t):
     s = images.quality_score(F.col("p_size") * 50.0, (F.col("p_partkey") % 100) / 100.0, F.col("p_size") * 20, F.lit(400))
-    return t("part").select("p_partkey", r(s, 6).alias("score"))
+    return t("part").select("p_partkey", r(s, 9).alias("score"))
 
 
 # -- workflow and streams ---------------------------------------------------------------------------------------------------
 
 
-@query()
+@query("SELECT unnest(['dedup', 'outliers', 'coordinates', 'prices', 'text', 'encoding', 'features', 'split']) AS step, 'completed' AS status")
 def workflow_end_to_end(t):
     rows = t("listings").withColumns({"scraped_at": F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id")), "source_platform": F.lit("a"), "source_id": F.col("id").cast("string"), "description": F.concat(F.lit("Beautiful "), "title")})
     result = workflow.Workflow(workflow.Options(least_per_city=50)).run(rows)
@@ -813,6 +866,66 @@ def stream_windows(t):
     return spark.table(name).select(F.col("window.start").alias("hour"), "event_type", "n", r("total").alias("total"))
 
 
+@query(LP + f"SELECT id, {CASE_CATEGORY.format('price_mad')} AS category, CASE WHEN price_per_m2 IS NOT NULL THEN {LEVEL_SQL} END AS level, round({_haversine('33.5731', '-7.5898')}, 5) AS km, floor::VARCHAR AS floor_text FROM l")
+def sql_functions(t):
+    """The registered functions from SQL."""
+    from hearthline.functions import sql
+
+    rows = t("priced")
+    sql.register(rows.sparkSession)
+    rows.createOrReplaceTempView("priced_listings")
+    return rows.sparkSession.sql(
+        "SELECT id, hl_price_category(price_mad) AS category, hl_price_per_m2_category(price_per_m2, city) AS level, round(hl_haversine_km(33.5731, -7.5898, latitude, longitude), 5) AS km, hl_title_case(CAST(floor AS STRING)) AS floor_text FROM priced_listings"
+    )
+
+
+@query("""WITH e AS (SELECT c_custkey AS id, c_custkey * 2 AS score FROM customer WHERE c_custkey % 3 = 0), i AS (SELECT o_custkey AS id, count(DISTINCT o_orderkey) AS n, min(CAST(o_orderkey AS VARCHAR)) AS first FROM orders GROUP BY 1)
+SELECT c_custkey AS id, score, coalesce(n, 0) AS n_images, first AS first_image FROM customer LEFT JOIN e ON e.id = c_custkey LEFT JOIN i ON i.id = c_custkey""")
+def relations(t):
+    facts = t("customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("listing_id"), (F.col("c_custkey") * 2).alias("score"))
+    images = t("orders").select(F.col("o_custkey").alias("listing_id"), F.col("o_orderkey").cast("string").alias("original_url"))
+    x = enrich.with_relations(t("customer").select(F.col("c_custkey").alias("id")), facts, images)
+    return x.select("id", "enrichment.score", F.size("images").cast("long").alias("n_images"), F.get("images", F.lit(0))["original_url"].alias("first_image"))
+
+
+@query(
+    "WITH o AS (SELECT c_custkey AS listing_id, 'u' || c_nationkey AS original_url, c_acctbal AS quality_score FROM customer WHERE c_custkey % 3 <> 0), n AS (SELECT c_custkey AS listing_id, 'u' || c_nationkey AS original_url, c_acctbal + 1 AS quality_score, CASE WHEN c_custkey % 4 = 0 THEN 'timeout' END AS download_error FROM customer WHERE c_custkey % 2 = 0) "
+    "SELECT listing_id, original_url, CASE WHEN n.listing_id IS NOT NULL THEN n.quality_score ELSE o.quality_score END AS quality_score, coalesce(download_error, '') = '' AS downloaded, CASE WHEN o.listing_id IS NULL THEN 'new' WHEN n.listing_id IS NOT NULL THEN 'updated' ELSE 'kept' END AS merge_action FROM o FULL JOIN n USING (listing_id, original_url)"
+)
+def upsert_images(t):
+    c = t("customer").select(F.col("c_custkey").alias("listing_id"), F.concat(F.lit("u"), "c_nationkey").alias("original_url"), F.col("c_acctbal").alias("quality_score"), F.lit(None).cast("string").alias("download_error"))
+    error = F.when(F.col("listing_id") % 4 == 0, "timeout")
+    new = c.where("listing_id % 2 = 0").withColumns({"quality_score": F.col("quality_score") + 1, "download_error": error})
+    x = upsert.upsert_images(c.where("listing_id % 3 <> 0"), new)
+    return x.select("listing_id", "original_url", "quality_score", "downloaded", "merge_action")
+
+
+LOG_SQL = "WITH g AS (SELECT event_type AS platform, CAST(user_id % 3 AS VARCHAR) AS city, CASE WHEN event_id % 3 = 0 THEN 'completed' ELSE 'failed' END AS status, event_id % 4 AS listings_found, event_id % 2 AS errors_count, event_id FROM events) "
+
+
+def _log(t) -> DataFrame:
+    status = F.when(F.col("event_id") % 3 == 0, "completed").otherwise("failed")
+    return t("events").select(F.col("event_type").alias("platform"), (F.col("user_id") % 3).cast("string").alias("city"), status.alias("status"), (F.col("event_id") % 4).alias("listings_found"), F.lit(0).alias("listings_new"), F.lit(0).alias("listings_updated"), (F.col("event_id") % 2).alias("errors_count"), F.col("event_id").alias("at"))
+
+
+@query(LOG_SQL + "SELECT unnest(['runs_total', 'listings_found_total', 'errors_count_total']) AS metric, platform, city, status, unnest([count(*), sum(listings_found)::BIGINT, sum(errors_count)::BIGINT]) AS value FROM g GROUP BY platform, city, status")
+def run_metrics(t):
+    return monitoring.metrics(_log(t)).where("metric in ('runs_total', 'listings_found_total', 'errors_count_total')")
+
+
+@query(LOG_SQL + """, r AS (SELECT *, sum((status <> 'failed')::INT) OVER (PARTITION BY platform, city ORDER BY event_id) AS run FROM g), f AS (SELECT platform, city, run, count(*) AS n FROM r WHERE status = 'failed' GROUP BY ALL HAVING count(*) >= 5)
+SELECT 'SCRAPING_FAILURES' AS alert, platform, city, 'Consecutive failures for ' || platform || ' in ' || city || ': ' || n AS message FROM f
+UNION ALL SELECT 'HIGH_ERROR_RATE', platform, NULL, 'High error rate for ' || platform || ': ' || format('{:.1f}', sum(errors_count) / sum(listings_found) * 100) || '% (' || sum(errors_count) || '/' || sum(listings_found) || ')' FROM g GROUP BY platform HAVING sum(errors_count) / sum(listings_found) > 0.1""")
+def run_alerts(t):
+    return monitoring.alerts(_log(t))
+
+
+@query(f"{LP} SELECT feature, method, count(*) AS n FROM ({DOMAIN_SQL} UNION ALL SELECT id, 'surface_m2', 'zscore', surface_m2 FROM l, (SELECT avg(surface_m2) AS m, stddev_pop(surface_m2) AS s FROM l) z WHERE abs(surface_m2 - m) > 3 * s) GROUP BY ALL")
+def outlier_findings(t):
+    x = outliers.detect(t("priced"))
+    return x.where("method = 'domain' or (method = 'zscore' and feature = 'surface_m2')").groupBy("feature", "method").agg(n_rows())
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -10,7 +10,6 @@ duckdb = pytest.importorskip("duckdb")
 from hearthline import queries as Q  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"workflow_end_to_end", "dedup_groups", "isolation_forest"}
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +24,7 @@ def duck():
 def _cell(x):
     if x is None or (isinstance(x, float) and math.isnan(x)) or str(x) in ("<NA>", "NaT"):
         return None
-    return round(float(x), 4) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    return round(float(x), 6) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
 
 def _rows(df):
@@ -41,6 +40,6 @@ def test_query_equals_sql(spark, duck, name):
     assert _rows(got) == _rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql()) - SLOW))
-def test_other_queries_run(spark, name):
-    assert Q.queries()[name](spark, SF).count() >= 0
+@pytest.mark.parametrize("name", sorted(set(Q.queries()) - set(Q.oracle_sql())))
+def test_other_queries_give_rows(spark, name):
+    assert Q.queries()[name](spark, SF).count() > 0
