@@ -18,7 +18,7 @@ are at last compared block by block wherever components still differ.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.llm.common import as_row, binaries, bitmap_bits, from_row, grouped, lookup, materialise, possible
-from hearthline.llm.components import connected_components
+from hearthline.llm.components import links_of_repeated_ids, relabelled, with_smallest_id
 
 SHINGLE = 5
 #: 48 bands of 6: a pair of similarity 0.75 shares no band with probability 0.00008, one of 0.1 shares one with 0.00005.
@@ -139,49 +139,45 @@ def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -
     return members.join(sets, "key").select("node", "n", "coords", "elements")
 
 
-def merges(cells: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: components ``a`` that cells join to their smallest component ``b``.
+_CELL = ["bkey", "xp", "x", "yp", "y"]
+_ROW = "bkey long, xp long, x long, yp long, y long, band long, pure long, block long, comp long, node long"
+
+
+class Cell:
+    """The rows of one cell: components, set sizes, sketches, and full sets if they were carried along."""
+
+    def __init__(self, here: tuple[int, ...], parts: list[list]):
+        self.band, self.pure, self.block, self.comp, self.node, self.n, self.grid = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*[p[:7] for p in parts], strict=True))
+        self.sets = [s for p in parts for s in p[7]]
+        _, xp, x, yp, y = here
+        self.left = np.flatnonzero((self.pure == xp) & (self.block == x))
+        self.right = self.left if (xp, x) == (yp, y) else np.flatnonzero((self.pure == yp) & (self.block == y))
+        self.label = np.unique(self.comp, return_inverse=True)[1]
+
+    def partners(self, i: int, percent: int, least: int) -> np.ndarray:
+        """Rows of other components that ``i`` first meets in this band and whose size and sketch come near the limit."""
+        other = self.right[self.right > i] if self.left is self.right else self.right
+        other = other[self.label[other] != self.label[i]]
+        other = other[(100 * self.n[other] >= percent * self.n[i]) & (100 * self.n[i] >= percent * self.n[other])]
+        if not len(other):
+            return other
+        agree = self.grid[other] == self.grid[i]
+        near = np.flatnonzero(agree.sum(1) >= least)
+        return other[near[agree[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1) == self.band[i]]]
+
+    def linked(self, i: int, other: np.ndarray, percent: int) -> np.ndarray:
+        """Those of ``other`` whose full sets are similar to that of ``i``; elements in common are counted for all at once."""
+        mine, theirs = self.sets[i], np.concatenate([self.sets[j] for j in other])
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(self.n[other])[:-1]]), dtype=np.int64)
+        return other[100 * common >= percent * (self.n[i] + self.n[other] - common)]
 
-    ``cells`` has ``bkey, xp, x, yp, y, band, pure, block, node, comp, n, coords,
-    elements``, where rows of block ``(xp, x)`` meet those of block ``(yp, y)``.
-    """
-    least = int(np.ceil(BINS * (percent / 100 - MARGIN)))
-    sort = ["bkey", "xp", "x", "yp", "y"]
-    cells = cells.select(*sort, "band", "pure", "block", "comp", "n", "coords", "elements")
-
-    def solve(band: int, left: np.ndarray, right: np.ndarray, comp: np.ndarray, n: np.ndarray, grid: np.ndarray, sets: list) -> list[tuple[int, int]]:
-        found, label = np.unique(comp, return_inverse=True)
-        if len(found) < 2:
-            return []
-        merged = False
-        for i in left:
-            other = right[right > i] if left is right else right
-            other = other[label[other] != label[i]]
-            other = other[(100 * n[other] >= percent * n[i]) & (100 * n[i] >= percent * n[other])]
-            if not len(other):
-                continue
-            agree = grid[other] == grid[i]
-            near = np.flatnonzero(agree.sum(1) >= least)
-            if not len(near):
-                continue
-            first = agree[near].reshape(len(near), BANDS, ROWS).all(2).argmax(1) == band
-            other = other[near[first]]
-            if not len(other):
-                continue
-            # Elements in common, for all these partners at once.
-            mine, theirs = sets[i], np.concatenate([sets[j] for j in other])
-            at = np.searchsorted(mine, theirs)
-            hit = mine[np.minimum(at, len(mine) - 1)] == theirs
-            common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[other])[:-1]]), dtype=np.int64)
-            for k in np.unique(label[other[100 * common >= percent * (n[i] + n[other] - common)]]):
-                label[label == k] = label[i]
-                merged = True
-        if not merged:
-            return []
-        low: dict[int, int] = {}
-        for c, k in zip(comp.tolist(), label.tolist(), strict=True):
-            low[k] = min(low.get(k, c), c)
-        return [(c, low[k]) for c, k in {(c, k) for c, k in zip(comp.tolist(), label.tolist(), strict=True)} if c != low[k]]
+
+def _cells(rows: DataFrame, solve: Callable[[Cell], np.ndarray | None], keep: bool, schema: str) -> DataFrame:
+    """``solve`` on each cell that holds two components. With ``keep`` it names rows to return, else it returns rows."""
+    full = "elements" in rows.columns
+    rows = rows.select(*_CELL, "band", "pure", "block", "comp", "node", "n", "coords", *(["elements"] if full else []))
+    names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, columns = None, []
@@ -189,33 +185,77 @@ def merges(cells: DataFrame, percent: int) -> DataFrame:
         def decoded(batch: pa.RecordBatch) -> list:
             nonlocal last, columns
             if batch is not last:
-                grid = np.frombuffer(b"".join(batch.column(10).to_pylist()), COORDINATE).reshape(-1, BINS)
-                columns = [*[batch.column(k).to_numpy() for k in range(5, 10)], grid, binaries(batch.column(11), np.uint64)]
+                grid = np.frombuffer(b"".join(batch.column(11).to_pylist()), COORDINATE).reshape(-1, BINS)
+                columns = [*[batch.column(k).to_numpy() for k in range(5, 11)], grid, binaries(batch.column(12), np.uint64) if full else []]
                 last = batch
             return columns
 
-        out: list[tuple[int, int]] = []
+        out: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            pairs = np.array(out, np.int64).reshape(-1, 2)
+            found = np.concatenate(out) if out else np.zeros((0, len(names)), np.int64)
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(len(names))], names=names)
 
-        for here, parts in grouped(batches, 5):
+        for here, parts in grouped(batches, len(_CELL)):
             if sum(b - a for _, a, b in parts) < 2:
                 continue
-            chunks = [[c[a:b] for c in decoded(batch)] for batch, a, b in parts]
-            band, pure, block, comp, n, grid = (np.concatenate(c) if len(c) > 1 else c[0] for c in zip(*[x[:6] for x in chunks], strict=True))
-            sets = [s for x in chunks for s in x[6]]
-            _, xp, x, yp, y = here
-            left = np.flatnonzero((pure == xp) & (block == x))
-            right = left if (xp, x) == (yp, y) else np.flatnonzero((pure == yp) & (block == y))
-            out += solve(int(band[0]), left, right, comp, n, grid, sets)
-            if len(out) > 20_000:
-                yield flush()
+            cell = Cell(here, [[c[a:b] for c in decoded(batch)] for batch, a, b in parts])
+            if cell.label.any() and (found := solve(cell)) is not None:
+                if keep:
+                    same = np.broadcast_to(np.array(here), (len(found), len(here)))
+                    found = np.concatenate([same, np.stack([c[found] for c in (cell.band, cell.pure, cell.block, cell.comp, cell.node)], 1)], 1)
+                out.append(found)
+                if len(out) > 2000 or len(found) > 2000:
+                    yield flush()
         yield flush()
 
-    return cells.repartition(*sort).sortWithinPartitions(*sort).mapInArrow(run, "a long, b long")
+    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, schema)
+
+
+def _least(percent: int) -> int:
+    return int(np.ceil(BINS * (percent / 100 - MARGIN)))
+
+
+def promising(cells: DataFrame, percent: int) -> DataFrame:
+    """The rows of ``cells`` that have a partner by size and sketch; only their full sets need be moved."""
+    least = _least(percent)
+
+    def solve(cell: Cell) -> np.ndarray | None:
+        hopeful = np.zeros(len(cell.comp), bool)
+        for i in cell.left:
+            other = cell.partners(i, percent, least)
+            if len(other):
+                hopeful[i] = hopeful[other] = True
+        return np.flatnonzero(hopeful) if hopeful.any() else None
+
+    return _cells(cells, solve, True, _ROW)
+
+
+def merges(cells: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: components ``a`` that cells join to their smallest component ``b``.
+
+    ``cells`` has ``bkey, xp, x, yp, y, band, pure, block, comp, node, n, coords,
+    elements``, where rows of block ``(xp, x)`` meet those of block ``(yp, y)``.
+    """
+    least = _least(percent)
+
+    def solve(cell: Cell) -> np.ndarray | None:
+        merged = False
+        for i in cell.left:
+            other = cell.partners(i, percent, least)
+            for k in np.unique(cell.label[cell.linked(i, other, percent)]) if len(other) else ():
+                cell.label[cell.label == k] = cell.label[i]
+                merged = True
+        if not merged:
+            return None
+        low: dict[int, int] = {}
+        for c, k in zip(cell.comp.tolist(), cell.label.tolist(), strict=True):
+            low[k] = min(low.get(k, c), c)
+        pairs = {(c, low[k]) for c, k in zip(cell.comp.tolist(), cell.label.tolist(), strict=True) if c != low[k]}
+        return np.array(sorted(pairs), np.int64).reshape(-1, 2)
+
+    return _cells(cells, solve, False, "a long, b long")
 
 
 def _blocks(rows: Column, elements: Column) -> Column:
@@ -250,25 +290,6 @@ def _block_pairs(placed: DataFrame) -> DataFrame:
     return met.withColumns({"xp": low["p"], "x": low["b"], "yp": high["p"], "y": high["b"]})
 
 
-def _linked_by_id(sig: DataFrame, classes: DataFrame) -> DataFrame | None:
-    """``a, b``: links between the nodes of one id, where rows repeat an id with other texts."""
-    named = sig.where("id is not null and key is not null").select("id", "key", "row", F.xxhash64("key").alias("kh"))
-    twice = materialise(named.groupBy("id").agg(F.min("kh").alias("lo"), F.max("kh").alias("hi"), F.count(F.lit(1)).alias("w")).where("lo < hi").select("id", "w"))
-    if twice.isEmpty():
-        return None
-    nodes = materialise(lookup(named, twice, "id", "w", "row").where("w is not null").select("id", "key").distinct().join(classes.select("key", "node"), "key"))
-    low = materialise(nodes.groupBy("id").agg(F.min("node").alias("low"), F.count(F.lit(1)).alias("w")))
-    return lookup(nodes.select("id", "node"), low, "id", "w", "node").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b"))
-
-
-def _relabelled(comp: DataFrame, links: DataFrame) -> DataFrame:
-    """The components ``node, comp`` after ``links`` between components."""
-    joined = connected_components(links).select(F.col("node").alias("comp"), F.col("comp").alias("upper"))
-    sizes = comp.groupBy("comp").agg(F.count(F.lit(1)).alias("w"))
-    upper = materialise(joined.join(sizes, "comp"))
-    return materialise(lookup(comp, upper, "comp", "w", "node").select("node", F.coalesce("upper", "comp").alias("comp")))
-
-
 def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """``row, id, tag, n, component`` for every row; ``tag`` is the hash of id and text."""
     sig = materialise(signatures(docs, id_col, text_col))
@@ -290,11 +311,10 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
     content = materialise(full_sets(docs, members, id_col, text_col))
 
     comp = members.select("node", F.col("node").alias("comp"))
-    by_id = _linked_by_id(sig, classes)
+    by_id = links_of_repeated_ids(sig, classes)
     if by_id is not None:
-        by_id = materialise(by_id)
         ends = by_id.select(F.col("a").alias("node")).union(by_id.select("b")).union(members.select("node")).distinct()
-        comp = _relabelled(ends.select("node", F.col("node").alias("comp")), by_id)
+        comp = relabelled(ends.select("node", F.col("node").alias("comp")), by_id)
     several = _blocks(F.col("m"), F.col("words")) > 1
     rounds = [(F.col("band") < FIRST_BANDS, _in_blocks), (F.col("band") >= FIRST_BANDS, _in_blocks), (several, _block_pairs)]
     for turn, (part, cells) in enumerate(rounds):
@@ -307,16 +327,19 @@ def labelled(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pe
             if spanning.isEmpty():
                 continue
             placed = lookup(placed, spanning, "bkey", "w", "node").where("w is not null")
-        found = cells(placed).drop("n").join(content, "node")
-        links = materialise(merges(found, percent).distinct())
+        # Later rounds meet few links: sketches first, then the full sets of those rows that came near.
+        found = cells(placed).drop("n")
+        if turn:
+            found = materialise(promising(found.join(members.select("node", "n", "coords"), "node"), percent))
+            near = found.select("node").distinct()
+            sets = possible(content, near, "node", bitmap_bits(near.count()))
+        else:
+            sets = content
+        links = materialise(merges(found.join(sets, "node"), percent).distinct())
         if not links.isEmpty():
-            comp = _relabelled(comp, links)
+            comp = relabelled(comp, links)
 
-    # The smallest id of each component, by node, then by class, then by row.
-    of_node = comp.join(classes.select("node", "rep"), "node")
-    least = materialise(of_node.groupBy("comp").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("w")).where("w > 1"))
-    renamed = lookup(comp, least, "comp", "w", "node").where("w is not null").select("node", "least")
-    classes = materialise(classes.join(renamed, "node", "left").select("key", F.coalesce("least", "rep").alias("component"), "weight"))
+    classes = materialise(with_smallest_id(classes, comp).select("key", "component", "weight"))
     rows = sig.select("row", "id", "tag", "n", "key")
     component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component"))
     return lookup(rows, classes, "key", "weight", "row").select("row", "id", "tag", "n", component.alias("component"))
