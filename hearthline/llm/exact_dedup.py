@@ -31,22 +31,21 @@ def split_directory(counts: dict[int, int], depth: int, capacity: int) -> list[t
 
     ``counts`` has the keys under each prefix of ``depth`` bits. Returns one
     ``(entry, bucket, local_depth)`` for each of the ``2**global_depth`` entries,
-    which are given at ``depth`` bits; buckets are numbered in key order.
+    which are given at ``depth`` bits; a bucket is named by its first entry.
     """
     sums = [[0] * (1 << d) for d in range(depth + 1)]
     for prefix, n in counts.items():
         for d in range(depth + 1):
             sums[d][prefix >> (depth - d)] += n
     entries: list[tuple[int, int, int]] = []
-    pending, bucket = [(0, 0)], 0
+    pending = [(0, 0)]
     while pending:
         d, prefix = pending.pop()
         if sums[d][prefix] > capacity and d < depth:
             pending += [(d + 1, 2 * prefix + 1), (d + 1, 2 * prefix)]
             continue
         span = depth - d
-        entries += [(e, bucket, d) for e in range(prefix << span, (prefix + 1) << span)]
-        bucket += 1
+        entries += [(e, prefix << span, d) for e in range(prefix << span, (prefix + 1) << span)]
     return entries
 
 
@@ -102,8 +101,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Group rows whose texts are equal once all of ``[\\x20\\x09-\\x0D]`` is deleted.
 
     Returns ``id_col, keep_id, group_size, kept, text_sha256, bucket, depth``, one row
-    per input row; ``bucket`` numbers the index's buckets in key order and ``depth`` is
-    its local depth. The row that stays has the most code points in the original
+    per input row; ``bucket`` is the first entry of the bucket in the finest directory and
+    ``depth`` its local depth. The row that stays has the most code points in the original
     text, then the smallest id.
 
     Edge cases: NULL text counts as the empty text, and all such rows form one

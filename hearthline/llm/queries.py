@@ -113,29 +113,10 @@ WITH d AS (
   FROM e, (SELECT unnest(range(17)) AS depth) GROUP BY depth, h >> (60 - depth)
 ), g AS (
   SELECT e.h, min(f.depth) AS depth FROM (SELECT DISTINCT h FROM e) e JOIN f ON f.prefix = e.h >> (60 - f.depth) AND f.fits GROUP BY e.h
-), b AS (
-  SELECT h, depth, dense_rank() OVER (ORDER BY (h >> (60 - depth)) << (60 - depth)) - 1 AS bucket FROM g
 )
 SELECT e.doc_id, k.keep_id, k.group_size, e.doc_id = k.keep_id AS kept, e.sha AS text_sha256,
-  CAST(b.bucket AS INTEGER) AS bucket, CAST(b.depth AS INTEGER) AS depth
-FROM e JOIN k USING (norm) JOIN b USING (h)
-"""
-
-
-OP1_SQL = """
-WITH d AS (
-  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t FROM documents
-), s AS (
-  SELECT doc_id, size, t,
-    sum(size) OVER (ORDER BY doc_id, size ROWS UNBOUNDED PRECEDING) - size AS b0,
-    sum(size) OVER () AS total
-  FROM d
-), p AS (
-  SELECT doc_id, size, t, CAST(least(floor(CAST(2 * b0 + size AS DOUBLE) * 8 / (2 * total)), 7) AS INTEGER) AS shard FROM s
-)
-SELECT doc_id, CAST(size AS BIGINT) AS size, CAST(crc32(t) AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
-  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
-FROM p
+  CAST((h >> (60 - depth)) << (16 - depth) AS INTEGER) AS bucket, CAST(depth AS INTEGER) AS depth
+FROM e JOIN k USING (norm) JOIN g USING (h)
 """
 
 

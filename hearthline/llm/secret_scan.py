@@ -10,7 +10,6 @@ Segments are independent, so the texts are read once and nothing is shuffled.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -180,17 +179,3 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(id_col, count("assign"), count("access"), count("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
-
-
-def scan_all(text: str | None, rules: tuple[Rule, ...] = RULES) -> str:
-    """The plain form for tests: every expression over the whole text."""
-    out = []
-    for k, r in enumerate(rules):
-        for m in re.finditer(r.pattern, text or "", r.flags):
-            if m.end(r.group) - m.start(r.group) >= r.least:
-                out.append((m.start(), k, m.end()))
-    return ",".join(f"{rules[k].kind}:{a}:{b}" for a, k, b in sorted(out))
-
-
-def sha256(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

@@ -37,8 +37,8 @@ LONGEST = 24
 MEMORY = 100_000
 # Seed words of the blocked class.
 SEEDS = frozenset("spam viagra cialis pills pharmacy casino poker gambling betting porn xxx adult escort sexy payday loans jackpot replica warez torrent crack keygen malware phishing scam".split())
-#: Added to every slot that a token has, and the unit in which a page's probability is counted.
-ALPHA, UNIT = 0.1, 1000
+#: Tokens of a typical page mix that each class is given beforehand, and the unit in which a page's probability is counted.
+PRIOR_TOKENS, UNIT = 200.0, 1000
 #: Log odds above which a page is blocked.
 CUT = 0.0
 
@@ -182,10 +182,12 @@ class Model:
 
 
 def model_of(counts: np.ndarray, pages: np.ndarray) -> Model:
-    """From counts (allowed, blocked) by slot and by page; slots that no token has stay neutral."""
-    used = counts.sum(0) > 0
-    like = np.log((counts + ALPHA) / (counts.sum(1, keepdims=True) + ALPHA * max(1, used.sum())))
-    return Model(np.where(used, like[1] - like[0], 0.0).astype(np.float64), float(np.log((pages[1] + 0.5) / (pages[0] + 0.5))))
+    """From counts (allowed, blocked) by slot and by page; a class without evidence is like the whole, so slots stay neutral."""
+    whole = counts.sum(0)
+    given = PRIOR_TOKENS * whole / max(1e-9, float(whole.sum()))
+    used = whole > 0
+    like = np.log(np.where(used, counts + given, 1.0)) - np.log(counts.sum(1, keepdims=True) + PRIOR_TOKENS)
+    return Model(np.where(used, like[1] - like[0], 0.0), float(np.log((pages[1] + 0.5) / (pages[0] + 0.5))))
 
 
 def _counts(parts: DataFrame, words: dict[str, float], blocked: Callable[[list[str]], float], masked: bool) -> Model:
