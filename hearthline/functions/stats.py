@@ -174,7 +174,7 @@ def bin_number(value: Column, found: Sequence[float | None]) -> Column:
     return F.when(value.isNotNull(), F.greatest(F.lit(0), above - 1)).cast("int")
 
 
-def numbered(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str | Column], out: str) -> DataFrame:
     """Rows numbered from 0 in the order of distinct keys, by range partitions and their totals."""
     rows = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
     part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
