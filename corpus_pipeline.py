@@ -14,27 +14,47 @@ from hearthline.llm.toxicity import drop_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the calibrated score rejects go."""
+    """Documents that the calibrated score rejects go.
+
+    NULL and empty texts are scored like any other; repeated rows share their fate; rows of
+    any id, NULL too, are judged by their text alone; an empty table stays empty.
+    """
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts stays."""
+    """One document of each group of equal texts stays.
+
+    NULL texts count as empty, so one document without text stays; a NULL id loses every
+    tie; repeated rows are one; an empty table stays empty.
+    """
     return drop_exact_duplicates(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates stays."""
+    """One document of each component of near duplicates stays, that of the smallest id.
+
+    Texts without words link with nothing and stay; rows of a NULL id stay where no id is
+    reachable; of rows that repeat an id one stays; an empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix at the target weights takes it."""
+    """Each document as often as the mix at the target weights takes it.
+
+    A NULL source is a source; texts without words are taken once for each full pass of
+    their source; repeated rows are taken alike; an empty table stays empty.
+    """
     return take_mix(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The piece ids of every document in the mix."""
+    """The piece ids of every document in the mix.
+
+    NULL text has NULL ids and 0 tokens, the empty text no ids; repeated rows stay; an
+    empty table gives an empty result.
+    """
     return encode(docs).select("doc_id", "lang", "source", "ids", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
@@ -46,7 +66,7 @@ STAGES = [
     ("encoding", encoding),
 ]
 
-#: Scores of fitted trees and piece ids have no SQL form; the tests hold the stages against brute force.
+#: Scores of fitted trees and piece ids have no SQL form; tests/llm holds all rows of run() against plain versions of the stages.
 ORACLE_SQL = None
 
 
