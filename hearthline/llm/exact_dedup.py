@@ -97,6 +97,35 @@ def chains_of(texts: DataFrame, shared: DataFrame, directory: tuple[DataFrame, i
     return linked.withColumn("link", F.row_number().over(chain))
 
 
+def classified(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """``id, sha, tag, bucket, depth, keep, size`` of every row; ``tag`` is a cheap hash of the normal form."""
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    norm = without_blanks(F.col("text"))
+    source = source.select("id", F.coalesce(F.char_length("text"), F.lit(0)).alias("len"), norm.alias("norm"))
+    sha = F.unhex(F.sha2("norm", 256))
+    rows = materialise(source.select("id", sha.alias("sha"), F.xxhash64("norm").alias("tag")).withColumn("h", key_of(F.col("sha"))).withColumn("row", F.monotonically_increasing_id()))
+    keys = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")))
+    directory = build_directory(keys.select("h"), capacity)
+    # The index file set: each file is one owner's buckets, sorted by key.
+    index = materialise(in_buckets(keys, directory).repartition("bucket").sortWithinPartitions("bucket", "h"))
+    shared = index.where("n > 1")
+    bits = bitmap_bits(shared.count())
+    # Only keys with several rows can hold copies or collisions; the texts of nearly all others are neither digested again nor moved.
+    collided = rows.join(shared.where("lo <> hi").select("h"), "h", "left_semi").select("tag")
+    tags = shared.where("lo = hi").select(F.col("lo").alias("tag")).unionByName(collided)
+    texts = possible(source.withColumn("tag", F.xxhash64("norm")), tags, "tag", bits).withColumn("h", key_of(sha)).drop("tag")
+    chains = materialise(chains_of(texts, shared.select("h", "n"), directory))
+    names = ["id", "sha", "tag", "bucket", "depth", "keep", "size"]
+    alone = in_buckets(possible(rows, shared.select("h"), "h", bits, within=False), directory)
+    alone = alone.withColumns({"keep": F.col("id"), "size": F.lit(1).cast("long")}).select(*names)
+    several = in_buckets(possible(rows, shared.select("h"), "h", bits), directory)
+    several = lookup(several, chains.select("bucket", "sha", "keep", "size"), ("bucket", "sha"), "size", "row")
+    # The bitmap lets some keys of one row pass, whose texts are in no chain.
+    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
+    several = several.withColumns({"keep": keep, "size": F.coalesce("size", F.lit(1))}).select(*names)
+    return alone.unionByName(several)
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
     """Group rows whose texts are equal once all of ``[\\x20\\x09-\\x0D]`` is deleted.
 
@@ -110,25 +139,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     are one group in which the surviving id marks each of its copies as kept; an
     empty table gives an empty result; other columns are not read.
     """
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    norm = without_blanks(F.col("text"))
-    source = source.select("id", F.coalesce(F.char_length("text"), F.lit(0)).alias("len"), norm.alias("norm"))
-    sha = F.unhex(F.sha2("norm", 256))
-    rows = materialise(source.select("id", sha.alias("sha")).withColumn("h", key_of(F.col("sha"))).withColumn("row", F.monotonically_increasing_id()))
-    keys = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
-    directory = build_directory(keys, capacity)
-    # The index file set: each file is one owner's buckets, sorted by key.
-    index = materialise(in_buckets(keys, directory).repartition("bucket").sortWithinPartitions("bucket", "h"))
-    shared = index.where("n > 1").select("h", "n")
-    bits = bitmap_bits(shared.count())
-    # Only keys with several rows can hold copies or collisions; the texts of nearly all others are never moved.
-    texts = possible(source.withColumn("h", key_of(sha)), shared, "h", bits)
-    chains = materialise(chains_of(texts, shared, directory))
-    alone = in_buckets(possible(rows, shared, "h", bits, within=False), directory)
-    alone = alone.select("id", "sha", "bucket", "depth", F.col("id").alias("keep"), F.lit(1).cast("long").alias("size"))
-    several = in_buckets(possible(rows, shared, "h", bits), directory)
-    several = lookup(several, chains.select("bucket", "sha", "keep", "size"), ("bucket", "sha"), "size", "row").select(*alone.columns)
-    return alone.unionByName(several).select(
+    return classified(docs, id_col, text_col, capacity).select(
         F.col("id").alias(id_col),
         F.col("keep").alias("keep_id"),
         F.col("size").alias("group_size"),
@@ -145,18 +156,18 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Edge cases: as there; rows that repeat both id and text all carry the surviving
     id, and one of them stays; column names may clash with any used here.
     """
-    groups = materialise(exact_duplicates(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("id"), "kept", F.unhex("text_sha256").alias("sha")))
-    keys = groups.select(key_of(F.col("sha")).alias("h")).distinct()
-    bits = bitmap_bits(keys.count())
-    sha = F.unhex(F.sha2(without_blanks(F.col(f"`{text_col}`")), 256)).alias("_sha")
-    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), sha).withColumn("h", key_of(F.col("_sha")))
+    groups = materialise(classified(docs, id_col, text_col).where("size > 1").select("id", "sha", "tag", "keep"))
+    norm = without_blanks(F.col(f"`{text_col}`"))
+    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), norm.alias("_norm")).withColumn("tag", F.xxhash64("_norm"))
+    tags = groups.select("tag").distinct()
+    bits = bitmap_bits(tags.count())
     # A row of a group of its own bypasses the join; of the others, those with the id and text that stay are found.
-    alone = possible(named, keys, "h", bits, within=False)
-    kept = groups.where("kept").groupBy("id", "sha").agg((F.count(F.lit(1)) > 1).alias("again"))
-    sizes = groups.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
-    # One kept id per text, so a row needs its text's entry only; texts without one are groups of their own.
-    entry = materialise(sizes.join(kept, "sha").select(F.col("sha").alias("_sha"), F.col("id").alias("keep"), "again", "n"))
-    found = lookup(possible(named, keys, "h", bits), entry, "_sha", "n", "_id")
+    alone = possible(named, tags, "tag", bits, within=False)
+    maybe = possible(named, tags, "tag", bits).withColumn("_sha", F.unhex(F.sha2("_norm", 256))).drop("_norm", "tag")
+    # One entry a text; texts without one are groups of their own.
+    again = F.count_if(F.col("id").eqNullSafe(F.col("keep"))) > 1
+    entry = materialise(groups.groupBy(F.col("sha").alias("_sha")).agg(F.first("keep").alias("keep"), again.alias("again"), F.count(F.lit(1)).alias("n")))
+    found = lookup(maybe, entry, "_sha", "n", "_id")
     once = found.where("n is null or (not again and _id <=> keep)").select("_row")
-    again = found.where("again and _id <=> keep").dropDuplicates(["_sha"]).select("_row")
-    return from_row(alone.select("_row").unionByName(once).unionByName(again), docs)
+    twice = found.where("again and _id <=> keep").dropDuplicates(["_sha"]).select("_row")
+    return from_row(alone.select("_row").unionByName(once).unionByName(twice), docs)
