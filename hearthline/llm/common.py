@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.plans.tables import cut as materialise  # noqa: F401  used by the operators
+from hearthline.sources.readers import read_table
 
 #: The characters of ``[\x20\x09-\x0D]``, the only ones that count as white space here.
 BLANKS = " \t\n\x0b\f\r"
@@ -26,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table for costly functions of its rows: one in fewer pieces than there are cores is dealt over them."""
+    return read_table(spark, f"{folder}/{name}.parquet")
+
+
 def without_blanks(text: Column) -> Column:
     """Delete every blank; NULL counts as empty."""
     out = F.coalesce(text, F.lit(""))

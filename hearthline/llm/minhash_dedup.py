@@ -70,19 +70,20 @@ def shingle_set(text: bytes | None) -> np.ndarray:
 
 def sketch(elements: np.ndarray, bins: int = BINS) -> np.ndarray:
     """The filled coordinates of a non-empty set."""
-    n, t = len(elements), bins
-    out = np.full(t, np.iinfo(np.uint64).max, np.uint64)
+    n, t, empty = len(elements), bins, np.iinfo(np.uint64).max
+    out = np.full(t, empty, np.uint64)
     at = 0
     while at < t:
-        rounds = np.arange(at, min(t, at + max(1, 2 * t // n)), dtype=np.uint64)
-        g = _mix(elements[:, None] ^ _mix(rounds + np.uint64(1))[None, :])
+        # So many rounds at once as fill nearly all coordinates; later rounds never replace earlier ones.
+        rounds = np.arange(at, min(t, at + max(1, int(np.ceil(t * np.log(t) / n)))), dtype=np.uint64)
+        g = _mix(elements[None, :] ^ _mix(rounds + np.uint64(1))[:, None])
         where = ((g >> np.uint64(32)) * np.uint64(t)) >> np.uint64(32)
-        value = (rounds[None, :] << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
+        value = (rounds[:, None] << np.uint64(32)) | (g & np.uint64(0xFFFFFFFF))
         np.minimum.at(out, where.ravel().astype(np.int64), value.ravel())
         at += len(rounds)
-        if out.max() != np.iinfo(np.uint64).max:
+        if out.max() != empty:
             return out
-    for b in np.flatnonzero(out == np.iinfo(np.uint64).max):  # round t + b looks at coordinate b alone
+    for b in np.flatnonzero(out == empty):  # round t + b looks at coordinate b alone
         g = _mix(elements ^ _mix(np.array([t + b + 1], np.uint64)))
         out[b] = (np.uint64(t + b) << np.uint64(32)) | (g.min() & np.uint64(0xFFFFFFFF))
     return out

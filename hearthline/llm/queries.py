@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import table
+from hearthline.llm.common import dealt, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.toxicity import THRESHOLD, fit, held_out, score
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -36,38 +36,38 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.url_filter import judge
 
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(dealt(spark, sf_dir, "pages"))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.sentencepiece_codec import encode
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = dealt(spark, sf_dir, "documents").select("doc_id", "text")
     return encode(docs, verify=True).drop("text")
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.pii import replace_pii
 
-    return replace_pii(table(spark, sf_dir, "documents"))
+    return replace_pii(dealt(spark, sf_dir, "documents"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.secret_scan import digest, find_secrets
 
-    return digest(find_secrets(table(spark, sf_dir, "documents")))
+    return digest(find_secrets(dealt(spark, sf_dir, "documents")))
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.embed_dedup import near_duplicate_vectors
 
-    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+    return near_duplicate_vectors(dealt(spark, sf_dir, "embeddings"))
 
 
 def op9_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hearthline.llm.minhash_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(dealt(spark, sf_dir, "documents"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,11 @@ def span_text(spans):
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts by base kind, a hash of the base spans and all spans as text."""
+    """Counts by base kind, a hash of the base spans and all spans as text.
+
+    Rows without spans have counts of 0, the hash of the empty text and the empty text;
+    an empty table gives an empty result.
+    """
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     return found.select(id_col, count("assign"), count("access"), count("hex"), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))

@@ -9,6 +9,7 @@ to a probability. Lexicon, trees and calibration are fitted on disjoint rows.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,7 +26,8 @@ from hearthline.llm.common import as_row, from_row, materialise
 SAMPLE_ROWS, CANDIDATES, LEXICON = 24_000, 20_000, 3_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
-MEMORY = 200_000
+#: Tokens whose codes are remembered, and texts that are worked on together.
+MEMORY, SLICE = 200_000, 256
 # Second-person words of the corpus languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vuestro vuestra vos".split())
 # Characters that commonly stand for letters.
@@ -34,10 +36,11 @@ NEAR = 3
 N_FEATURES = 20
 
 _EDGE = re.compile(r"^\W+|\W+$")
-_RUN = re.compile(r"[!?.*$#%&]{2,}")
 _LONG = re.compile(r"(.)\1\1")
 _MIXED = re.compile(r"[^\W\d_][\d@$!|*+.\-_]+[^\W\d_]")
 _INNER = re.compile(r"[\W_]+")
+#: Bytes of the marks whose runs are counted.
+_MARKS = np.isin(np.arange(256), list(b"!?.*$#%&"))
 
 # Bits of a token's code; the lexicon entry is above them.
 PERSON, CAPS, OBFUSCATED, STRETCHED, VEILED, WHOLE, BITS = 1, 2, 4, 8, 16, 32, 6
@@ -83,36 +86,62 @@ class Codes(dict):
         return code
 
 
-def features(text: str, codes: Codes, weights: np.ndarray) -> np.ndarray:
-    """The feature vector of a whole text; the empty text gives zeros."""
-    out = np.zeros(N_FEATURES, np.float32)
-    words = text.split()
-    if not words:
+def features(texts: list[str], codes: Codes, weights: np.ndarray) -> np.ndarray:
+    """The feature vectors of whole texts, one row each; empty texts give zeros.
+
+    All texts are worked on as one run of words and one of bytes. Counts are differences
+    of running sums; sums of weights are taken segment by segment, so that a text's row
+    does not depend on its neighbours.
+    """
+    out = np.zeros((len(texts), N_FEATURES), np.float32)
+    words = [t.split() for t in texts]
+    n = np.array([len(w) for w in words], np.int64)
+    some = np.flatnonzero(n)
+    if not len(some):
         return out
-    n = len(words)
-    code = np.fromiter(map(codes.__getitem__, words), np.int64, n)
+    code = np.fromiter(map(codes.__getitem__, itertools.chain.from_iterable(words)), np.int64, int(n.sum()))
+    ends = np.cumsum(n)
+    starts = ends - n
+    count = lambda x: (run := np.concatenate([[0], np.cumsum(x)]))[ends] - run[starts]
+    d = np.maximum(n, 1)
     entry = (code >> BITS) - 1
     at = np.flatnonzero(entry >= 0)
-    hits = len(at)
-    if hits:
-        w = weights[entry[at]]
-        whole = (code[at] & WHOLE) > 0
-        out[0:6] = hits / n, w.sum() / n, w.max(), len(np.unique(entry[at])), whole.sum() / n, w[whole].max() if whole.any() else 0
-        out[6] = np.log1p(w.sum())
-        out[7] = whole.sum()
-        out[8] = ((code[at] & VEILED) > 0).sum() / n
+    hits = count(entry >= 0)
+    if len(at):
+        of = np.repeat(np.arange(len(texts)), n)[at]
+        rows = np.unique(of)
+        first = np.searchsorted(of, rows)
+        w, whole = weights[entry[at]].astype(np.float64), (code[at] & WHOLE) > 0
+        total = np.zeros(len(texts))
+        total[rows] = np.add.reduceat(w, first)
+        out[:, 0], out[:, 1] = hits / d, total / d
+        out[rows, 2] = np.maximum.reduceat(w, first)
+        out[:, 3] = np.bincount(np.unique(of * np.int64(len(weights)) + entry[at]) // len(weights), minlength=len(texts))
+        out[:, 7] = np.bincount(of, whole, len(texts))
+        out[:, 4] = out[:, 7] / d
+        out[rows, 5] = np.maximum.reduceat(np.where(whole, w, 0.0), first)
+        out[:, 6] = np.log1p(total)
+        out[:, 8] = np.bincount(of, (code[at] & VEILED) > 0, len(texts)) / d
         person = np.concatenate([[0], np.cumsum(code & PERSON)])
-        out[9] = (person[np.minimum(at + NEAR + 1, n)] > person[np.maximum(at - NEAR, 0)]).mean()
-        out[10] = hits / max(1.0, np.sqrt(n))
+        near = person[np.minimum(at + NEAR + 1, ends[of])] > person[np.maximum(at - NEAR, starts[of])]
+        out[:, 9] = np.bincount(of, near, len(texts)) / np.maximum(hits, 1)
+        out[:, 10] = hits / np.maximum(1.0, np.sqrt(n))
     for k, bit in enumerate((PERSON, CAPS, OBFUSCATED, STRETCHED)):
-        out[11 + k] = ((code & bit) > 0).mean()
-    data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-    upper, lower = ((data >= 65) & (data <= 90)).sum(), ((data >= 97) & (data <= 122)).sum()
-    out[15] = upper / max(1, upper + lower)
-    out[16] = text.count("!") / n
-    out[17] = text.count("?") / n
-    out[18] = len(_RUN.findall(text)) / n
-    out[19] = np.log1p(n)
+        out[:, 11 + k] = count((code & bit) > 0) / d
+    raw = [t.encode("utf-8", "replace") for t in texts]
+    data = np.frombuffer(b"\0".join([b"", *raw, b""]), np.uint8)  # a separator before and after each text
+    size = np.array([len(r) for r in raw], np.int64)
+    starts = 1 + np.cumsum(size + 1) - (size + 1)
+    ends = starts + size
+    upper, lower = count((data >= 65) & (data <= 90)), count((data >= 97) & (data <= 122))
+    out[:, 15] = upper / np.maximum(1, upper + lower)
+    out[:, 16], out[:, 17] = count(data == 33) / d, count(data == 63) / d
+    mark = _MARKS[data]
+    runs = np.zeros(len(data), bool)
+    runs[1:-1] = mark[1:-1] & mark[2:] & ~mark[:-2]
+    out[:, 18] = count(runs) / d
+    out[:, 19] = np.log1p(n)
+    out[n == 0] = 0
     return out
 
 
@@ -266,8 +295,11 @@ def _vectors(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np
         codes = [Codes(x.entries) for x in lexicons]
         for batch in batches:
             folds = batch.column(1).to_pylist()
-            x = [features(t.as_py(), codes[f], lexicons[f].weights).tobytes() for t, f in zip(batch.column(0), folds, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()), batch.column(2), batch.column(3)], names=["x", "toxic", "part"])
+            texts, x = batch.column(0).to_pylist(), np.zeros((batch.num_rows, N_FEATURES), np.float32)
+            for f in set(folds):
+                rows = [i for i, g in enumerate(folds) if g == f]
+                x[rows] = features([texts[i] for i in rows], codes[f], lexicons[f].weights)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2), batch.column(3)], names=["x", "toxic", "part"])
 
     got = sample.select("text", "fold", "toxic", "part").mapInArrow(run, "x binary, toxic int, part int").toArrow()
     order = sorted(zip(*[got.column(i).to_pylist() for i in range(3)], strict=True))  # the same whatever the partitions
@@ -337,8 +369,9 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(model.entries)
         for batch in batches:
-            x = [features(t.as_py() or "", codes, model.weights) for t in batch.column(where)]
-            s = model.score(np.array(x, np.float32).reshape(-1, N_FEATURES))
+            texts = batch.column(where)
+            parts = [features([t or "" for t in texts.slice(at, SLICE).to_pylist()], codes, model.weights) for at in range(0, batch.num_rows, SLICE)]
+            s = model.score(np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score_col])
 
     return kept.mapInArrow(run, schema)

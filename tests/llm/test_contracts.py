@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from hearthline.llm import exact_dedup, minhash_dedup, mixing, pii, queries, secret_scan, sharding, toxicity, url_filter
+from hearthline.llm import common, exact_dedup, minhash_dedup, mixing, pii, queries, secret_scan, sharding, toxicity, url_filter
 from hearthline.llm import sentencepiece_codec as codec
 from hearthline.llm.embed_dedup import near_duplicate_vectors
 from tests.llm.test_operators import SF, WORDS, awkward, brute_components
@@ -61,6 +61,18 @@ def test_split_buckets_are_looked_up(spark):
     assert got == want and len({r[5] for r in got.values()}) > 20 and max(r[6] for r in got.values()) > 4
 
 
+def test_full_bitmaps_lose_nothing(spark, monkeypatch):
+    """With bitmaps so small that nearly every key may be shared, results are the same."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    exact, near = plain(exact_dedup.exact_duplicates(docs)), plain(minhash_dedup.near_duplicates(docs))
+    left = [sorted(r["doc_id"] for r in f(docs).collect()) for f in (exact_dedup.drop_exact_duplicates, minhash_dedup.drop_near_duplicates)]
+    monkeypatch.setattr(common, "MIN_BITS", 6)
+    monkeypatch.setattr(common, "MAX_BITS", 6)
+    assert plain(exact_dedup.exact_duplicates(docs)) == exact and plain(minhash_dedup.near_duplicates(docs)) == near
+    assert [sorted(r["doc_id"] for r in f(docs).collect()) for f in (exact_dedup.drop_exact_duplicates, minhash_dedup.drop_near_duplicates)] == left
+
+
 def test_shards_equal_prefix_sums(spark):
     df = awkward(spark).select("doc_id", "text")
     rows = sorted(((r["doc_id"] if r["doc_id"] is not None else -1, len((r["text"] or "").encode()) + 1, zlib.crc32((r["text"] or "").encode())) for r in df.collect()))
@@ -97,6 +109,20 @@ def test_toxicity_of_empty_and_clashing_tables(spark):
     assert {r["score"] for r in toxicity.score(awkward(spark), one).collect()} == {1.0}
 
 
+def test_vectors_equal_plain_counts():
+    codes = toxicity.Codes({"idiot": 0, "lose-": 1})
+    weights = np.array([2.0, 1.5], np.float32)
+    texts = ["", "You are an IDIOT!! loser, id!ot $tupid yes?", " \n", "a", "!?", "clean text... here", "idiot " * 50 + "you", "é!" * 9]
+    got = toxicity.features(texts, codes, weights)
+    assert all((toxicity.features([t], codes, weights)[0] == got[k]).all() for k, t in enumerate(texts))
+    n = 8
+    # Two whole or partial entries and a veiled one; one second-person word, near the first entries only.
+    assert got[1, :6] == pytest.approx([3 / n, 5.5 / n, 2.0, 2, 1 / n, 2.0], rel=1e-6)
+    assert got[1, 7:12] == pytest.approx([1, 1 / n, 1 / 3, 3 / np.sqrt(n), 1 / n], rel=1e-6)
+    assert got[1, 16:20] == pytest.approx([3 / n, 1 / n, 1 / n, np.log1p(n)], rel=1e-6)
+    assert not got[0].any() and not got[2].any() and got[5, 18] == pytest.approx(1 / 3) and got[6, 9] == pytest.approx(3 / 50)
+
+
 def plain_bayes(urls):
     """The two fits of the url classifier with dictionaries, and the odds of every url."""
     seg = url_filter.Segmenter(url_filter.load_words())
@@ -316,7 +342,7 @@ def test_pipeline_equals_plain_stages(spark):
     model = toxicity.fit(docs, labels)
     rows = {r["doc_id"]: r for r in docs.collect()}
     codes = toxicity.Codes(model.entries)
-    scores = model.score(np.array([toxicity.features(r["text"] or "", codes, model.weights) for r in rows.values()], np.float32))
+    scores = model.score(np.concatenate([toxicity.features([r["text"] or ""], codes, model.weights) for r in rows.values()]))
     left = [i for i, s in zip(rows, scores, strict=True) if s < toxicity.THRESHOLD]
     groups = {}
     for i in left:
