@@ -55,7 +55,8 @@ def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     NULL text has NULL ids and 0 tokens, the empty text no ids; repeated rows stay; an
     empty table gives an empty result.
     """
-    return encode(docs).select("doc_id", "lang", "source", "ids", F.col("n_tokens").cast("long").alias("n_tokens"))
+    encoded = encode(docs.select("doc_id", "text", "lang", "source"), keep_text=False)
+    return encoded.select("doc_id", "lang", "source", "ids", F.col("n_tokens").cast("long").alias("n_tokens"))
 
 
 STAGES = [
