@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline.plans.tables import cut as materialise  # noqa: F401  used by the operators
 from hearthline.sources.readers import read_table
@@ -21,6 +22,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 HOT_KEYS = 10_000
 #: Bits of a broadcast bitmap: 2**MAX_BITS of them are half a million rows of 16 bytes.
 MIN_BITS, MAX_BITS = 12, 25
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +81,25 @@ def lookup(rows: DataFrame, keyed: DataFrame, key: str | tuple[str, ...], weight
     return both.select(*rows.columns, *[found.getField(c).alias(c) for c in keyed.columns if c not in keys])
 
 
+def arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """``mapInArrow`` in batches of BATCH_ROWS rows at the most, so that long texts do not fill workers and buffers.
+
+    The session's batch size is lowered if it is larger, which changes no result. A task
+    gives its Arrow memory back when it ends, as workers are used again by later stages.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def bitmap_bits(keys: int) -> int:
     """Bits of a bitmap that is at most an eighth full, up to the largest allowed."""
     return min(MAX_BITS, max(MIN_BITS, (8 * keys).bit_length()))

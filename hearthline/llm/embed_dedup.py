@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import bitmap_bits, grouped, lookup, materialise, possible
+from hearthline.llm.common import arrow, bitmap_bits, grouped, lookup, materialise, possible
 from hearthline.llm.components import connected_components, links_of_repeated_ids, with_smallest_id
 
 #: Keys visited in a table, own key first, and rows of a block.
@@ -133,7 +133,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(kept, pa.binary())], names=["id", "key", "vec"])
 
     named = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"))
-    rows = materialise(named.mapInArrow(digest, "id long, key binary, vec binary").withColumn("row", F.monotonically_increasing_id()))
+    rows = materialise(arrow(named, digest, "id long, key binary, vec binary").withColumn("row", F.monotonically_increasing_id()))
     # A class of equal vectors is one node, named by a row and not by an id, which may be NULL or repeated.
     classes = rows.where("key is not null").groupBy("key").agg(F.min("row").alias("node"), F.min("id").alias("rep"), F.count(F.lit(1)).alias("weight"), F.first("vec").alias("vec"))
     classes = materialise(classes)
@@ -155,7 +155,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                     keys[of] = visits(unit, tables, width, seed) * 4096 + d % 4096
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([k.tobytes() for k in keys], pa.binary())], names=["node", "weight", "vec", "keys"])
 
-    placed = materialise(classes.select("node", "weight", "vec").mapInArrow(hashed, "node long, weight long, vec binary, keys binary"))
+    placed = materialise(arrow(classes.select("node", "weight", "vec"), hashed, "node long, weight long, vec binary, keys binary"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each distinct key visited; ``own`` where it is the vector's own."""
@@ -170,7 +170,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                 yield pa.RecordBatch.from_arrays([pa.array(keys[first]), pa.array((visit == 0).astype(np.int64)), batch.column(0).take(pa.array(row))], names=["bucket", "own", "node"])
 
     # Nodes alone are sorted into buckets; vectors follow only where an own key meets another vector.
-    entries = materialise(placed.select("node", "keys").mapInArrow(spread, "bucket long, own long, node long"))
+    entries = materialise(arrow(placed.select("node", "keys"), spread, "bucket long, own long, node long"))
     full = materialise(entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("o")).where("n > 1 and o > 0").select("bucket", "n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("long")
     met = lookup(possible(entries, full, "bucket", bitmap_bits(full.count())), full, "bucket", "n", "node").where("n is not null")
@@ -230,7 +230,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                     yield flush()
         yield flush()
 
-    links = materialise(cells.mapInArrow(run, "node long, links long, label long").groupBy("node", "label").agg(F.sum("links").alias("links")))
+    links = materialise(arrow(cells, run, "node long, links long, label long").groupBy("node", "label").agg(F.sum("links").alias("links")))
     by_id = links_of_repeated_ids(rows, classes)
     edges = links.select(F.col("node").alias("a"), F.col("label").alias("b"))
     comp = connected_components(edges if by_id is None else edges.union(by_id))

@@ -85,10 +85,12 @@ def chains_of(texts: DataFrame, shared: DataFrame, directory: tuple[DataFrame, i
     longest row is kept, then the smallest id; NULL ids sort below every other.
     """
     total = shared.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(shared.where(F.col("n") * HOT_KEYS > total).select("h"))  # fewer than HOT_KEYS keys
+    hot = F.broadcast(shared.where(F.col("n") * HOT_KEYS > total).select("h", F.lit(True).alias("hot")))  # fewer than HOT_KEYS keys
+    # An outer join, as the optimiser would move a semi or anti join, and with it the digests, below the bitmap.
+    marked = texts.join(hot, "h", "left")
     own = F.struct("len", F.negative(F.col("id").cast("decimal(20,0)")).alias("neg"))
-    cold = texts.join(hot, "h", "left_anti").select("h", "norm", own.alias("best"), F.lit(1).cast("long").alias("size"))
-    many = texts.join(hot, "h", "left_semi").groupBy("h", "norm").agg(F.max(own).alias("best"), F.count(F.lit(1)).alias("size"))
+    cold = marked.where("hot is null").select("h", "norm", own.alias("best"), F.lit(1).cast("long").alias("size"))
+    many = marked.where("hot").groupBy("h", "norm").agg(F.max(own).alias("best"), F.count(F.lit(1)).alias("size"))
     owners = in_buckets(cold.unionByName(many), directory).repartition("bucket")
     # Within its owner: equal bytes are one link; the grouping needs no further exchange.
     links = owners.groupBy("bucket", "h", "norm").agg(F.max("best").alias("best"), F.sum("size").alias("size"))

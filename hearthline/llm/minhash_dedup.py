@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import as_row, binaries, bitmap_bits, from_row, grouped, lookup, materialise, possible
+from hearthline.llm.common import arrow, as_row, binaries, bitmap_bits, from_row, grouped, lookup, materialise, possible
 from hearthline.llm.components import links_of_repeated_ids, relabelled, with_smallest_id
 
 SHINGLE = 5
@@ -107,7 +107,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     names=["id", "tag", "n", "key", "coords"],
                 )
 
-    found = _texts(docs, id_col, text_col).mapInArrow(run, "id long, tag long, n long, key binary, coords binary")
+    found = arrow(_texts(docs, id_col, text_col), run, "id long, tag long, n long, key binary, coords binary")
     return found.withColumn("row", F.monotonically_increasing_id())
 
 
@@ -136,7 +136,7 @@ def full_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -
 
     texts = possible(_texts(docs, id_col, text_col), members.select("tag"), "tag", bitmap_bits(members.count()))
     # Repeated rows, and texts that the bitmap let pass, meet in a partial aggregate.
-    sets = texts.mapInArrow(run, "key binary, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
+    sets = arrow(texts, run, "key binary, elements binary").groupBy("key").agg(F.first("elements").alias("elements"))
     return members.join(sets, "key").select("node", "n", "coords", "elements")
 
 
@@ -211,7 +211,7 @@ def _cells(rows: DataFrame, solve: Callable[[Cell], np.ndarray | None], keep: bo
                     yield flush()
         yield flush()
 
-    return rows.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(run, schema)
+    return arrow(rows.repartition(*_CELL).sortWithinPartitions(*_CELL), run, schema)
 
 
 def _least(percent: int) -> int:

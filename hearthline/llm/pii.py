@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hearthline.llm.common import bitmap_bits, lookup, materialise, possible
+from hearthline.llm.common import arrow, bitmap_bits, lookup, materialise, possible
 
 DEFAULT_KEY = b"hearthline demonstration key"
 #: Replacements of up to so many bytes in all are broadcast; more are joined by shuffle.
@@ -231,7 +231,7 @@ def _found(texts: DataFrame) -> DataFrame:
                     genders.append(g)
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(kinds, pa.string()), pa.array(values, pa.string()), pa.array(genders, pa.int64())], names=["h", "kind", "value", "gender"])
 
-    return texts.mapInArrow(run, "h long, kind string, value string, gender long")
+    return arrow(texts, run, "h long, kind string, value string, gender long")
 
 
 def _full_names(texts: DataFrame, only_titled: bool) -> DataFrame:
@@ -248,7 +248,7 @@ def _full_names(texts: DataFrame, only_titled: bool) -> DataFrame:
                     names += found
                 yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array([n[0] for n in names], pa.string()), pa.array([n[1] for n in names], pa.string())], names=["h", "given", "surname"])
 
-    return texts.mapInArrow(run, "h long, given string, surname string")
+    return arrow(texts, run, "h long, given string, surname string")
 
 
 def surrogates(values: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
@@ -265,7 +265,7 @@ def surrogates(values: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
                 k, v, g, n = (batch.column(i).to_pylist() for i in range(4))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([surrogate(k[i], v[i], n[i], g[i], key) for i in range(len(k))], pa.string())], names=[*batch.schema.names, "replacement"])
 
-        return rows.mapInArrow(run, "kind string, value string, gender long, attempt int, replacement string")
+        return arrow(rows, run, "kind string, value string, gender long, attempt int, replacement string")
 
     values = values.select("kind", "value", "gender")
     done = materialise(draw(values.withColumn("attempt", F.lit(0))))
@@ -333,7 +333,7 @@ def replace_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 totals = [sum(d[1].values()) for d in done]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(totals, pa.int32()), pa.array(kinds, pa.map_(pa.string(), pa.int32()))], names=["id", "text", "n_entities", "kinds"])
 
-    out = joined.mapInArrow(run, f"id {kind_of_id}, text string, n_entities int, kinds map<string,int>")
+    out = arrow(joined, run, f"id {kind_of_id}, text string, n_entities int, kinds map<string,int>")
     return plain.unionByName(out).select(F.col("id").alias(id_col), F.col("text").alias(text_col), "n_entities", "kinds")
 
 

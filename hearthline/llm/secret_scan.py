@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import arrow
 from hearthline.llm.trigrams import trigram_query, trigrams_of
 
 #: A segment has at most so many bytes of text (or one document).
@@ -165,7 +166,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
-    spans = rows.mapInArrow(run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
+    spans = arrow(rows, run, f"id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,base:boolean>>")
     return spans.withColumnRenamed("id", id_col)
 
 

@@ -23,6 +23,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from hearthline.llm.common import arrow
+
 MARK = "▁"
 ZIPF_SHIFT = 2.7
 #: Longer chunks (in bytes) are solved one at a time.
@@ -323,9 +325,10 @@ def _slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         yield batch.slice(at)
 
 
-def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL, ids_col: str = "ids", verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL, ids_col: str = "ids", verify: bool = False, keep_text: bool = True) -> DataFrame:
     """Add the piece ids of each text as ``ids_col``, and ``n_tokens``; with ``verify``, ``exact`` too.
 
+    Without ``keep_text`` the texts, which the ids stand for, are not returned.
     ``exact`` tells whether decoding the ids gives the text again. White space other
     than the blank, and any character without a piece, is written as its UTF-8 bytes.
 
@@ -337,7 +340,8 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
     codec = load_codec(model)
     out = [ids_col, "n_tokens", *(["exact"] if verify else [])]
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c not in out])
-    schema = T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType()), *([T.StructField("exact", T.BooleanType())] if verify else [])])
+    back = [f.name for f in kept.schema.fields if keep_text or f.name != text_col]
+    schema = T.StructType([*[kept.schema[c] for c in back], T.StructField(ids_col, T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.IntegerType()), *([T.StructField("exact", T.BooleanType())] if verify else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Memo(codec)
@@ -348,13 +352,13 @@ def encode(docs: DataFrame, text_col: str = "text", model: str = DEFAULT_MODEL,
                 missing = np.array([t is None for t in texts], bool)
                 ids, offsets = memo.encode([t or "" for t in texts])
                 lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32), mask=np.append(missing, False)) if missing.any() else pa.array(offsets.astype(np.int32)), pa.array(ids))
-                columns = [*batch.columns, lists, pa.array(np.diff(offsets).astype(np.int32))]
+                columns = [*[batch.column(c) for c in back], lists, pa.array(np.diff(offsets).astype(np.int32))]
                 if verify:
-                    back = codec.decode_many(ids, offsets)
-                    columns.append(pa.array([None if t is None else t == b for t, b in zip(texts, back, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, *out])
+                    decoded = codec.decode_many(ids, offsets)
+                    columns.append(pa.array([None if t is None else t == b for t, b in zip(texts, decoded, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(columns, names=[*back, *out])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)
 
 
 def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL, text_col: str = "decoded") -> DataFrame:
@@ -380,4 +384,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", model: str = DEFAULT_MODEL,
                 column = pa.array([t if v else None for t, v in zip(texts, valid, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, text_col])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(kept, run, schema)

@@ -12,15 +12,17 @@ from __future__ import annotations
 import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hearthline.llm.common import as_row, from_row, materialise
+from hearthline.llm.common import arrow, as_row, from_row, materialise
 
 #: Bounds of the fit: about so many labelled rows are sampled, and so many lexicon candidates and entries are held.
 SAMPLE_ROWS, CANDIDATES, LEXICON = 24_000, 20_000, 3_000
@@ -268,7 +270,7 @@ def _tokens(sample: DataFrame, only: frozenset[str] | None) -> DataFrame:
             part = keys[at : at + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part], pa.string()), pa.array([k[1] for k in part], pa.int32()), pa.array([seen[k] for k in part], pa.int64())], names=["token", "fold", "n"])
 
-    return sample.select("text", "fold").mapInArrow(run, "token string, fold int, n long").groupBy("token", "fold").agg(F.sum("n").alias("n"))
+    return arrow(sample.select("text", "fold"), run, "token string, fold int, n long").groupBy("token", "fold").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -301,7 +303,7 @@ def _vectors(sample: DataFrame, lexicons: list[Lexicon]) -> tuple[np.ndarray, np
                 x[rows] = features([texts[i] for i in rows], codes[f], lexicons[f].weights)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2), batch.column(3)], names=["x", "toxic", "part"])
 
-    got = sample.select("text", "fold", "toxic", "part").mapInArrow(run, "x binary, toxic int, part int").toArrow()
+    got = arrow(sample.select("text", "fold", "toxic", "part"), run, "x binary, toxic int, part int").toArrow()
     order = sorted(zip(*[got.column(i).to_pylist() for i in range(3)], strict=True))  # the same whatever the partitions
     x = np.frombuffer(b"".join(r[0] for r in order), np.float32).reshape(-1, N_FEATURES)
     return x, np.array([r[1] for r in order], float), np.array([r[2] for r in order], int)
@@ -360,21 +362,23 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     of zeros; texts of any length are read whole; equal texts get equal scores; an
     input column named ``score_col`` is replaced; an empty table gives an empty result.
     """
-    from pyspark.sql import types as T
-
     kept = docs.select(*[f"`{c}`" for c in docs.columns if c != score_col])
-    schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())])
-    where = kept.columns.index(text_col)
+    at = kept.columns.index(text_col)
+    return _scored(kept, model, lambda batch: batch.column(at), score_col)
+
+
+def _scored(rows: DataFrame, model: Model, texts_of: Callable[[pa.RecordBatch], pa.Array], score_col: str) -> DataFrame:
+    schema = T.StructType([*rows.schema.fields, T.StructField(score_col, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes(model.entries)
         for batch in batches:
-            texts = batch.column(where)
+            texts = texts_of(batch)
             parts = [features([t or "" for t in texts.slice(at, SLICE).to_pylist()], codes, model.weights) for at in range(0, batch.num_rows, SLICE)]
             s = model.score(np.concatenate(parts) if parts else np.zeros((0, N_FEATURES), np.float32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, score_col])
 
-    return kept.mapInArrow(run, schema)
+    return arrow(rows, run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -385,6 +389,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD,
     is the share of toxic labels, so all rows stay or all go; a table of labels with
     other columns may clash with any name; column names may clash with any used here.
     """
-    model = fit(docs, labels, id_col, text_col)
-    carried = score(docs.select(as_row(docs), F.col(f"`{text_col}`").alias("text")), model)
+    model, at = fit(docs, labels, id_col, text_col), docs.columns.index(text_col)
+    carried = _scored(docs.select(as_row(docs)), model, lambda batch: pa.compute.struct_field(batch.column(0), [at]), "score")
     return from_row(carried.where(F.col("score") < threshold), docs)

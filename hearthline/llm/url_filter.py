@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hearthline.llm.common import arrow
+
 DEFAULT_VOCABULARY = "/opt/tokenizers/word_bpe_49k.json"
 #: Far more than the words of the vocabulary, so that few tokens share a slot.
 SLOTS = 1 << 18
@@ -212,7 +214,7 @@ def _counts(parts: DataFrame, words: dict[str, float], blocked: Callable[[list[s
         yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)), pa.array(k.astype(np.int32)), pa.array(counts[c, k])], names=["c", "k", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array([-1, -1], pa.int32()), pa.array(pages)], names=["c", "k", "n"])
 
-    sums = parts.where("host <> ''").select("host", "path").mapInArrow(run, "c int, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).toArrow()
+    sums = arrow(parts.where("host <> ''").select("host", "path"), run, "c int, k int, n long").groupBy("c", "k").agg(F.sum("n").alias("n")).toArrow()
     c, k, n = (sums.column(i).to_numpy() for i in range(3))
     counts, pages = np.zeros((2, SLOTS)), np.zeros(2)
     counts[c[k >= 0], k[k >= 0]] = n[k >= 0] / UNIT
@@ -250,6 +252,6 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(odds, pa.float64())], names=[*batch.schema.names, "score"])
 
     kind = pages.schema[id_col].dataType.simpleString()
-    scored = parts.mapInArrow(run, f"id {kind}, host string, path string, rule string, ruled string, score double")
+    scored = arrow(parts, run, f"id {kind}, host string, path string, rule string, ruled string, score double")
     verdict = F.coalesce("ruled", F.when(F.col("score") > CUT, "block").otherwise("allow"))
     return scored.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score")
