@@ -83,21 +83,30 @@ def neighborhood_similarity(a: Column, b: Column) -> Column:
     return F.when(missing, 0.5).when(a == b, 1.0).otherwise(name_similarity(F.when(differ, a), F.when(differ, b)))
 
 
-def location_similarity(a, b, hood: Column | None = None) -> Column:
-    """Mean of the city, neighborhood and coordinate parts; 0 for different cities. ``a(name)`` gives a column; ``hood`` is the neighborhood part if it is known."""
+def metres(a, b) -> Column:
+    """Distance of two listings; NULL where one has no place."""
+    return haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude")) * 1000
+
+
+def location_similarity(a, b, hood: Column | None = None, apart: Column | None = None) -> Column:
+    """Mean of the city, neighborhood and coordinate parts; 0 for different cities.
+
+    ``a(name)`` gives a column; ``hood`` is the neighborhood part and ``apart`` the distance if they are known.
+    """
     if hood is None:
         hood = neighborhood_similarity(a("neighborhood"), b("neighborhood"))
-    m = haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude")) * 1000
+    m = metres(a, b) if apart is None else apart
     near = F.when(m <= 100, 1.0).when(m <= 500, 0.8).when(m <= 1000, 0.6).when(m.isNotNull(), 0.0)
     mean = F.when(near.isNull(), (1 + hood) / 2).otherwise((1 + hood + near) / 3)
     return F.when(a("city") == b("city"), mean).otherwise(0.0)
 
 
-def feature_similarity(a, b, hood: Column | None = None) -> Column:
+def feature_similarity(a, b, hood: Column | None = None, place: Column | None = None) -> Column:
+    """The weighted parts; ``place`` is the location's if it is known."""
     return (
         0.3 * ratio_similarity(a("price_mad"), b("price_mad"))
         + 0.25 * ratio_similarity(a("surface_m2"), b("surface_m2"))
-        + 0.25 * location_similarity(a, b, hood)
+        + 0.25 * (location_similarity(a, b, hood) if place is None else place)
         + 0.1 * same(a("rooms"), b("rooms"))
         + 0.1 * same(a("property_type"), b("property_type"))
     )

@@ -74,3 +74,19 @@ def test_features_count_the_names_of_neighborhoods_as_titles(spark):
     rows = [(i, f"{i}", "rabat", name, None, None, 1_000_000.0, surface, str(i), "a") for i, (name, surface) in enumerate([("Maarif Extension", 100.0), ("Extension Maarif", 72.0)])]
     # 0.3 + 0.25 * 0.72 + 0.25 * 0.78 + 0.2 = 0.87; an edit distance gives 0.56 in place of 0.78, and 0.82.
     assert {p: kind for p, (kind, _) in _found(spark.createDataFrame(rows, SCHEMA)).items()} == {(0, 1): "features"}
+
+
+def test_blocks_lose_no_match_by_features_or_place(spark):
+    rng = random.Random(11)
+    some = lambda x, p=0.15: None if rng.random() < p else x
+
+    def row(i):
+        lat, lon = 34 + rng.choice([0, 0, 0.004, 0.02, 0.5]) + rng.random() / 3000, -6.8 + rng.random() / 3000
+        placed = rng.random() < 0.8
+        return (i, f"listing number {rng.randrange(5)}", rng.choice(["rabat", "fes", None]), some("agdal", 0.3), lat if placed else None, lon if placed else None, some(1e6 * rng.choice([1, 1.05, 1.2, 1.9, 0.0])), some(100.0 * rng.choice([1, 1.1, 1.3, 2.2])), some(rng.randrange(1, 4)), some(rng.choice(["villa", "studio"])), some(str(rng.randrange(60))), rng.choice("ab"))
+
+    schema = "id long, title string, city string, neighborhood string, latitude double, longitude double, price_mad double, surface_m2 double, rooms int, property_type string, source_id string, source_platform string"
+    df = spark.createDataFrame([row(i) for i in range(180)], schema)
+    got, want = _found(df), _found(df, exact_titles=True)
+    assert got == want and {kind for kind, _ in got.values()} == {"coordinates", "features", "source_id", "title"}
+    assert _found(df.where("false")) == {}
