@@ -7,6 +7,7 @@ run in another order.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -373,6 +374,13 @@ def corr_matrix(t):
     return quality.correlations(t("lineitem"), ["l_quantity", "l_extendedprice", "l_discount"]).select("a", "b", r("r", 8).alias("r"))
 
 
+@query("""WITH c AS (SELECT corr(l_quantity, l_extendedprice) AS q, corr(l_discount, l_extendedprice) AS d, corr(l_tax, l_extendedprice) AS x FROM lineitem), p AS (SELECT unnest(['l_quantity', 'l_discount', 'l_tax']) AS feature, unnest([q, d, x]) AS r FROM c)
+SELECT feature FROM (SELECT feature FROM p ORDER BY r * r / (1 - r * r) DESC, feature LIMIT 2) UNION ALL SELECT 'l_extendedprice'""")
+def selected_features(t):
+    x = features.select_best(t("lineitem").select("l_extendedprice", "l_quantity", "l_discount", "l_tax"), "l_extendedprice", 2)
+    return x.sparkSession.createDataFrame([(c,) for c in x.columns], "feature string")
+
+
 EDGES_SQL = "list_sort(list_distinct(quantile_cont({0}, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0])))"
 
 
@@ -853,17 +861,16 @@ def workflow_end_to_end(t):
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def stream_windows(t):
     """Hourly counters as a stream over the stored events, run until all are read."""
-    from hearthline.streaming.ingest import windowed_counts
+    from hearthline.plans.tables import shared_folder
+    from hearthline.streaming.ingest import run_complete, windowed_counts
 
     events = t("events")
     spark = events.sparkSession
     folder = events.inputFiles()[0].rsplit("/", 1)[0]
     stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "*.parquet").parquet(folder if folder.endswith(".parquet") else f"{folder}/events.parquet*")
     counts = windowed_counts(stream.withColumn("ts", F.col("ts").cast("timestamp")), window="1 hour", delay="40 days")
-    name = f"stream_{abs(hash(folder))}"
-    q = counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.col("window.start").alias("hour"), "event_type", "n", r("total").alias("total"))
+    place = f"{shared_folder(spark)}/streams/{uuid.uuid4()}"
+    return run_complete(counts, f"{place}/rows", f"{place}/state").select(F.col("window.start").alias("hour"), "event_type", "n", r("total").alias("total"))
 
 
 @query(LP + f"SELECT id, {CASE_CATEGORY.format('price_mad')} AS category, CASE WHEN price_per_m2 IS NOT NULL THEN {LEVEL_SQL} END AS level, round({_haversine('33.5731', '-7.5898')}, 5) AS km, floor::VARCHAR AS floor_text FROM l")

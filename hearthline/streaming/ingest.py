@@ -33,16 +33,33 @@ def upsert_batches(stream: DataFrame, path: str, checkpoint: str):
 
 def _version(spark: SparkSession, path: str, before: int) -> DataFrame | None:
     """The newest version older than ``before``."""
+    last = _last_version(spark, path, before)
+    return None if last is None else conform(spark.read.parquet(f"{path}/v={last}"), keep_extra=False)
+
+
+def _last_version(spark: SparkSession, path: str, before: int | None = None) -> int | None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(p):
         return None
     numbers = [int(s.getPath().getName()[2:]) for s in fs.listStatus(p) if s.getPath().getName().startswith("v=")]
-    numbers = [n for n in numbers if n < before]
-    return conform(spark.read.parquet(f"{path}/v={max(numbers)}"), keep_extra=False) if numbers else None
+    return max((n for n in numbers if before is None or n < before), default=None)
 
 
 def windowed_counts(stream: DataFrame, ts: str = "ts", key: str = "event_type", window: str = "5 minutes", slide: str | None = None, delay: str = "10 minutes") -> DataFrame:
     """Counts and sums by window and key; late rows beyond ``delay`` are left out."""
     w = F.window(ts, window, slide) if slide else F.window(ts, window)
     return stream.withWatermark(ts, delay).groupBy(w, key).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+def run_complete(counts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregate over all that is there now; its last state is written to ``path`` by tasks, not gathered on the driver."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/v={number}")
+
+    query = counts.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    spark = counts.sparkSession
+    last = _last_version(spark, path)
+    return spark.createDataFrame([], counts.schema) if last is None else spark.read.parquet(f"{path}/v={last}")
