@@ -31,23 +31,36 @@ def pct_rank(value: Column | str, *keys: str) -> Column:
 
 
 def pct_rank_global(df: DataFrame, value: str, out: str, base: DataFrame | None = None) -> DataFrame:
-    """``pct_rank`` over the whole table without sorting all rows in one task.
+    """``pct_rank`` over the whole table without sorting all rows in one task."""
+    return pct_rank_in(df, value, (), out, base)
 
-    Rows meet in counts of distinct values; these are ranked by range partitions
+
+def pct_rank_in(df: DataFrame, value: str, keys: Sequence[str], out: str, base: DataFrame | None = None) -> DataFrame:
+    """``pct_rank`` within ``keys``, in which no group is sorted in one task.
+
+    Rows meet in counts of distinct values; these are ranked by ranges of their group,
     whose totals are summed up first. ``base`` may give the values from a smaller plan.
     """
     base = df if base is None else base
-    counts = base.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    # Bounds are fixed by quantiles, so both uses of the buckets agree.
-    cuts = base.agg(F.percentile_approx(value, [i / 64 for i in range(1, 64)], 1000).alias("_c"))
-    counts = counts.crossJoin(F.broadcast(cuts)).withColumn("_b", F.size(F.filter(F.coalesce("_c", F.array().cast("array<double>")), lambda x: x < F.col("_v")))).drop("_c")
-    totals = counts.groupBy("_b").agg(F.sum("_n").alias("_t"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select("_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy()).alias("_all"))
-    run = Window.partitionBy("_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("_run", F.coalesce(F.sum("_n").over(run), F.lit(0))).join(F.broadcast(totals), "_b")
-    ranks = ranks.select("_v", ((F.col("_before") + F.col("_run") + (F.col("_n") + 1) / 2) / F.col("_all")).alias(out))
-    return df.join(ranks, F.col(value) == F.col("_v"), "left").drop("_v")
+    names = [f"_k{i}" for i in range(len(keys))]
+    rows = base.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("_v")).where(F.col("_v").isNotNull())
+    counts = rows.groupBy(*names, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # Bounds are fixed by quantiles, so both uses of the ranges agree.
+    cuts = rows.groupBy(*names).agg(F.percentile_approx("_v", [i / 64 for i in range(1, 64)], 1000).alias("_c"))
+    same = lambda left, right: reduce(Column.__and__, [F.col(f"{left}.{n}").eqNullSafe(F.col(f"{right}.{n}")) for n in names], F.lit(True))
+    bounded = counts.alias("a").join(cuts.alias("b") if names else F.broadcast(cuts).alias("b"), same("a", "b"))
+    bucket = F.size(F.filter(F.coalesce("_c", F.array().cast("array<double>")), lambda x: x < F.col("_v")))
+    counts = bounded.select(*[F.col(f"a.{n}") for n in names], "_v", "_n", bucket.alias("_b"))
+    totals = counts.groupBy(*names, "_b").agg(F.sum("_n").alias("_t"))
+    before = Window.partitionBy(*names).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*names, "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"), F.sum("_t").over(Window.partitionBy(*names)).alias("_all"))
+    run = Window.partitionBy(*names, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = counts.withColumn("_run", F.coalesce(F.sum("_n").over(run), F.lit(0)))
+    ranked = ranked.alias("a").join(totals.alias("b") if names else F.broadcast(totals).alias("b"), same("a", "b") & (F.col("a._b") == F.col("b._b")))
+    place = (F.col("_before") + F.col("_run") + (F.col("_n") + 1) / 2) / F.col("_all")
+    ranks = ranked.select(*[F.col(f"a.{n}") for n in names], "_v", place.alias("_place"))
+    on = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(keys, names, strict=True)], F.col(value) == F.col("_v"))
+    return df.join(ranks, on, "left").withColumn(out, F.col("_place")).drop("_v", "_place", *names)
 
 
 def rolling(value: str, order: Sequence[str], keys: Sequence[str], rows: int = 10, least: int = 3) -> tuple[Column, Column]:

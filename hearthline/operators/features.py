@@ -91,8 +91,9 @@ def market(df: DataFrame, target: str = "price_mad") -> DataFrame:
         df = _grouped(df, base, ["city_cleaned"], {"city_price_mean": F.avg(target), "city_price_std": F.stddev_samp(target), "city_listing_count": F.count(target)})
         df = df.join(S.medians(base, "city_cleaned", target, "city_price_median").withColumnRenamed("city_cleaned", "_k"), F.col("city_cleaned") == F.col("_k"), "left").drop("_k")
         gap = F.col(target) - F.col("city_price_mean")
-        rank = F.when(F.col("city_cleaned").isNotNull(), S.pct_rank(target, "city_cleaned"))
-        df = df.withColumns({"price_deviation_from_city": gap, "price_zscore_in_city": S.ratio(gap, F.col("city_price_std")), "price_percentile_in_city": rank})
+        df = df.withColumns({"price_deviation_from_city": gap, "price_zscore_in_city": S.ratio(gap, F.col("city_price_std"))})
+        df = S.pct_rank_in(df, target, ["city_cleaned"], "_rank", base)
+        df = df.withColumn("price_percentile_in_city", F.when(F.col("city_cleaned").isNotNull(), F.col("_rank"))).drop("_rank")
     if "neighborhood_cleaned" in has:
         stats = {"neighborhood_popularity": F.count(F.lit(1))}
         if target in has:
@@ -188,13 +189,12 @@ def statistics(df: DataFrame, order: tuple[str, ...] = ("scraped_at", "id")) ->
         for c in ("price_mad", "surface_m2", "price_per_m2"):
             if c in has:
                 out[f"{c}_rolling_mean"], out[f"{c}_rolling_std"] = S.rolling(c, keys, [city])
-    for c in ("price_mad", "surface_m2", "luxury_score"):
-        if c in has and city:
-            out[f"{c}_rank_in_city"] = S.pct_rank(c, city)
     base, df = df, _added(df, out)
     for c in ("price_mad", "surface_m2", "luxury_score"):
         if c in has:
             df = S.pct_rank_global(df, c, f"{c}_rank", base)
+            if city:
+                df = S.pct_rank_in(df, c, [city], f"{c}_rank_in_city", base)
     return df
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline.functions import price as P
-from hearthline.functions.stats import pct_rank, quantiles, ratio
+from hearthline.functions.stats import pct_rank_in, quantiles, ratio
 
 TEXT_COLUMNS = ("price", "price_text", "prix", "cost", "amount")
 
@@ -56,12 +56,12 @@ def price_features(df: DataFrame) -> DataFrame:
         out["price_per_room"] = F.when(F.col("rooms") > 0, ratio(F.col("price_mad"), F.col("rooms")))
     if {"price_per_m2", "city"} <= has:
         out["price_per_m2_category"] = P.ppm2_category(F.col("price_per_m2"), F.lower(F.col("city")))
-    if "city" in has:
-        from pyspark.sql import Window
-
-        enough = F.count("price_mad").over(Window.partitionBy("city")) > 10
-        out["price_percentile_in_city"] = F.when(enough, pct_rank("price_mad", "city"))
-    return df.withColumns(out)
+    df = df.withColumns(out)
+    if "city" not in has:
+        return df
+    known = df.groupBy(F.col("city").alias("_city")).agg(F.count("price_mad").alias("_known"))
+    ranked = pct_rank_in(df, "price_mad", ["city"], "_rank").join(known, F.col("city").eqNullSafe(F.col("_city")), "left")
+    return ranked.withColumn("price_percentile_in_city", F.when(F.col("_known") > 10, F.col("_rank"))).drop("_rank", "_city", "_known")
 
 
 def consistency_report(df: DataFrame) -> DataFrame:

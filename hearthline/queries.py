@@ -200,7 +200,7 @@ RANK_SQL = "(rank() OVER (PARTITION BY {g} ORDER BY {v} NULLS LAST) + (count(*)
 
 @query(L + f"SELECT id, CASE WHEN price_mad IS NOT NULL THEN round({RANK_SQL.format(g='city', v='price_mad')}, 8) END AS pct FROM l")
 def pct_rank_in_group(t):
-    return t("listings").select("id", r(S.pct_rank("price_mad", "city"), 8).alias("pct"))
+    return S.pct_rank_in(t("listings").select("id", "city", "price_mad"), "price_mad", ["city"], "pct").select("id", r("pct", 8).alias("pct"))
 
 
 @query("SELECT o_orderkey, round((rank() OVER (ORDER BY o_custkey) + (count(*) OVER (PARTITION BY o_custkey) - 1) / 2.0::DOUBLE) / count(*) OVER (), 8) AS pct FROM orders")

@@ -57,6 +57,8 @@ def test_percent_rank_equals_pandas(spark):
     pdf = pd.DataFrame(data, columns=["id", "g", "v"]).astype({"v": float})
     got = df.select("id", stats.pct_rank("v", "g").alias("p")).toPandas().set_index("id")["p"].astype(float).sort_index()
     np.testing.assert_allclose(got, pdf.groupby("g")["v"].rank(pct=True), equal_nan=True)
+    parted = stats.pct_rank_in(df, "v", ["g"], "p").toPandas().set_index("id")["p"].astype(float).sort_index()
+    assert got.equals(parted) or ((got - parted).abs().fillna(0) < 1e-12).all() and (got.isna() == parted.isna()).all()
     whole = stats.pct_rank_global(df, "v", "p").toPandas().set_index("id")["p"].astype(float).sort_index()
     np.testing.assert_allclose(whole, pdf["v"].rank(pct=True), equal_nan=True)
 
