@@ -39,6 +39,11 @@ def uncached_addresses(df: DataFrame, cache: DataFrame) -> DataFrame:
     return need.join(cache.select("address"), "address", "left_anti")
 
 
+def geocode_address(cache: DataFrame, address: str, city: str, country: str = "Morocco") -> DataFrame:
+    """``latitude, longitude`` of one address, if the cache has it; the filter reaches the scan."""
+    return cache.where(F.col("address") == f"{address}, {city}, {country}").select(F.col("lat").alias("latitude"), F.col("lon").alias("longitude")).limit(1)
+
+
 def reverse_geocode(df: DataFrame, cache: DataFrame, digits: int = 4) -> DataFrame:
     """Address parts from ``cache`` (``lat, lon, suburb, city, town, village, postcode, full_address``) at rounded coordinates."""
     key = lambda c: F.round(c, digits)

@@ -78,3 +78,14 @@ def consistency_report(df: DataFrame) -> DataFrame:
         F.count_if(off).alias("n_inconsistent"),
         F.count_if(far).alias("n_extreme"),
     )
+
+
+def currency_distribution(df: DataFrame) -> DataFrame:
+    """``currency, n`` of the original currencies; rows without one are not counted."""
+    return df.where(F.col("original_currency").isNotNull()).groupBy(F.col("original_currency").alias("currency")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def confidence_report(df: DataFrame) -> DataFrame:
+    """One row: how many records, prices and prices per m2 there are, and the confidence of the prices."""
+    c = F.col("price_confidence")
+    return df.agg(F.count(F.lit(1)).alias("n_records"), F.count("price_mad").alias("n_prices"), F.count("price_per_m2").alias("n_price_per_m2"), F.avg(c).alias("mean_confidence"), F.min(c).alias("min_confidence"), F.max(c).alias("max_confidence"))

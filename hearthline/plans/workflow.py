@@ -37,6 +37,29 @@ class Result:
         """The step log as a table."""
         return self.data.sparkSession.createDataFrame([(e["step"], e["status"], e["message"], float(e["seconds"])) for e in self.log], "step string, status string, message string, seconds double")
 
+    def step(self, name: str) -> dict | None:
+        """The log entry of a step; None if it did not run."""
+        return next((e for e in self.log if e["step"] == name), None)
+
+    def report(self) -> DataFrame:
+        """``section, name, value``: what ran, what came out, how good it is, and what to look at."""
+        spark = self.data.sparkSession
+        done = [e for e in self.log if e["status"] == "completed"]
+        rows = [
+            ("run", "steps", float(len(self.log))),
+            ("run", "completed", float(len(done))),
+            ("run", "failed", float(len(self.log) - len(done))),
+            ("run", "seconds", float(sum(e["seconds"] for e in self.log))),
+            ("data", "rows", float(self.data.count())),
+            ("data", "columns", float(len(self.data.columns))),
+        ]
+        made = spark.createDataFrame(rows, "section string, name string, value double")
+        whole = quality.overall(self.quality)
+        score = whole.select(F.lit("quality").alias("section"), F.lit("overall_score").alias("name"), F.col("overall_score").cast("double").alias("value"))
+        each = self.quality.select(F.lit("quality").alias("section"), F.col("check_name").alias("name"), F.col("score").alias("value"))
+        advice = recommendations(self.summary(), self.quality).select(F.lit("recommendation").alias("section"), F.col("recommendation").alias("name"), F.lit(None).cast("double").alias("value"))
+        return made.unionByName(score).unionByName(each).unionByName(advice)
+
 
 class Workflow:
     """Steps run in the order of ``Options.steps``; one that fails is logged and its input goes on."""

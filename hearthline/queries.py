@@ -643,7 +643,8 @@ def html_page_listings(t):
 
 @query("SELECT url, len(regexp_extract_all(html, '<script')) AS scripts, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs FROM pages")
 def html_profiles(t):
-    return dom.profiles(t("pages")).select("url", "scripts", F.coalesce(F.col("tags")["p"], F.lit(0)).cast("long").alias("paragraphs"))
+    count = lambda tag: F.coalesce(F.col("tags")[tag], F.lit(0)).cast("long")
+    return dom.profiles(t("pages")).select("url", count("script").alias("scripts"), count("p").alias("paragraphs"))
 
 
 # -- prices ---------------------------------------------------------------------------------------------------------
@@ -694,6 +695,18 @@ def price_consistency(t):
     return prices.consistency_report(t("priced")).withColumns({"avg_price": r("avg_price"), "median_price": r("median_price")})
 
 
+@query(L + """, p AS (SELECT price_mad BETWEEN 50000 AND 100000000 AS ok, price_mad / NULLIF(surface_m2, 0) AS m FROM l) SELECT count(*) AS n_records, count_if(ok)::BIGINT AS n_prices, count_if(ok AND m BETWEEN 1000 AND 200000)::BIGINT AS n_price_per_m2,
+round(avg(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS mean_confidence, min(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS min_confidence, max(CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS max_confidence FROM p""")
+def price_confidence(t):
+    return prices.confidence_report(prices.normalise_prices(t("listings"))).withColumn("mean_confidence", r("mean_confidence", 6))
+
+
+@query("SELECT currency, count(*) AS n FROM part JOIN (VALUES " + ", ".join(f"({k}, '{c}')" for k, (_, _, c, _) in enumerate(PRICE_TEXTS)) + ", (8, 'UNKNOWN')) v(i, currency) ON p_partkey % 9 = i GROUP BY 1")
+def price_currencies(t):
+    rows = _literal(t, [x[0] for x in PRICE_TEXTS] + ["no price"]).select("k", F.col("x").alias("price_text"))
+    return prices.currency_distribution(prices.normalise_prices(rows))
+
+
 # -- geography -------------------------------------------------------------------------------------------------------
 
 

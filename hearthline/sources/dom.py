@@ -307,34 +307,51 @@ def listings(pages: DataFrame, base: str = "", url_col: str = "url", html_col: s
 
 
 def profile(html: str) -> dict:
-    """What a page consists of: counts by tag, classes by frequency, texts of headings, and what hints at listings."""
+    """What a page consists of: elements, classes, attributes and meta data, and what hints at listings."""
     page = parse(html)
     tags: dict[str, int] = {}
     classes: dict[str, int] = {}
+    data: dict[str, int] = {}
+    meta: dict[str, str] = {}
+    linked: list[str] = []
     for e in page.walk():
         tags[e.tag] = tags.get(e.tag, 0) + 1
         for c in e.classes:
             classes[c] = classes.get(c, 0) + 1
+        for k in e.attributes:
+            if k.startswith("data-"):
+                data[k] = data.get(k, 0) + 1
+        name = e.attributes.get("name") or e.attributes.get("property")
+        if e.tag == "meta" and name:
+            meta.setdefault(name, e.attributes.get("content", ""))
+        if e.tag == "script" and e.attributes.get("type") == "application/ld+json":
+            linked.append("".join(c for c in e.children if isinstance(c, str)).strip())
+    text = page.text()
     links = [e.attributes["href"] for e in page.walk() if e.tag == "a" and "href" in e.attributes]
     return {
         "tags": tags,
         "classes": classes,
+        "data_attributes": data,
+        "meta": meta,
+        "linked_data": linked,
         "headings": [clean(e.text()) for e in page.walk() if e.tag in ("h1", "h2", "h3")],
         "listing_links": [u for u in dict.fromkeys(links) if re.search(r"/p?a/\d+", u)],
-        "prices": re.findall(r"\d[\d\s,.]*(?:DH|MAD|€)", page.text()),
-        "scripts": sum(e.tag == "script" for e in page.walk()),
+        "prices": [m.strip() for m in re.findall(r"\d[\d\s,.]*(?:DH|MAD|€)", text)],
+        "surfaces": re.findall(r"\d+(?:[,.]\d+)?\s*m[²2]", text),
+        "rooms": re.findall(r"\d+\s*(?:chambre|pi[èe]ce|bedroom|room)", text, re.IGNORECASE),
     }
 
 
 def profiles(pages: DataFrame) -> DataFrame:
     """``url`` and the profile of every page; NULL HTML counts as an empty page."""
-    schema = "url string, tags map<string,long>, classes map<string,long>, headings array<string>, listing_links array<string>, prices array<string>, scripts long"
-    text, count, words = pa.string(), pa.map_(pa.string(), pa.int64()), pa.list_(pa.string())
-    fields = pa.schema([("url", text), ("tags", count), ("classes", count), ("headings", words), ("listing_links", words), ("prices", words), ("scripts", pa.int64())])
+    kinds = {"map<string,long>": pa.map_(pa.string(), pa.int64()), "map<string,string>": pa.map_(pa.string(), pa.string()), "array<string>": pa.list_(pa.string())}
+    columns = {"tags": "map<string,long>", "classes": "map<string,long>", "data_attributes": "map<string,long>", "meta": "map<string,string>"}
+    columns |= dict.fromkeys(("linked_data", "headings", "listing_links", "prices", "surfaces", "rooms"), "array<string>")
+    fields = pa.schema([("url", pa.string()), *[(n, kinds[t]) for n, t in columns.items()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [{"url": u} | {k: list(v.items()) if isinstance(v, dict) else v for k, v in profile(h or "").items()} for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_pylist(rows, schema=fields)
 
-    return pages.select("url", "html").mapInArrow(run, schema)
+    return pages.select("url", "html").mapInArrow(run, ", ".join(["url string", *[f"{n} {t}" for n, t in columns.items()]]))

@@ -8,10 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from hearthline.operators import dedup, encoding, enrich, images, monitoring
-from hearthline.plans import collection, config
+from hearthline.operators import coordinates, dedup, encoding, enrich, images, monitoring
+from hearthline.plans import collection, config, workflow
 from hearthline.schema import LISTING, conform, from_json_columns, to_json_columns
-from hearthline.sources import dom, readers
+from hearthline.sources import datasource, dom, readers
 
 PAGE = """<html><body><nav class="breadcrumb"><a>Home</a><a>Rabat</a></nav><div class="title"><h1>Bel
  appartement<br> {n}</h1></div><span class="old price-tag"></span><div class="cost">x</div><div class="main-price"><b>1&nbsp;200</b> 000 DH</div>
@@ -197,3 +197,32 @@ def test_long_chains_are_grouped_greedily(spark):
     got = {r["id"]: r["group_id"] for r in dedup.groups(None, found).collect()}
     # Every second listing of the chain leads its successor; the last one is alone. 101 is a member, so 103 leads and is alone.
     assert got == {i: i - i % 2 for i in range(40)} | {100: 100, 101: 100, 102: 100}
+
+
+def test_page_profile():
+    page = '<head><meta name="a" content="b"><meta property="og:x" content="y"><script type="application/ld+json"> {"k": 1} </script></head><h2>T</h2><div data-id="3" class="x y"><a href="/fr/a/12/z">l</a> 3 chambres, 80 m², 90 000 DH</div>'
+    got = dom.profile(page)
+    assert got["meta"] == {"a": "b", "og:x": "y"} and got["linked_data"] == ['{"k": 1}'] and got["data_attributes"] == {"data-id": 1}
+    assert got["headings"] == ["T"] and got["listing_links"] == ["/fr/a/12/z"] and got["classes"] == {"x": 1, "y": 1}
+    assert (got["rooms"], got["surfaces"], got["prices"]) == (["3 chambre"], ["80 m²"], ["90 000 DH"])
+
+
+def test_pages_as_a_data_source(spark):
+    base, fetch = site(2)
+    readers.register_connector("source", fetch)
+    name = datasource.register_pages(spark, "source")
+    urls = [f"{base}/fr/a/{i}/x" for i in range(5)]
+    pages = spark.read.format(name).option("urls", "\n".join(urls)).option("size", "2").load()
+    got = {r["url"]: (r["html"] is not None, r["error"]) for r in pages.collect()}
+    assert got == {u: (i != 1, "gone" if i == 1 else None) for i, u in enumerate(urls)}
+    assert dom.listings(pages, base).count() == 3 and spark.read.format(name).load().count() == 0
+
+
+def test_one_address_and_workflow_report(spark):
+    cache = spark.createDataFrame([("12 rue A, rabat, Morocco", 34.0, -6.8)], "address string, lat double, lon double")
+    assert [tuple(r) for r in coordinates.geocode_address(cache, "12 rue A", "rabat").collect()] == [(34.0, -6.8)]
+    df = spark.createDataFrame([(i, "rabat", 900_000.0 + i, 80.0, 3, "apartment") for i in range(30)], "id long, city string, price_mad double, surface_m2 double, rooms int, property_type string")
+    result = workflow.Workflow(workflow.Options(steps=("outliers", "prices"))).run(df)
+    rows = {(r["section"], r["name"]): r["value"] for r in result.report().collect()}
+    assert rows["run", "steps"] == rows["run", "completed"] == 2 and rows["data", "rows"] == 30 and 0 < rows["quality", "overall_score"] <= 1
+    assert result.step("prices")["status"] == "completed" and result.step("text") is None
