@@ -100,31 +100,28 @@ def chains_of(texts: DataFrame, shared: DataFrame, directory: tuple[DataFrame, i
 
 
 def classified(docs: DataFrame, id_col: str, text_col: str, capacity: int = CAPACITY) -> DataFrame:
-    """``id, sha, tag, bucket, depth, keep, size`` of every row; ``tag`` is a cheap hash of the normal form."""
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    norm = without_blanks(F.col("text"))
-    source = source.select("id", F.coalesce(F.char_length("text"), F.lit(0)).alias("len"), norm.alias("norm"))
-    sha = F.unhex(F.sha2("norm", 256))
-    rows = materialise(source.select("id", sha.alias("sha"), F.xxhash64("norm").alias("tag")).withColumn("h", key_of(F.col("sha"))).withColumn("row", F.monotonically_increasing_id()))
-    keys = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("tag").alias("lo"), F.max("tag").alias("hi")))
+    """``id, sha, tag, bucket, depth, keep, size`` of every row; ``tag`` is a cheap hash of the text as it is."""
+    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).withColumn("tag", F.xxhash64("text"))
+    normal = without_blanks(F.col("text")).alias("norm")
+    digest = F.unhex(F.sha2("norm", 256)).alias("sha")
+    rows = source.select("id", "tag", normal).select("id", "tag", digest).withColumn("h", key_of(F.col("sha")))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
+    keys = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("n")))
     directory = build_directory(keys.select("h"), capacity)
     # The index file set: each file is one owner's buckets, sorted by key.
     index = materialise(in_buckets(keys, directory).repartition("bucket").sortWithinPartitions("bucket", "h"))
-    shared = index.where("n > 1")
+    shared = index.where("n > 1").select("h", "n")
     bits = bitmap_bits(shared.count())
-    # Only keys with several rows can hold copies or collisions; the texts of nearly all others are neither digested again nor moved.
-    collided = rows.join(shared.where("lo <> hi").select("h"), "h", "left_semi").select("tag")
-    tags = shared.where("lo = hi").select(F.col("lo").alias("tag")).unionByName(collided)
-    texts = possible(source.withColumn("tag", F.xxhash64("norm")), tags, "tag", bits).withColumn("h", key_of(sha)).drop("tag")
-    chains = materialise(chains_of(texts, shared.select("h", "n"), directory))
+    # Only keys with several rows can hold copies or collisions; nearly all other texts are neither normalised again nor moved.
+    tags = materialise(possible(rows, shared, "h", bits).select("tag").distinct())
+    texts = possible(source, tags, "tag", bitmap_bits(tags.count()))
+    texts = texts.select("id", F.coalesce(F.char_length("text"), F.lit(0)).alias("len"), normal)
+    chains = materialise(chains_of(texts.withColumn("h", key_of(F.unhex(F.sha2("norm", 256)))), shared, directory))
     names = ["id", "sha", "tag", "bucket", "depth", "keep", "size"]
-    alone = in_buckets(possible(rows, shared.select("h"), "h", bits, within=False), directory)
+    alone = in_buckets(possible(rows, shared, "h", bits, within=False), directory)
     alone = alone.withColumns({"keep": F.col("id"), "size": F.lit(1).cast("long")}).select(*names)
-    several = in_buckets(possible(rows, shared.select("h"), "h", bits), directory)
-    several = lookup(several, chains.select("bucket", "sha", "keep", "size"), ("bucket", "sha"), "size", "row")
-    # The bitmap lets some keys of one row pass, whose texts are in no chain.
-    keep = F.when(F.col("size").isNull(), F.col("id")).otherwise(F.col("keep"))
-    several = several.withColumns({"keep": keep, "size": F.coalesce("size", F.lit(1))}).select(*names)
+    several = in_buckets(possible(rows, shared, "h", bits), directory)
+    several = lookup(several, chains.select("bucket", "sha", "keep", "size"), ("bucket", "sha"), "size", "row").select(*names)
     return alone.unionByName(several)
 
 
@@ -159,13 +156,14 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     id, and one of them stays; column names may clash with any used here.
     """
     groups = materialise(classified(docs, id_col, text_col).where("size > 1").select("id", "sha", "tag", "keep"))
-    norm = without_blanks(F.col(f"`{text_col}`"))
-    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), norm.alias("_norm")).withColumn("tag", F.xxhash64("_norm"))
-    tags = groups.select("tag").distinct()
+    text = F.col(f"`{text_col}`")
+    named = docs.select(as_row(docs), F.col(f"`{id_col}`").alias("_id"), text.alias("_text"), F.xxhash64(text).alias("tag"))
+    tags = materialise(groups.select("tag").distinct())
     bits = bitmap_bits(tags.count())
     # A row of a group of its own bypasses the join; of the others, those with the id and text that stay are found.
     alone = possible(named, tags, "tag", bits, within=False)
-    maybe = possible(named, tags, "tag", bits).withColumn("_sha", F.unhex(F.sha2("_norm", 256))).drop("_norm", "tag")
+    maybe = possible(named, tags, "tag", bits).select("_row", "_id", without_blanks(F.col("_text")).alias("_norm"))
+    maybe = maybe.select("_row", "_id", F.unhex(F.sha2("_norm", 256)).alias("_sha"))
     # One entry a text; texts without one are groups of their own.
     again = F.count_if(F.col("id").eqNullSafe(F.col("keep"))) > 1
     entry = materialise(groups.groupBy(F.col("sha").alias("_sha")).agg(F.first("keep").alias("keep"), again.alias("again"), F.count(F.lit(1)).alias("n")))

@@ -28,6 +28,7 @@ from hearthline.llm.common import arrow, as_row, from_row, materialise
 SAMPLE_ROWS, CANDIDATES, LEXICON = 24_000, 20_000, 3_000
 THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
+_LONGEST_FIRST, _TRAILING = PREFIXES[::-1], ".,;:!?"
 #: Tokens whose codes are remembered, and texts that are worked on together.
 MEMORY, SLICE = 200_000, 256
 # Second-person words of the corpus languages.
@@ -64,20 +65,22 @@ class Codes(dict):
     def __missing__(self, token: str) -> int:
         if len(self) > MEMORY:
             self.clear()
-        names = forms(token)
+        # Nearly all tokens are letters with a mark or two after them, which need no pattern.
+        core = token.rstrip(_TRAILING)
+        plain_word = core.isalpha()
+        word = core.lower() if plain_word else _EDGE.sub("", token.lower())
         code = 0
-        if names:
-            word = names[0]
+        if word:
             code |= PERSON * (word in SECOND_PERSON)
             code |= CAPS * (len(word) > 2 and token.isupper())
-            mixed = _MIXED.search(token) is not None
+            mixed = not plain_word and _MIXED.search(token) is not None
             code |= OBFUSCATED * mixed
             code |= STRETCHED * (_LONG.search(word) is not None)
             entry = self.entries.get(word)
             if entry is not None:
                 code |= WHOLE
             else:
-                entry = next((e for n in reversed(names[1:]) if (e := self.entries.get(n)) is not None), None)
+                entry = next((e for n in _LONGEST_FIRST if len(word) > n and (e := self.entries.get(f"{word[:n]}-")) is not None), None)
             if entry is None and (mixed or code & STRETCHED):
                 plain = _INNER.sub("", word.translate(LOOKALIKES))
                 entry = self.entries.get(plain, self.entries.get(_LONG.sub(r"\1", plain)))
