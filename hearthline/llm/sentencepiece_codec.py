@@ -30,7 +30,7 @@ ZIPF_SHIFT = 2.7
 #: Longer chunks (in bytes) are solved one at a time.
 VECTOR_BYTES = 64
 #: Distinct chunks a worker remembers before it starts afresh, and characters per slice: both bound memory only.
-MEMORY, SLICE_CHARS = 300_000, 1_500_000
+MEMORY, SLICE_CHARS = 150_000, 1_500_000
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 

@@ -30,7 +30,7 @@ THRESHOLD = 0.3
 PREFIXES = (4, 5, 6)
 _LONGEST_FIRST, _TRAILING = PREFIXES[::-1], ".,;:!?"
 #: Tokens whose codes are remembered, and texts that are worked on together.
-MEMORY, SLICE = 200_000, 256
+MEMORY, SLICE = 100_000, 256
 # Second-person words of the corpus languages.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine deiner ihr euch euer tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vuestro vuestra vos".split())
 # Characters that commonly stand for letters.
