@@ -90,3 +90,24 @@ def test_blocks_lose_no_match_by_features_or_place(spark):
     got, want = _found(df), _found(df, exact_titles=True)
     assert got == want and {kind for kind, _ in got.values()} == {"coordinates", "features", "source_id", "title"}
     assert _found(df.where("false")) == {}
+
+
+def test_pairs_of_a_hot_group_are_dealt_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "BLOCK_ROWS", 30)
+    monkeypatch.setattr(dedup, "PAIRS_A_TASK", 2000)
+    df = spark.range(300).select("id", F.when(F.col("id") < 240, "hot").when(F.col("id") < 290, "cold").alias("k"))
+    pairs = dedup.pairs_within(df, ["k"]).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.spark_partition_id().alias("task")).toPandas()
+    want = {(a, b) for lo, hi in ((0, 240), (240, 290)) for b in range(lo, hi) for a in range(lo, b)}
+    assert len(pairs) == len(want) and set(zip(pairs["a"], pairs["b"])) == want
+    assert pairs.groupby("task").size().max() < 0.25 * len(want)
+
+
+def test_coordinate_part_needs_no_distance_far_away(spark):
+    places = [(34.0, -6.8), (34.008, -6.8), (34.0092, -6.8), (35.0, -6.8), (None, -6.8), (35.0, None), (float("nan"), 1.0)]
+    rows = [(*p, *q) for p in places for q in places]
+    df = spark.createDataFrame(rows, "a_latitude double, a_longitude double, b_latitude double, b_longitude double")
+    a, b = (lambda c: F.col(f"a_{c}")), (lambda c: F.col(f"b_{c}"))
+    m = similarity.metres(a, b)
+    plain = F.when(m <= 100, 1.0).when(m <= 500, 0.8).when(m <= 1000, 0.6).when(m.isNotNull(), 0.0)
+    got = df.select(similarity.near(a, b).alias("got"), plain.alias("want"), similarity.surely_far(a, b).alias("far")).collect()
+    assert all(r["got"] == r["want"] for r in got) and sum(bool(r["far"]) for r in got) > 5
