@@ -111,3 +111,23 @@ def test_coordinate_part_needs_no_distance_far_away(spark):
     plain = F.when(m <= 100, 1.0).when(m <= 500, 0.8).when(m <= 1000, 0.6).when(m.isNotNull(), 0.0)
     got = df.select(similarity.near(a, b).alias("got"), plain.alias("want"), similarity.surely_far(a, b).alias("far")).collect()
     assert all(r["got"] == r["want"] for r in got) and sum(bool(r["far"]) for r in got) > 5
+
+
+def test_leaders_found_in_turns_give_the_groups_of_all_matches(spark, monkeypatch):
+    rng = random.Random(3)
+    some = lambda x, p=0.1: None if rng.random() < p else x
+
+    def row(i):
+        placed = rng.random() < 0.9
+        return (i * 3, rng.choice(["grande villa au jardin", "studio meuble"]), some(rng.choice(["rabat", "fes"])), "agdal", 34 + rng.random() / 5 if placed else None, -6.8 + rng.random() / 50 if placed else None, some(1e6 * rng.uniform(0.6, 1.5)), some(rng.uniform(40, 200)), rng.randrange(1, 3), some(rng.choice(["villa", "studio"])), some(str(rng.randrange(100))), rng.choice("ab"))
+
+    schema = "id long, title string, city string, neighborhood string, latitude double, longitude double, price_mad double, surface_m2 double, rooms int, property_type string, source_id string, source_platform string"
+    df = spark.createDataFrame([row(i) for i in range(150)], schema)
+    found = dedup.cut(dedup.matches(df))
+    greedy = dedup._leaders(found.where("similarity >= 0.85").toPandas())
+    want = sorted(greedy[greedy.groupby("group_id")["id"].transform("size") > 1].itertuples(index=False, name=None))
+    assert sorted(map(tuple, dedup.groups(df, found).collect())) == want
+    monkeypatch.setattr(dedup, "FIRST_IDS", 60)
+    assert sorted(map(tuple, dedup.leader_groups(df).collect())) == want and len(want) > 60
+    sources = {(r["a"], r["b"]) for r in dedup.matches(df, sources=True).collect()}
+    assert sources == {(r["a"], r["b"]) for r in found.where("match_type = 'source_id'").collect()} and sources
