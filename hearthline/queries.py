@@ -795,7 +795,7 @@ def _copies(t) -> DataFrame:
 
 @query(L + ", s AS (SELECT id FROM l WHERE id % 10 = 0) SELECT id AS a, id + 10000000 AS b, 'source_id' AS match_type FROM s")
 def dedup_source_matches(t):
-    return dedup.matches(_copies(t)).where("match_type = 'source_id'").select("a", "b", "match_type")
+    return dedup.matches(_copies(t), sources=True).select("a", "b", "match_type")
 
 
 @query()
