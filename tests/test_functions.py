@@ -155,3 +155,21 @@ def test_image_measures():
     flat = images.measure(np.full((8, 8, 3), 128, np.uint8))
     noisy = images.measure(np.random.default_rng(1).integers(0, 255, (8, 8, 3), np.uint8))
     assert flat[0] < 1e-6 < noisy[0] and abs(flat[1] - 0.5) < 0.01
+
+
+def test_trees_of_pages_go_without_the_collector():
+    import gc
+
+    from hearthline.sources import dom
+
+    alive = lambda: sum(isinstance(x, dom.Element) for x in gc.get_objects())
+    gc.collect()
+    gc.disable()
+    try:
+        before = alive()
+        for _ in range(5):
+            assert dom.profile("<div><p>a<b>c</b></p></div>")["tags"] == {"div": 1, "p": 1, "b": 1}
+            assert dom.listing("<h1>Villa</h1><p>3 chambres</p>", "http://x/a/1")["rooms"] == 3
+        assert alive() == before
+    finally:
+        gc.enable()
