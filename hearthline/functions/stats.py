@@ -107,14 +107,24 @@ def quantiles(df: DataFrame, wanted: dict[str, Sequence[float]]) -> dict[str, li
 
     margin, closed = dict.fromkeys(ranks, 2 / ACCURACY), set()
     while wide := [t for t in ranks if inside[t] > FETCHED and t not in closed]:
-        share = lambda t, d: min(1.0, max(0.0, (t[1] - below[t]) / max(1, inside[t] - 1) + d * margin[t]))
-        cuts = df.agg(*[F.percentile_approx(F.when(within(t), value[t[0]]), [share(t, -1), share(t, 1)], ACCURACY).alias(f"q{i}") for i, t in enumerate(wide)]).first()
+        # The two ranks next to a quantile share a bracket, and ranks in one bracket a sketch.
+        share = lambda t, r, d: min(1.0, max(0.0, (r - below[t]) / max(1, inside[t] - 1) + d * margin[t]))
+        mate = lambda t, d: t[1] + d * ((t[0], t[1] + d) in inside and (low[t], high[t]) == (low[t[0], t[1] + d], high[t[0], t[1] + d]))
+        sketches: dict[tuple, list[tuple[str, int]]] = defaultdict(list)
+        for t in wide:
+            sketches[t[0], low[t], high[t]].append(t)
+        cuts = df.agg(*[F.percentile_approx(F.when(within(ts[0]), value[ts[0][0]]), [share(t, mate(t, d), d) for t in ts for d in (-1, 1)], ACCURACY).alias(f"q{i}") for i, ts in enumerate(sketches.values())]).first()
         before = {t: (low[t], high[t]) for t in wide}
-        for i, t in enumerate(wide):
-            low[t], high[t] = cuts[f"q{i}"]
-        counts = df.agg(*[x for i, t in enumerate(wide) for x in (F.count_if(within(t)).alias(f"m{i}"), F.count_if(value[t[0]] < F.lit(low[t])).alias(f"b{i}"))]).first()
-        for i, t in enumerate(wide):
-            m, b = counts[f"m{i}"], counts[f"b{i}"]
+        for i, ts in enumerate(sketches.values()):
+            for j, t in enumerate(ts):
+                low[t], high[t] = cuts[f"q{i}"][2 * j : 2 * j + 2]
+        bracket = lambda t: (t[0], low[t], high[t])
+        sample = {bracket(t): t for t in wide}
+        number = {k: i for i, k in enumerate(sample)}
+        counts = df.agg(*[x for k, t in sample.items() for x in (F.count_if(within(t)).alias(f"m{number[k]}"), F.count_if(value[t[0]] < F.lit(low[t])).alias(f"b{number[k]}"))]).first()
+        at_bracket = {t: number[bracket(t)] for t in wide}
+        for t in wide:
+            m, b = counts[f"m{at_bracket[t]}"], counts[f"b{at_bracket[t]}"]
             if not b <= t[1] < b + m:  # the sketch was off by more than its margin
                 (low[t], high[t]), margin[t] = before[t], 4 * margin[t]
                 continue

@@ -86,3 +86,14 @@ def test_summaries(spark):
     after = df.withColumn("x", F.lit(1.0))
     assert [tuple(r) for r in features.summary(df, after).collect()] == [("engineered", "double", 1), ("original", "bigint", 1), ("original", "double", 1), ("original", "int", 1)]
     assert features.feature_names(after) == ["rooms", "x"]
+
+
+def test_ranks_in_one_bracket_share_a_sketch(spark, monkeypatch):
+    from hearthline.functions import stats
+
+    made, plain = [], stats.F.percentile_approx
+    monkeypatch.setattr(stats, "FETCHED", 500)
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda *a: made.append(1) or plain(*a))
+    df = spark.range(4000).selectExpr("cast((id * 37) % 4000 as double) AS x")
+    assert stats.quantiles(df, {"x": [i / 10 for i in range(11)]})["x"] == pytest.approx([399.9 * i for i in range(11)])
+    assert len(made) == 1
