@@ -158,35 +158,70 @@ def report_totals(found: DataFrame) -> DataFrame:
     return found.groupBy("method").agg(F.count(F.lit(1)).alias("n_columns"), F.sum("n_features").alias("n_features"))
 
 
-def _terms(text: Column, stop_words: Sequence[str]) -> Column:
-    """Words of two characters or more without stop words, and pairs of neighbours."""
-    words = F.filter(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1)), lambda w: ~w.isin(*stop_words))
-    pairs = F.transform(F.arrays_zip(words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")), lambda p: F.when(p["b"].isNotNull(), F.concat_ws(" ", p["a"], p["b"])))
-    return F.concat(words, F.filter(pairs, lambda p: p.isNotNull()))
+#: Most frequent words, at least and as a multiple of the terms asked for, that terms are looked for among before all words are.
+LEAST_WORDS, WORDS_A_TERM = 400, 8
+
+
+def _tokens(text: Column) -> Column:
+    """Words of two characters or more."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]{2,})"), F.lit(1))
+
+
+def _words(text: Column, stop_words: Sequence[str]) -> Column:
+    """Words without stop words."""
+    return F.filter(_tokens(text), lambda w: ~w.isin(*stop_words))
+
+
+def _terms(words: Column, among: Sequence[str] | None = None) -> Column:
+    """Words and pairs of neighbours; only those made of words of ``among`` if given. ``words`` is a column of the table, so that it is worked out once."""
+    known = (lambda w: F.lit(True)) if among is None else (lambda w: w.isin(*among))
+    following = F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))
+    pairs = F.zip_with(words, following, lambda a, b: F.when(b.isNotNull() & known(a) & known(b), F.concat(a, F.lit(" "), b)))
+    return F.concat(words if among is None else F.filter(words, known), F.filter(pairs, lambda p: p.isNotNull()))
+
+
+def _top_terms(rows: DataFrame, among: Sequence[str] | None, n: int, features: int, least: int, most: float) -> list:
+    """``term, df, n`` of the most frequent terms of ``rows._s``, of those in enough and not too many texts."""
+    rows = rows.select(_terms(F.col("_s"), among).alias("t"))
+    # A text's terms, and behind them each of them once more.
+    # The array is made inside the explosion: a filter inferred for a column would be pushed down and repeat all that the column is made of.
+    rows = rows.select(F.size("t").alias("k"), F.posexplode(F.concat("t", F.array_distinct("t"))).alias("at", "term"))
+    counts = rows.groupBy("term").agg(F.count_if(F.col("at") >= F.col("k")).alias("df"), F.count_if(F.col("at") < F.col("k")).alias("n"))
+    return counts.where((F.col("df") >= least) & (F.col("df") <= most * n)).orderBy(F.desc("n"), "term").limit(features).collect()
 
 
 def tfidf_terms(df: DataFrame, text_col: str, features: int = 50, least: int = 5, most: float = 0.95, stop_words: Sequence[str] | None = None) -> list[tuple[str, float]]:
     """Terms with their idf, in order: those in at least ``least`` and at most ``most`` of the texts, the ``features`` most frequent of them.
 
-    One pass counts a term's occurrences and texts by partial sums; idf is ``ln((1 + n) / (1 + df)) + 1``.
+    A pair is no more frequent than either of its words. So words are counted first, by
+    partial sums, and terms are counted only among the most frequent ones; if the last
+    term found is not more frequent than any word left out, all terms are counted. idf
+    is ``ln((1 + n) / (1 + df)) + 1``.
     """
-    words = STOP_WORDS if stop_words is None else stop_words
-    rows = df.select(_terms(F.col(text_col), words).alias("t"))
-    marked = F.concat(F.transform("t", lambda x: F.struct(x.alias("term"), F.lit(0).alias("text"))), F.transform(F.array_distinct("t"), lambda x: F.struct(x.alias("term"), F.lit(1).alias("text"))))
+    if features < 1:
+        return []
+    stop = STOP_WORDS if stop_words is None else stop_words
     n = df.count()
-    counts = rows.select(F.explode(marked).alias("m")).groupBy("m.term").agg(F.sum("m.text").alias("df"), F.count_if(F.col("m.text") == 0).alias("n"))
-    top = counts.where((F.col("df") >= least) & (F.col("df") <= most * n)).orderBy(F.desc("n"), "term").limit(features).collect()
+    words = df.select(F.explode(_tokens(F.col(text_col))).alias("term")).where(~F.col("term").isin(*stop)).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    among = max(LEAST_WORDS, WORDS_A_TERM * features)
+    first = words.orderBy(F.desc("n"), "term").limit(among + 1).collect()
+    rows = df.select(_words(F.col(text_col), stop).alias("_s"))
+    top = _top_terms(rows, [r["term"] for r in first[:among]], n, features, least, most) if first else []
+    if len(first) > among and (len(top) < features or top[-1]["n"] <= first[among]["n"]):
+        top = _top_terms(rows, None, n, features, least, most)
     return sorted((r["term"], math.log((1 + n) / (1 + r["df"])) + 1) for r in top)
 
 
 def _weights(df: DataFrame, text_col: str, terms: list[tuple[str, float]], stop_words: Sequence[str] | None) -> DataFrame:
     """``df`` with ``_w``: the normalised weight of every term, worked out within the row."""
     names = [t for t, _ in terms]
-    hits = F.filter(_terms(F.col(text_col), STOP_WORDS if stop_words is None else stop_words), lambda x: x.isin(*names))
-    weight = lambda t, idf: F.size(F.filter("_t", lambda x: x == t)) * F.lit(idf)
-    raw = df.withColumn("_t", hits).withColumn("_w", F.array(*[weight(t, idf) for t, idf in terms]).cast("array<double>"))
+    rows = df.withColumn("_s", _words(F.col(text_col), STOP_WORDS if stop_words is None else stop_words))
+    # Terms as numbers from 1; 0 is any other term.
+    rows = rows.withColumn("_t", F.transform(_terms(F.col("_s"), sorted({w for t in names for w in t.split(" ")})), lambda x: F.array_position(F.array(*[F.lit(t) for t in names]), x)))
+    weight = lambda k, idf: (F.size("_t") - F.size(F.array_remove("_t", F.lit(k).cast("long")))) * F.lit(idf)
+    raw = rows.withColumn("_w", F.array(*[weight(k, idf) for k, (_, idf) in enumerate(terms, 1)]).cast("array<double>"))
     norm = F.sqrt(F.aggregate("_w", F.lit(0.0), lambda a, x: a + x * x))
-    return raw.withColumn("_n", norm).withColumn("_w", F.transform("_w", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0))).drop("_t", "_n")
+    return raw.withColumn("_n", norm).withColumn("_w", F.transform("_w", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0))).drop("_s", "_t", "_n")
 
 
 def tfidf(df: DataFrame, id_col: str, text_col: str, features: int = 50, least: int = 5, most: float = 0.95, stop_words: Sequence[str] | None = None) -> DataFrame:

@@ -1,7 +1,9 @@
 """Pages, collection runs, settings, images, run logs."""
 
+import math
 import struct
 import zlib
+from collections import Counter
 from datetime import datetime
 
 import numpy as np
@@ -191,6 +193,35 @@ def test_text_columns_and_reports(spark):
     assert [tuple(r) for r in encoding.report_totals(found).collect()] == [("onehot", 1, 3)]
 
 
+def test_terms_are_counted_among_frequent_words_first(spark, monkeypatch):
+    among, plain = [], encoding._top_terms
+    monkeypatch.setattr(encoding, "_top_terms", lambda rows, words, *rest: among.append(words) or plain(rows, words, *rest))
+    monkeypatch.setattr(encoding, "LEAST_WORDS", 6)
+
+    def check(texts: list[str | None], features: int) -> None:
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+        n, found = Counter(), Counter()
+        for t in texts:
+            words = [w for w in (t or "").lower().split() if w not in encoding.STOP_WORDS]
+            own = words + [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+            n.update(own)
+            found.update(set(own))
+        top = sorted((t for t in n if 2 <= found[t] <= 0.9 * len(texts)), key=lambda t: (-n[t], t))[:features]
+        assert encoding.tfidf_terms(df, "text", features, 2, 0.9) == sorted((t, math.log((1 + len(texts)) / (1 + found[t])) + 1) for t in top)
+
+    # Word k is in every k-th text: only the most frequent words and pairs of them are counted.
+    check([" ".join(f"w{k}" for k in range(1, 41) if i % k == 0) + " the w1 w1" for i in range(80)] + ["", None], 1)
+    assert [len(w) for w in among] == [8]
+    # So are all words if there are no more.
+    among.clear()
+    check([f"a{i % 20} b{i % 20}" for i in range(80)], 5)
+    assert [len(w) for w in among] == [40]
+    # Words left out are as frequent, so all terms are counted.
+    among.clear()
+    check([f"a{i % 30} the b{i % 30} a{i % 30}" for i in range(90)], 2)
+    assert among[-1] is None and len(among) == 2
+
+
 def test_long_chains_are_grouped_greedily(spark):
     links = [(i, i + 1, 1.0) for i in range(40)] + [(100, 101, 0.9), (100, 102, 0.9), (101, 103, 0.9), (200, 201, 0.1)]
     found = spark.createDataFrame(links, "a long, b long, similarity double")
