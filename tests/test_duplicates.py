@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hearthline.functions import similarity
-from hearthline.operators import dedup
+from hearthline.operators import dedup, leaders
+from hearthline.schema import conform
 
 SCHEMA = "id long, title string, city string, neighborhood string, latitude double, longitude double, price_mad double, surface_m2 double, source_id string, source_platform string"
 
@@ -131,3 +132,56 @@ def test_leaders_found_in_turns_give_the_groups_of_all_matches(spark, monkeypatc
     assert sorted(map(tuple, dedup.leader_groups(df).collect())) == want and len(want) > 60
     sources = {(r["a"], r["b"]) for r in dedup.matches(df, sources=True).collect()}
     assert sources == {(r["a"], r["b"]) for r in found.where("match_type = 'source_id'").collect()} and sources
+
+
+LISTINGS = "id long, title string, city string, neighborhood string, latitude double, longitude double, price_mad double, surface_m2 double, rooms int, property_type string, source_id string, source_platform string"
+
+
+def _dense(seed, n, first=0):
+    """Listings of few kinds with gaps, odd values and places beyond the cells."""
+    rng = random.Random(seed)
+    some = lambda x, p=0.1: None if rng.random() < p else x
+    titles = ["Vente grande villa au jardin", "grande villa (neuve) au jardin", "GRANDE VILA AU JARDIN URGENT", "studio meublé centre", "studio", None, "à vendre studio meuble centre"]
+    lats = [34.0, 34.0, 34.004, 34.02, 70.0, 89.9, 95.0, float("nan")]
+
+    def row(i):
+        lat = rng.choice(lats[:4]) + rng.random() / 2000 if rng.random() < 0.85 else rng.choice(lats)
+        price = rng.choice([0.0, -1.0, float("nan")]) if rng.random() < 0.05 else 1e6 * rng.uniform(0.5, 1.5)
+        return (first + i, rng.choice(titles), some(rng.choice(["rabat", "fes"]), 0.03), some(rng.choice(["agdal", "Agdal Riad", "riad", ""])), some(lat), some(rng.choice([-6.8, -6.8005, 179.95])), some(price), some(rng.uniform(40, 200)), some(rng.randrange(1, 4)), some(rng.choice(["villa", "studio"])), some(rng.choice(["", str(rng.randrange(60))])), some(rng.choice("ab")))
+
+    return [row(i) for i in range(n)]
+
+
+@pytest.mark.parametrize(("threshold", "exact"), [(0.85, False), (0.78, False), (0.93, True)])
+def test_leaders_sent_to_later_listings_decide_as_the_matchers_do(spark, threshold, exact):
+    df = spark.createDataFrame(_dense(21, 260), LISTINGS)
+    found = dedup.matches(df, threshold, exact).where(F.col("similarity") >= threshold).toPandas()
+    links = {(r.a, r.b) for r in found.itertuples()}
+    # By the definition: who is taken by no earlier leader leads.
+    leads, want = [], {}
+    city = {r["id"]: r["city"] for r in df.collect()}
+    for i in sorted(city):
+        if city[i] is None:
+            continue
+        want[i] = next((a for a in leads if (a, i) in links), i)
+        if want[i] == i:
+            leads.append(i)
+    assert set(found["match_type"]) == {"coordinates", "features", "source_id", "title"}
+    rows = leaders.columns(conform(df, keep_extra=False).where("city is not null")).toPandas()
+    got = {r.id: r.group_id for _, part in rows.groupby("city") for r in leaders.settle(part, threshold).itertuples()}
+    assert got == want
+    # The same leaders and later listings that were not settled with them.
+    first, later = rows[rows["id"] < 120], rows[rows["id"] >= 120]
+    heads = first[[want[i] == i for i in first["id"]]]
+    took = {r.id: r.group_id for part in leaders.taken(dict(iter(heads.groupby("city"))), threshold)(iter([later])) for r in part.itertuples()}
+    assert took == {i: a for i in later["id"] if (a := next((a for a in heads["id"] if (a, i) in links), None)) is not None}
+
+
+def test_dense_listings_need_no_table_of_pairs(spark, monkeypatch):
+    df = spark.createDataFrame(_dense(4, 200), LISTINGS)
+    monkeypatch.setattr(dedup, "FIRST_IDS", 40)
+    with monkeypatch.context() as m:
+        m.setattr(dedup, "PAIRS_AT_ONCE", 0)
+        want = sorted(map(tuple, dedup.leader_groups(df).collect()))
+    monkeypatch.setattr(dedup, "candidates", None)
+    assert sorted(map(tuple, dedup.leader_groups(df).collect())) == want and len(want) > 60
